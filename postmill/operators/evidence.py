@@ -40,7 +40,8 @@ def _first_chars(rows: DataFrame, keys: list[str], order: list[str], max_chars:
     for by in ([*keys, "__salt"], keys):
         before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
         sliced = sliced.withColumn("__before", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
-        sliced = sliced.where(F.col("__before") <= max_chars).drop("__before")
+        # One character more tells an exact fit from a truncated text.
+        sliced = sliced.where(F.col("__before") <= max_chars + 1).drop("__before")
     return sliced.drop("__salt")
 
 
