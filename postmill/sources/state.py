@@ -18,19 +18,20 @@ def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return doc.drop("articles", "decision_log"), articles, log
 
 
-def migrate_state_v1(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(document fields, articles) in the current form from v1 documents."""
+def migrate_state_v1(doc: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(document fields, articles) in the current form from v1 documents; ``keep`` columns stay on articles."""
+    keep = keep or []
     old = doc.where(F.coalesce("schema_version", F.lit(1)) != 2)
     head = old.select(
         F.lit(2).alias("schema_version"), F.try_to_timestamp("period.end").alias("last_run_at"),
         F.try_to_timestamp("generated_at").alias("generated_at"),
     )
-    rows = old.select("generated_at", F.posexplode("articles").alias("pos", "a"))
+    rows = old.select(*keep, "generated_at", F.posexplode("articles").alias("pos", "a"))
     made = F.try_to_timestamp("generated_at")
     number = (F.col("pos") + 1).cast("string")
     default = F.concat(F.lit("legacy-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
     articles = rows.select(
-        F.coalesce(blank_to_null(F.col("a.id")), default).alias("id"), F.col("a.headline").alias("headline"),
+        *keep, F.coalesce(blank_to_null(F.col("a.id")), default).alias("id"), F.col("a.headline").alias("headline"),
         F.col("a.body").alias("body"), made.alias("created_at"), F.lit(None).cast("string").alias("placement"),
         made.alias("placed_at"),
     )
