@@ -48,7 +48,7 @@ def assign_ids(articles: DataFrame, run_at: Column, chunk: str = "chunk_index",
         "__place", F.coalesce(place, F.raise_error(F.lit(f"a chunk holds {per_chunk} articles or more")).cast("bigint"))
     )
     numbered = with_offsets(placed, ["__run"], "__place", {"seq": F.lit(1)}, block=BLOCK * per_chunk)
-    number = (F.col("seq") + 1).cast("string")
+    number = F.col("seq").cast("string")
     padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
     return (
         numbered.withColumn("seq", F.col("seq") + 1)

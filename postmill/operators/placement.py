@@ -81,10 +81,9 @@ def date_dividers(articles: DataFrame) -> DataFrame:
     views = articles.withColumn("view", F.explode(F.array(F.lit("all"), F.col("placement")))).where("view IS NOT NULL")
     dated = views.withColumn("day", kst_date("created_at"))
     place = F.struct(F.col("created_at"), (-F.col("ord")).alias("back"))
-    first = dated.groupBy("view", "day").agg(F.max_by("id", place).alias("id")).withColumn("is_first", F.lit(True))
-    same = dated["view"].eqNullSafe(first["view"]) & dated["day"].eqNullSafe(first["day"]) & (dated["id"] == first["id"])
-    flagged = dated.join(first, same, "left").select(
-        dated["view"], dated["id"], dated["ord"], dated["created_at"], dated["day"],
-        F.coalesce("is_first", F.lit(False)).alias("divider"),
+    first = dated.groupBy("view", "day").agg(F.max_by("id", place).alias("first_id"))
+    first = first.withColumnsRenamed({"view": "f_view", "day": "f_day"})
+    on = (F.col("view") == F.col("f_view")) & F.col("day").eqNullSafe(F.col("f_day"))
+    return dated.join(first, on).select(
+        "view", "id", "ord", "created_at", "day", (F.col("id") == F.col("first_id")).alias("divider")
     )
-    return flagged

@@ -123,14 +123,14 @@ def exact_title_dedup(spark, sf):
 
 _SETS = ", tok AS (SELECT *, " + tokens_sql("headline") + """ AS tokens FROM articles),
     sets AS (SELECT tokens, arg_min(id, ord) AS id, count(*) AS copies FROM tok WHERE len(tokens) > 0 GROUP BY tokens),
-    pairs AS (SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, len(list_intersect(a.tokens, b.tokens)) AS both,
+    pairs AS (SELECT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, len(list_intersect(a.tokens, b.tokens)) AS common,
                      len(a.tokens) + len(b.tokens) AS total, CASE WHEN a.id < b.id THEN a.copies ELSE b.copies END AS n_a,
                      CASE WHEN a.id < b.id THEN b.copies ELSE a.copies END AS n_b
               FROM sets a JOIN sets b ON a.id < b.id)"""
 
 
 @query("title_similarity_pairs", A + _SETS + """
-    SELECT id_a, id_b, both / (total - both) AS similarity, n_a, n_b FROM pairs WHERE both / (total - both) >= 0.4
+    SELECT id_a, id_b, common / (total - common) AS similarity, n_a, n_b FROM pairs WHERE common / (total - common) >= 0.4
     UNION ALL SELECT id, id, 1.0, copies, copies FROM sets WHERE copies > 1""")
 def title_similarity_pairs(spark, sf):
     return dedup.title_similarity_pairs(_arts(spark, sf), 0.4)
@@ -138,8 +138,8 @@ def title_similarity_pairs(spark, sf):
 
 @query("near_dup_dedup", given("articles", recursive=True, more="tok AS (SELECT *, " + tokens_sql("headline") + """ AS tokens FROM articles),
     sets AS (SELECT tokens, arg_min(id, (-length(body), ord)) AS id, min((-length(body), ord)) AS place FROM tok WHERE len(tokens) > 0 GROUP BY tokens),
-    n AS (SELECT *, row_number() OVER (ORDER BY place) AS i FROM sets),
-    edges AS (SELECT b.i, list(a.i) AS earlier FROM n a JOIN n b ON a.i < b.i
+    n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY place) AS i FROM sets),
+    edges AS MATERIALIZED (SELECT b.i, list(a.i) AS earlier FROM n a JOIN n b ON a.i < b.i
         AND len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) >= 0.4 GROUP BY b.i),
     walk(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
         SELECT w.i + 1, CASE WHEN e.earlier IS NOT NULL AND list_has_any(e.earlier, w.kept) THEN w.kept ELSE list_append(w.kept, w.i + 1) END
@@ -152,7 +152,7 @@ def near_dup_dedup(spark, sf):
 
 # ---- rules ----
 
-_CLAIM = """regexp_matches(headline || chr(10) || body, '(?i)\\b(?:Enunge|Thorreou|Reinheon|Elle|Des)\\b')
+_CLAIM = """regexp_matches(headline || chr(10) || body, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:Enunge|Thorreou|Reinheon|Elle|Des)(?:$|[^\\p{L}\\p{N}_])')
     AND regexp_matches(headline || chr(10) || body, '(?i)(?:tion|ment)') AND NOT regexp_matches(headline || chr(10) || body, '(?i)(?:https?://|license)')"""
 
 
@@ -168,9 +168,9 @@ def downgrade_unsourced_claims(spark, sf):
 
 
 _GUARD = given("articles", more="""texts AS (SELECT *, headline || chr(10) || body AS t, category = 'rumor' AND trust = 'low' AS weak FROM articles),
-    covered AS (SELECT coalesce(bool_or(regexp_matches(t, '(?i)\\belle\\b')), false) AS c1, coalesce(bool_or(regexp_matches(t, '(?i)\\bthe of\\b')), false) AS c2
+    covered AS (SELECT coalesce(bool_or(regexp_matches(t, '(?i)(?:^|[^\\p{L}\\p{N}_])elle(?:$|[^\\p{L}\\p{N}_])')), false) AS c1, coalesce(bool_or(regexp_matches(t, '(?i)(?:^|[^\\p{L}\\p{N}_])the of(?:$|[^\\p{L}\\p{N}_])')), false) AS c2
         FROM texts WHERE ord % 5 <> 0 AND NOT weak AND regexp_matches(t, '(?i)(?:tion|ment)')),
-    judged AS (SELECT *, (c1 AND regexp_matches(t, '(?i)\\belle\\b')) OR (c2 AND regexp_matches(t, '(?i)\\bthe of\\b')) AS known,
+    judged AS (SELECT *, (c1 AND regexp_matches(t, '(?i)(?:^|[^\\p{L}\\p{N}_])elle(?:$|[^\\p{L}\\p{N}_])')) OR (c2 AND regexp_matches(t, '(?i)(?:^|[^\\p{L}\\p{N}_])the of(?:$|[^\\p{L}\\p{N}_])')) AS known,
         regexp_matches(t, '(?i)(?:tion|ment)') AND NOT regexp_matches(t, '(?i)(?:avec|whst)') AS repeated FROM texts, covered WHERE ord % 5 = 0)""")
 
 
@@ -329,7 +329,7 @@ def advance_mark(spark, sf):
 
 
 @query("migrate_state_v1", A + """
-    SELECT CASE WHEN rn % 3 = 0 THEN 'legacy-' || lpad(CAST(rn AS VARCHAR), greatest(3, length(CAST(rn AS VARCHAR))), '0') ELSE id END AS id, headline, lang AS doc
+    SELECT CASE WHEN rn % 3 = 0 THEN 'legacy-' || lpad(CAST(rn AS VARCHAR), CAST(greatest(3, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') ELSE id END AS id, headline, lang AS doc
     FROM (SELECT *, row_number() OVER (PARTITION BY origin, lang ORDER BY ord) AS rn FROM articles)""")
 def migrate_state_v1(spark, sf):
     a = _arts(spark, sf)
