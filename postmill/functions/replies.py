@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,24 +22,31 @@ def braces(c: Column) -> Column:
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strict_json(c: Column) -> Column:
     """The text as one JSON value, or null: nothing may follow the value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    single = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(single & (c != ""), F.try_variant_get(wrapped, "$[0]", "variant"))
+    only = lambda w: F.when(
+        F.try_variant_get(w, "$[1]", "variant").isNull(), F.try_variant_get(w, "$[0]", "variant")
+    )
+    return F.when(c != "", let(wrapped, only))
 
 
 def kind(v: Column) -> Column:
     """``object``, ``array``, ``string``, ``null`` or another scalar kind of a variant."""
-    schema = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), F.lit("missing"))
-        .when(F.startswith(schema, F.lit("OBJECT")), "object")
-        .when(F.startswith(schema, F.lit("ARRAY")), "array")
-        .when(schema == "STRING", "string")
-        .when(schema == "VOID", "null")
+    named = lambda s: (
+        F.when(s.isNull(), F.lit("missing"))
+        .when(F.startswith(s, F.lit("OBJECT")), "object")
+        .when(F.startswith(s, F.lit("ARRAY")), "array")
+        .when(s == "STRING", "string")
+        .when(s == "VOID", "null")
         .otherwise("scalar")
     )
+    return let(F.schema_of_variant(v), named)
 
 
 def text_at(v: Column, path: str) -> Column:

@@ -65,7 +65,11 @@ def keyword_snippets(
     ).where("word <> ''")
     vocabulary = words.select("word").distinct()
     at = F.sequence(F.lit(1), F.length("word"))
-    grams = F.flatten(F.array(*[F.transform(at, lambda i, size=size: F.substr("word", i, F.lit(size))) for size in range(2, GRAM + 1)]))
+
+    def pieces(size: int) -> Column:
+        return F.transform(at, lambda i: F.substr(F.col("word"), i, F.lit(size)))
+
+    grams = F.flatten(F.array(*[pieces(size) for size in range(2, GRAM + 1)]))
     hits = (
         vocabulary.select("word", F.explode(F.array_distinct(grams)).alias("gram"))
         .join(terms, "gram").where(F.contains("word", "k")).select("word", "k")

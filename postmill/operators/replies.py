@@ -38,27 +38,23 @@ def parse_article_replies(replies: DataFrame, claim_rules: ClaimRules = ClaimRul
     first reading with a list counts. Replies without any article are unparsed unless
     they say so with an explicit empty list.
     """
-    s = R.unfence("raw")
-    bare = F.startswith(s, F.lit("["))
     wrap = lambda c: F.concat(F.lit('{"articles":'), c, F.lit("}"))
-    closed = F.concat(F.rtrim(s, F.lit(",}] ")), F.lit("]"))
-    inner = F.regexp_extract(s, r'(?s)"articles"\s*:\s*(\[.*?\])', 1)
-    texts = [
-        F.when(bare, wrap(s)),
-        F.when(bare, wrap(closed)),
-        blank_to_null(R.braces(s)),
-        F.when(inner != "", wrap(inner)),
-    ]
 
     def reading(c: Column) -> Column:
         value = F.coalesce(R.strict_json(c), R.strict_json(F.regexp_replace(c, TRAILING_COMMA, "$1")))
         listed = F.try_variant_get(value, "$.articles", "variant")
-        return F.when(R.kind(listed) == "array", F.try_variant_get(listed, "$", "array<variant>"))
+        return R.let(listed, lambda x: F.when(R.kind(x) == "array", F.try_variant_get(x, "$", "array<variant>")))
+
+    def first_reading(s: Column) -> Column:
+        bare = F.startswith(s, F.lit("["))
+        closed = F.concat(F.rtrim(s, F.lit(",}] ")), F.lit("]"))
+        inner = F.regexp_extract(s, r'(?s)"articles"\s*:\s*(\[.*?\])', 1)
+        return F.coalesce(
+            F.when(bare, reading(wrap(s))), F.when(bare, reading(wrap(closed))),
+            reading(R.braces(s)), R.let(inner, lambda x: F.when(x != "", reading(wrap(x)))),
+        )
 
-    base = replies.select("reply_id", "raw")
-    for i, c in enumerate(texts):
-        base = base.withColumn(f"__t{i}", c)
-    read = base.select("reply_id", "raw", F.coalesce(*[reading(F.col(f"__t{i}")) for i in range(len(texts))]).alias("items"))
+    read = replies.select("reply_id", "raw", R.let(R.unfence("raw"), first_reading).alias("items"))
     rows = read.select("reply_id", F.posexplode("items").alias("pos", "item")).where(R.kind(F.col("item")) == "object")
     fields = rows.select(
         "reply_id", "pos",

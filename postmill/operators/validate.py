@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill import rules
-from postmill.functions.replies import kind, strict_json
+from postmill.functions.replies import kind, let, strict_json
 from postmill.functions.text import blank_to_null, col, safe_int, strip
 
 REQUIRED = ["source", "source_id", "content", "timestamp"]
@@ -19,15 +19,26 @@ def normalize_metadata(c: Column | str) -> Column:
     value ``{"value": ...}``.
     """
     text = col(c)
-    value = strict_json(text)
-    inner = F.try_variant_get(value, "$", "string")
-    unwrapped = F.when(kind(value) == "string", strict_json(inner)).otherwise(value)
-    return (
-        F.when(text.isNull() | (kind(value) == "null"), F.lit("{}"))
-        .when(kind(unwrapped) == "object", F.when(kind(value) == "string", inner).otherwise(text))
-        .when(unwrapped.isNotNull(), F.concat(F.lit('{"value":'), F.to_json(unwrapped), F.lit("}")))
-        .otherwise(F.to_json(F.struct(F.coalesce(inner, text).alias("value"))))
-    )
+
+    def wrapped(v: Column) -> Column:
+        return F.concat(F.lit('{"value":'), F.to_json(v), F.lit("}"))
+
+    def of_text(inner: Column) -> Column:
+        plain = F.to_json(F.struct(inner.alias("value")))
+        parsed = lambda v: F.when(kind(v) == "object", inner).otherwise(F.coalesce(wrapped(v), plain))
+        return let(strict_json(inner), parsed)
+
+    def of_value(v: Column) -> Column:
+        as_kind = lambda k: (
+            F.when(k == "missing", F.to_json(F.struct(text.alias("value"))))
+            .when(k == "null", F.lit("{}"))
+            .when(k == "object", text)
+            .when(k == "string", of_text(F.try_variant_get(v, "$", "string")))
+            .otherwise(wrapped(v))
+        )
+        return let(kind(v), as_kind)
+
+    return F.when(text.isNull(), F.lit("{}")).otherwise(let(strict_json(text), of_value))
 
 
 def missing_fields(columns: list[str] = REQUIRED) -> Column:
