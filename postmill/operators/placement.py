@@ -42,7 +42,7 @@ def front_page(articles: DataFrame, new: DataFrame, placements: DataFrame, slots
     """Placements and display order of all articles (``id``, ``ord``, ...): new strong stories first.
 
     Only the front slots need a global order; they come from one top-k, and the rest of the
-    display order is the sort key (slot, created_at desc, ord). Without new rows nothing changes.
+    display order is the sort key (slot, side_at desc, ord). Without new rows nothing changes.
     """
     rank = F.when(F.col("__given") == "top", 0).when(F.col("__given") == "main", 1).otherwise(2)
     fresh = new.select("id").withColumn("is_new", F.lit(True))
@@ -61,15 +61,17 @@ def front_page(articles: DataFrame, new: DataFrame, placements: DataFrame, slots
     any_new = F.coalesce(fresh.limit(1).select("is_new").scalar(), F.lit(False))
     slot = F.nullif(F.array_position(front, F.col("id")), F.lit(0))
     decided = F.when(slot == 1, "top").when(slot > 1, "main").otherwise("side")
-    return joined.withColumn("slot", F.when(any_new, slot)).withColumn(
-        "placement", F.when(any_new, decided).otherwise(F.col("__given"))
-    ).drop("__given")
+    epoch = F.lit("1970-01-01").cast(articles.schema["created_at"].dataType)
+    return joined.withColumns({
+        "slot": F.when(any_new, slot),
+        "placement": F.when(any_new, decided).otherwise(F.col("__given")),
+        "side_at": F.when(any_new, F.coalesce("created_at", epoch)),
+    }).drop("__given")
 
 
 def display_order(placed: DataFrame) -> DataFrame:
     """Front slots, then the side by creation time; input order when nothing was new."""
-    undated = F.coalesce(F.col("created_at"), F.lit("1970-01-01").cast(placed.schema["created_at"].dataType))
-    return placed.orderBy(F.asc_nulls_last("slot"), F.desc(undated), F.asc("ord"))
+    return placed.orderBy(F.asc_nulls_last("slot"), F.desc("side_at"), F.asc("ord"))
 
 
 def date_dividers(articles: DataFrame) -> DataFrame:
