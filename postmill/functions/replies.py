@@ -14,7 +14,9 @@ QUOTES = "\"'"
 
 def unfence(c: Column | str) -> Column:
     """Reply text without Markdown code fences."""
-    return strip(F.regexp_replace(strip(c), r"(?dm)^```(?:json)?\s*|\s*```$", ""))
+    text = strip(c)
+    plain = strip(F.regexp_replace(text, r"(?dm)^```(?:json)?\s*|\s*```$", ""))
+    return F.when(F.contains(text, F.lit("```")), plain).otherwise(text)
 
 
 def braces(c: Column) -> Column:

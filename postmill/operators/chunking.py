@@ -39,8 +39,7 @@ def successors(messages: DataFrame, weight: Column, limit: int, block: int = BLO
         asks.select("channel", "v", F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("ask"))
     ).withColumn("band", F.floor(F.col("v") / F.lit(width)))
     totals = both.groupBy("channel", "band").agg(F.sum("n").alias("n"))
-    before = W.partitionBy("channel").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("channel", "band", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"))
+    totals = with_offsets(totals, ["channel"], "band", {"n_before": F.col("n")}, block).select("channel", "band", "n_before")
     inside = W.partitionBy("channel", "band").orderBy("v", "ask").rowsBetween(W.unboundedPreceding, 0)
     ranks = (
         both.withColumn("n_inside", F.sum("n").over(inside))

@@ -12,7 +12,7 @@ from postmill import rules
 from postmill.functions.text import contains_any, strip
 from postmill.operators.ranking import top_per_group
 
-GRAM = 3
+GRAM = 12
 SALTS = 32
 
 
@@ -51,10 +51,11 @@ def keyword_snippets(
 ) -> DataFrame:
     """(key, snippets, snippets_len): the messages holding any keyword, joined and truncated.
 
-    A keyword has no blank, so it lies within one word of a message. Distinct words meet
-    distinct keywords through a join on their characters; no article meets a message before
-    each word, and then each keyword, is down to its first ``max_chars`` of messages - a later
-    message of a keyword is beyond the limit for every article using it.
+    A keyword has no blank, so it lies within one word of a message. The pieces of up to
+    ``GRAM`` characters of every distinct word are joined to the keywords, or to the first
+    ``GRAM`` characters of longer ones. No article meets a message before each word, and then
+    each keyword, is down to its first ``max_chars`` of messages: a later message of a keyword
+    is beyond the limit for every article using it.
     """
     order = list(order)
     wanted = keywords.select(key, F.lower("keyword").alias("k")).distinct()
@@ -64,10 +65,12 @@ def keyword_snippets(
         *order, (F.length("t") + 1).alias("n_chars"), F.explode(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("word")
     ).where("word <> ''")
     vocabulary = words.select("word").distinct()
-    at = F.sequence(F.lit(1), F.length("word"))
 
     def pieces(size: int) -> Column:
-        return F.transform(at, lambda i: F.substr(F.col("word"), i, F.lit(size)))
+        starts = F.when(F.length("word") >= size, F.sequence(F.lit(1), F.length("word") - size + 1)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(size)))
 
     grams = F.flatten(F.array(*[pieces(size) for size in range(2, GRAM + 1)]))
     hits = (
