@@ -128,6 +128,7 @@ def merge_report(candidates: DataFrame, mentions: DataFrame, discards: DataFrame
         .join(discards.groupBy("round").agg(F.countDistinct("id").alias("new_discards")), "round", "full")
         .join(settled.groupBy("round").agg(F.count(F.lit(1)).alias("settled")), "round", "full")
     )
+    # One row per round.
     before = F.sum(F.coalesce("settled", F.lit(0))).over(W.orderBy("round").rowsBetween(W.unboundedPreceding, -1))
     rounds = per_round.select(
         "round", (total.scalar() - F.coalesce(before, F.lit(0))).alias("candidate_count"),

@@ -27,12 +27,11 @@ def index_stats(posts: DataFrame, text: str = "content") -> DataFrame:
 def write_term_index(index: DataFrame, path: str, buckets: int = 64) -> None:
     """Postings by term bucket and sorted by term, so a search reads a few row groups.
 
-    A term of many posts is spread over several files of its bucket.
+    Large buckets, such as that of a term in every post, are split over several files.
     """
-    spread = F.pmod(F.xxhash64(*index.columns), F.lit(8))
     bucketed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     (
-        bucketed.repartition(F.col("bucket"), spread).sortWithinPartitions("bucket", "term")
+        bucketed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
         .write.partitionBy("bucket").mode("overwrite").parquet(path)
     )
 

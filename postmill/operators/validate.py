@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill import rules
 from postmill.functions.replies import kind, let, strict_json
 from postmill.functions.text import blank_to_null, col, safe_int, strip
 
@@ -64,8 +63,8 @@ def derive_tags(df: DataFrame) -> Column:
     return F.coalesce(F.col("tags"), built) if "tags" in df.columns else built
 
 
-def articles_to_rows(articles: DataFrame, generated_at: Column) -> tuple[DataFrame, DataFrame]:
-    """Stored article rows and the rejected articles without an id."""
+def articles_to_rows(articles: DataFrame, generated_at: Column, source: str) -> tuple[DataFrame, DataFrame]:
+    """Stored article rows and the rejected articles without an id; ``source`` names articles that have none."""
 
     def pick(*names: str) -> Column:
         found = [blank_to_null(F.col(n)) for n in names if n in articles.columns]
@@ -79,7 +78,7 @@ def articles_to_rows(articles: DataFrame, generated_at: Column) -> tuple[DataFra
     clean_id = strip(F.coalesce(F.col("id"), F.lit("")))
     rows = articles.where(clean_id != "").select(
         clean_id.alias("id"),
-        F.coalesce(maybe("source"), F.lit(rules.ARTICLE_SOURCE)).alias("source"),
+        F.coalesce(maybe("source"), F.lit(source)).alias("source"),
         strip(F.coalesce(pick("headline", "title"), F.lit(""))).alias("title"),
         pick("url", "source_url").alias("url"),
         safe_int(maybe("score")).alias("score"),

@@ -249,19 +249,19 @@ def label_counts_wide(spark, sf):
 # ---- stored rows, logs and state ----
 
 @query("articles_to_rows", A + """
-    SELECT id, 'first_light_ai' AS source, trim(headline, ' ' || chr(9) || chr(10) || chr(13)) AS title, created_at,
+    SELECT id, 'mill' AS source, trim(headline, ' ' || chr(9) || chr(10) || chr(13)) AS title, created_at,
            array_to_string(list_filter([category, trust, placement], lambda x: x IS NOT NULL), '|') AS tags FROM articles WHERE ord % 6 <> 0""")
 def articles_to_rows(spark, sf):
     a = _arts(spark, sf).withColumn("id", F.when(F.col("ord") % 6 == 0, " ").otherwise(F.col("id")))
     a = a.withColumn("created_at", F.when(F.col("ord") % 2 == 0, F.col("created_at")))
-    rows, _ = validate.articles_to_rows(a, b.ntz(b.NOW))
+    rows, _ = validate.articles_to_rows(a, b.ntz(b.NOW), "mill")
     return rows.select("id", "source", "title", "created_at", F.array_join("tags", "|").alias("tags"))
 
 
 @query("articles_without_id", "SELECT doc_id AS ord FROM documents WHERE doc_id % 6 = 0")
 def articles_without_id(spark, sf):
     a = _arts(spark, sf).withColumn("id", F.when(F.col("ord") % 6 == 0, " ").otherwise(F.col("id")))
-    return validate.articles_to_rows(a, b.ntz(b.NOW))[1].select("ord")
+    return validate.articles_to_rows(a, b.ntz(b.NOW), "mill")[1].select("ord")
 
 
 @query("derive_tags", A + """
@@ -597,11 +597,11 @@ def summary_fallback(spark, sf):
 
 
 @query("daily_documents", _DAILY + """
-    SELECT run_date AS date, 1 AS schema_version, 'First Light AI' AS journal, article_count AS count, title, body,
+    SELECT run_date AS date, 1 AS schema_version, 'Daily Mill' AS journal, article_count AS count, title, body,
            coalesce((SELECT array_to_string(list(id ORDER BY ord), '|') FROM fresh WHERE CAST(day AS VARCHAR) = run_date), '') AS ids FROM summary""")
 def daily_documents(spark, sf):
     days, a = _daily(spark, sf)
-    docs = state.daily_documents(days, a, aggregates.summary_fallback(days, a), b.ntz(b.NOW))
+    docs = state.daily_documents(days, a, aggregates.summary_fallback(days, a), b.ntz(b.NOW), "Daily Mill")
     return docs.select(
         F.col("date").cast("string").alias("date"), "schema_version", "journal", "count", "daily_summary.title", "daily_summary.body",
         F.array_join(F.transform("articles", lambda x: x["id"]), "|").alias("ids"),

@@ -59,9 +59,9 @@ def noise_audit(spark, sf):
 @query("clean_message_blocks", M + f"""
     SELECT channel, ordinal, '[' || author || ']' || chr(10) || array_to_string(list_filter(list_transform(
         string_split(content, chr(10)), lambda x: rtrim(x, {TRIM})), lambda x: x <> ''), chr(10)) || chr(10) || '/ tail' AS block
-    FROM messages WHERE NOT contains(content, chr(10) || chr(10))""")
+    FROM messages""")
 def clean_message_blocks(spark, sf):
-    m = b.messages(spark, sf).where("NOT contains(content, '\n\n')")
+    m = b.messages(spark, sf)
     body = F.concat(
         F.lit("\n\n\n["), "author", F.lit("]\n"), "content",
         F.lit("\n{Attachments}\nhttps://cdn.discordapp.com/attachments/1/2\n \n/ tail \n\n\n\n["), "author", F.lit("]\n{Embed}\n\n\n\nno header\ntext"),

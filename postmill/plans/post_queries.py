@@ -109,24 +109,24 @@ def incremental_cut(spark, sf):
 
 
 def _batches(spark, sf):
-    """Stored orders, and an overlapping batch in which each key comes up to three times."""
+    """Stored orders, and an overlapping batch in which keys repeat."""
     o = b.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("source"), F.col("o_orderkey").cast("string").alias("source_id"),
-        F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("k"),
+        F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("k"), "o_orderstatus",
     )
     total = F.floor(F.col("l_quantity")).cast("bigint")
-    lines = b.table(spark, sf, "lineitem").where("l_linenumber <= 3").select(
+    lines = b.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("seq"), total.cast("double").alias("q"), "l_partkey", "l_suppkey",
     )
     batch = lines.join(o.select("k", "source", "source_id"), "k")
     batch = batch.select("source", "source_id", F.col("q").alias("value"), "seq", "l_partkey", "l_suppkey")
-    return o.where("k % 3 <> 0").drop("k"), batch
+    return o.where("o_orderstatus <> 'P'").drop("k", "o_orderstatus"), batch
 
 
-_BATCH = """WITH o AS (SELECT o_orderpriority AS source, CAST(o_orderkey AS VARCHAR) AS source_id, o_totalprice AS value, o_orderkey AS k FROM orders),
-    existing AS (SELECT source, source_id, value FROM o WHERE k % 3 <> 0),
+_BATCH = """WITH o AS (SELECT o_orderpriority AS source, CAST(o_orderkey AS VARCHAR) AS source_id, o_totalprice AS value, o_orderkey AS k, o_orderstatus FROM orders),
+    existing AS (SELECT source, source_id, value FROM o WHERE o_orderstatus <> 'P'),
     batch AS (SELECT o.source, o.source_id, floor(l_quantity) AS value, l_linenumber AS seq, l_partkey, l_suppkey
-              FROM lineitem JOIN o ON l_orderkey = o.k WHERE l_linenumber <= 3),"""
+              FROM lineitem JOIN o ON l_orderkey = o.k),"""
 
 
 @query("upsert", _BATCH + """
@@ -247,10 +247,9 @@ def run_failures(spark, sf):
 @query("missing_daily_slots", given("runs") + """,
     days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(DATE '1995-01-01', DATE '1998-06-30', INTERVAL 1 DAY) t(d))
     SELECT CAST(day AS VARCHAR) AS day FROM days WHERE CAST(day AS TIMESTAMP) + INTERVAL 8 HOUR <= TIMESTAMP '1998-06-15 07:00:00'
-    AND day NOT IN (SELECT CAST(started_at + INTERVAL 9 HOUR AS DATE) FROM runs WHERE source = '1-URGENT')""")
+    AND day NOT IN (SELECT CAST(started_at + INTERVAL 9 HOUR AS DATE) FROM runs)""")
 def missing_daily_slots(spark, sf):
-    urgent = b.runs(spark, sf).where("source = '1-URGENT'")
-    slots = aggregates.missing_daily_slots(urgent, "1995-01-01", "1998-06-30", "1998-06-14 22:00:00")
+    slots = aggregates.missing_daily_slots(b.runs(spark, sf), "1995-01-01", "1998-06-30", "1998-06-14 22:00:00")
     return slots.select(F.col("day").cast("string").alias("day"))
 
 

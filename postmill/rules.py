@@ -95,8 +95,7 @@ TOPICS = [
      ["openai", "retiring", "codex", "roadmap", "o3", "o4", "sora", "gpt-6"]),
 ]
 
-# Texts of the fallback summary and the export document.
-JOURNAL = "First Light AI"
+# Texts of the fallback summary.
 SUMMARY_TITLE_DEFAULT = "오늘의 AI 업데이트"
 SUMMARY_TITLE_EMPTY = "새 업데이트 없이 이어지는 하루"
 SUMMARY_BODY_EMPTY = "오늘 새로 확인된 업데이트는 없습니다. 기존 기사와 아카이브는 그대로 유지됩니다."
@@ -106,9 +105,6 @@ LABEL_RUMOR, LABEL_NEWS = "찌라시", "뉴스"
 LABEL_LOW, LABEL_HIGH = "낮은 신뢰", "확인된 흐름"
 SUMMARY_REST_HEAD, SUMMARY_REST_TAIL = "그 외 ", "건"
 
-# Article store defaults.
-ARTICLE_SOURCE = "first_light_ai"
-
 # Line cleaning of model output.
 HANGUL = r"\uac00-\ud7af"
 HANGUL_JAMO = r"\uac00-\ud7af\u3130-\u318f"

@@ -35,5 +35,5 @@ def typed_posts(raw: DataFrame) -> DataFrame:
 
 def write_posts(posts: DataFrame, path: str, mode: str = "append", max_rows: int = 1_000_000) -> None:
     """One file set per source and KST date; a large one is split into files of ``max_rows``."""
-    dated = posts.withColumn("dt", kst_date("timestamp"))
+    dated = posts.withColumn("dt", kst_date("timestamp")).hint("rebalance", "source", "dt")
     dated.write.option("maxRecordsPerFile", max_rows).partitionBy("source", "dt").mode(mode).json(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill import rules, schemas
+from postmill import schemas
 from postmill.functions.text import blank_to_null
 from postmill.operators.numbering import with_offsets
 
@@ -54,7 +54,8 @@ PART_ROWS = 1_000
 
 
 def daily_documents(
-    runs: DataFrame, articles: DataFrame, summaries: DataFrame, generated_at: Column, part_rows: int = PART_ROWS
+    runs: DataFrame, articles: DataFrame, summaries: DataFrame, generated_at: Column, journal: str,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """One export document per run date, also for dates without articles.
 
@@ -72,7 +73,7 @@ def daily_documents(
     joined = runs.select("run_date").join(summaries, "run_date").join(bodies, "run_date", "left")
     none = F.array().cast(bodies.schema["articles"].dataType)
     return joined.select(
-        F.lit(1).alias("schema_version"), F.lit(rules.JOURNAL).alias("journal"), F.col("run_date").alias("date"),
+        F.lit(1).alias("schema_version"), F.lit(journal).alias("journal"), F.col("run_date").alias("date"),
         F.coalesce("part", F.lit(0)).alias("part"), generated_at.alias("generated_at"), F.col("article_count").alias("count"),
         F.struct(
             F.lit(1).alias("schema_version"), "title", F.col("run_date").alias("date"), generated_at.alias("generated_at"),

@@ -1,7 +1,8 @@
 """The keyed post store: Parquet by source and key bucket.
 
 A merge rewrites only the buckets its batch touches. Buckets are a hash of the key within a
-source, so a source with a third of all posts is spread evenly.
+source, so a source with a third of all posts is spread evenly. The number of buckets belongs
+to the store: choose it so that one bucket is a few gigabytes, and keep it.
 """
 
 from __future__ import annotations
@@ -54,9 +55,10 @@ def merge_into_store(
     else:
         merged = merge(batch.limit(0), batch, keys, order)
     merged.write.mode("overwrite").partitionBy(*PARTS).parquet(staging)
-    staged = read_store(spark, staging, batch.schema)
+    # Rebalancing gives even files, whatever a bucket holds.
+    staged = read_store(spark, staging, batch.schema).hint("rebalance", *PARTS)
     (
-        staged.repartition(*PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTS).parquet(path)
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,13 +29,15 @@ def stream_ingest(
     )
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        started = batch.select(F.current_timestamp()).limit(1)
+        started = datetime.now(timezone.utc)
+        batch.persist()
         readable = typed_posts(batch.where("_corrupt IS NULL").drop("_corrupt"))
         valid, _ = normalize_posts(readable)
         merge_into_store(valid, store, f"{checkpoint}/staging", ["fetched_at", "timestamp", "content", "metadata"])
         if runs:
             counts = batch_counts(batch)
             log_ingest_run(counts, started, batch_id).write.mode("append").json(runs)
+        batch.unpersist()
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
@@ -53,9 +57,9 @@ def batch_counts(batch: DataFrame) -> DataFrame:
     )
 
 
-def log_ingest_run(counts: DataFrame, started: DataFrame | None = None, batch_id: int | None = None, error: str | None = None) -> DataFrame:
+def log_ingest_run(counts: DataFrame, started: datetime | None = None, batch_id: int | None = None, error: str | None = None) -> DataFrame:
     """One run row per source."""
-    begin = F.current_timestamp() if started is None else F.coalesce(started.scalar(), F.current_timestamp())
+    begin = F.current_timestamp() if started is None else F.lit(started)
     return counts.select(
         "source", begin.alias("started_at"), F.current_timestamp().alias("finished_at"),
         F.lit("success" if error is None else "error").alias("status"), "rows_read", "rows_inserted", "rows_skipped",

@@ -111,7 +111,7 @@ def test_daily_documents_split_and_replace(spark, tmp_path):
     arts = spark.createDataFrame([("2026-04-20", i, f"a{i}") for i in range(5)], "d string, ord bigint, id string")
     arts = arts.select(F.to_date("d").alias("run_date"), "ord", "id")
     summaries = runs.select("run_date", F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit(5).cast("bigint").alias("article_count"))
-    docs = state.daily_documents(runs, arts, summaries, F.to_timestamp(F.lit("2026-04-20")), part_rows=2)
+    docs = state.daily_documents(runs, arts, summaries, F.to_timestamp(F.lit("2026-04-20")), "Mill", part_rows=2)
     got = {(str(r.date), r.part): [a.id for a in r.articles] for r in docs.collect()}
     assert got == {("2026-04-20", 0): ["a0", "a1"], ("2026-04-20", 1): ["a2", "a3"], ("2026-04-20", 2): ["a4"], ("2026-04-21", 0): []}
     for _ in range(2):
