@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import ship
+from postmill.llm.common import bound_batches, ship
 
 CACHED_WORDS = 400_000
 LONG_WORD = 128
@@ -246,6 +246,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, key: str
     to the empty text. Repeated rows and null keys stay; other columns of ``docs`` are not read. Texts
     are taken whole; work stays in the partitions of the scan, without any shuffle.
     """
+    bound_batches(docs.sparkSession)
     more = ", ids array<bigint>, decoded string" if with_ids else ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from postmill.llm.bpe import encode_documents
 from postmill.llm.common import table
+from postmill.llm.language import fit, identify
+from postmill.llm.packing import pack_documents
 from postmill.llm.sharding import shard_by_ring
 
 QUERIES = {}
@@ -24,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op4_pattern_packing")
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
 @query("op5_ring_sharding")
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 under the law of rows: bounded loads without slack."""
@@ -36,6 +43,18 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out():
+    """Rows that no model may learn from; a null id is one of them."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+@query("op8_language_centroids")
+def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()), order=F.col("doc_id"))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op10_bpe_segment_tree")
 def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

@@ -6,9 +6,10 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postmill.llm.common import place_in_spans, ranks_in_groups
+
 VNODES = 128
 CELL_BITS = 12
 
@@ -112,24 +113,12 @@ def shard_by_ring(
     df = df.drop(shard_col, slot_col)
     ring = build_ring(spark, shards, vnodes)
     placed = place_on_ring(df, ring, key)
-    # The lean half of the key is enough to count: Catalyst prunes the rest of the scan.
     counts = {r["__arc"]: r["n"] for r in placed.groupBy("__arc").agg(F.count(F.lit(1)).alias("n")).collect()}
     pieces = spill_clockwise(ring, counts, capacities(sum(counts.values()), shards, slack))
     spans = spark.createDataFrame(pieces, "__arc int, __low bigint, __high bigint, __shard int, __first bigint")
-    # A hot place on the ring is ranked in slices, so no key needs one large task.
-    sliced = placed.withColumn("__slice", F.pmod(F.xxhash64(key, tie if tie is not None else key), F.lit(16)).cast("int"))
-    heads = sliced.groupBy("__arc", "__slice").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy("__arc").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    heads = heads.select("__arc", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = W.partitionBy("__arc", "__slice").orderBy("__pos", key, *([tie] if tie is not None else []))
-    ranked = (
-        sliced.withColumn("__rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(heads), ["__arc", "__slice"])
-        .withColumn("__rank", F.col("__rank") + F.col("__before"))
-    )
-    s = F.broadcast(spans)
-    inner = (ranked["__arc"] == s["__arc"]) & (ranked["__rank"] >= s["__low"]) & (ranked["__rank"] < s["__high"])
-    return ranked.join(s, inner).select(
-        *[ranked[f"`{c}`"] for c in df.columns], F.col("__shard").alias(shard_col),
+    order = [F.col("__pos"), key, *([tie] if tie is not None else [])]
+    ranked = ranks_in_groups(placed, "__arc", counts, order)
+    return place_in_spans(ranked, "__arc", spans).select(
+        *[f"`{c}`" for c in df.columns], F.col("__shard").alias(shard_col),
         (F.col("__first") + F.col("__rank") - F.col("__low")).alias(slot_col),
     )
