@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postmill.llm.bpe import encode_documents
 from postmill.llm.common import table
 from postmill.llm.language import fit, identify
+from postmill.llm.neighbours import nearest
 from postmill.llm.packing import pack_documents
 from postmill.llm.sharding import shard_by_ring
 
@@ -55,6 +56,11 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op9_cross_polytope")
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query("op10_bpe_segment_tree")
 def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
