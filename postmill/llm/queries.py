@@ -12,6 +12,7 @@ from postmill.llm.language import fit, identify
 from postmill.llm.neighbours import nearest
 from postmill.llm.packing import pack_documents
 from postmill.llm.sharding import shard_by_ring
+from postmill.llm.warc import archive_and_index
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -27,6 +28,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_warc_index")
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are a second apart, by page: the table has no times."""
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(31_622_400)))
+    return archive_and_index(table(spark, sf_dir, "pages"), captured_at=at).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range", "place"
+    )
+
+
 @query("op4_pattern_packing")
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
