@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from postmill.llm.bpe import encode_documents
 from postmill.llm.common import table
+from postmill.llm.html import extract
 from postmill.llm.language import fit, identify
 from postmill.llm.neighbours import nearest
 from postmill.llm.packing import pack_documents
 from postmill.llm.sharding import shard_by_ring
+from postmill.llm.syncmers import fingerprints
 from postmill.llm.warc import archive_and_index
 
 QUERIES = {}
@@ -37,6 +39,16 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_closed_syncmers")
+def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_host_paths")
+def op3_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op4_pattern_packing")
 def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
