@@ -13,6 +13,7 @@ from postmill.llm.language import fit, identify
 from postmill.llm.neighbours import nearest
 from postmill.llm.packing import pack_documents
 from postmill.llm.sharding import shard_by_ring
+from postmill.llm.suffixes import remove_repeats
 from postmill.llm.syncmers import fingerprints
 from postmill.llm.warc import archive_and_index
 
@@ -66,6 +67,13 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def held_out():
     """Rows that no model may learn from; a null id is one of them."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
