@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postmill.llm.bpe import encode_documents
 from postmill.llm.common import table
 from postmill.llm.html import extract
+from postmill.llm.jaccard import similar_components
 from postmill.llm.language import fit, identify
 from postmill.llm.neighbours import nearest
 from postmill.llm.packing import pack_documents
@@ -67,6 +68,11 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_adaptive_jaccard")
+def op6_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
