@@ -266,8 +266,10 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, key: str
             yield out
 
     kind = dict(docs.dtypes)[key]
-    lean = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    return lean.mapInPandas(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    # Ids travel as text: pandas would turn whole numbers beside nulls into fractions.
+    lean = docs.select(F.col(f"`{key}`").cast("string").alias(key), F.col(f"`{text}`"))
+    out = lean.mapInPandas(run, f"`{key}` string, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return out.withColumn(key, F.col(f"`{key}`").cast(kind))
 
 
 ship(__name__)

@@ -106,7 +106,7 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray,
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, sample: int = SAMPLE,
-        clusters: int = CLUSTERS, leniency: float = 0.6) -> Centroids:
+        clusters: int = CLUSTERS, leniency: float = 0.25) -> Centroids:
     """Fit on the rows with a language; rows whose text is null or has no letter teach nothing.
 
     Document frequencies are counted over all rows. Centroids come from ``sample`` texts of each language

@@ -68,13 +68,13 @@ def pieces_of(docs: DataFrame, path: str, window: int, key: str = "doc_id", text
                     part = ids[low:high]
                     rows.append((doc, piece, low, high - low, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64") if kind == "bigint" else out["doc_id"]
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInPandas(
-        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint{more}"
+    # Ids travel as text: pandas would turn whole numbers beside nulls into fractions.
+    cut = docs.select(F.col(f"`{key}`").cast("string").alias(key), F.col(f"`{text}`")).mapInPandas(
+        run, f"doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint{more}"
     )
+    return cut.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def full_patterns(lengths: np.ndarray, window: int) -> np.ndarray:

@@ -405,8 +405,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
     return dealt.select("shard", "doc", "start", "end", "data").mapInPandas(sort, "doc bigint, start bigint, end bigint")
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text: str = "text", limit: int = QUEUE_TUPLES) -> DataFrame:
-    """Every row with ``kept`` (binary, the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``.
+def remove_repeats(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text: str = "text", limit: int = QUEUE_TUPLES,
+                   as_text: bool = False) -> DataFrame:
+    """Every row with ``kept`` (the bytes that stay), ``n_bytes``, ``n_removed`` and ``n_spans``.
+
+    With ``as_text`` ``kept`` is text; of a character that is cut in two nothing stays.
 
     A byte goes if a ``span``-byte string that covers it also starts in a document with a smaller id; strings are
     judged on the input and never cross documents. Null texts are empty. Rows of one id are one document to each
@@ -414,10 +417,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
     """
     spans = repeated_spans(docs, span, key, text, limit)
     by_doc = written(
-        spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans"
+        spans.groupBy(F.col("doc").alias("__d")).agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans"
     )
 
-    @F.pandas_udf("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    shape = "string" if as_text else "binary"
+
+    @F.pandas_udf(f"kept {shape}, n_bytes bigint, n_removed bigint, n_spans bigint")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
         rows = []
         for t, found in zip(texts, lists):
@@ -431,12 +436,15 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
             edges = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((kept, len(data), len(data) - len(kept), len(s)))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        out = pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+        if as_text:
+            out["kept"] = pd.Series([k.decode("utf-8", "ignore") for k in out["kept"]], dtype=object)
+        return out
 
     names = ["kept", "n_bytes", "n_removed", "n_spans"]
     own = docs.drop(*names)
     joined = own.withColumn("__doc", F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(int(NO_ID)))).join(
-        by_doc, F.col("__doc") == F.col("doc"), "left"
+        by_doc, F.col("__doc") == F.col("__d"), "left"
     )
     return joined.withColumn("__r", cut(F.col(f"`{text}`"), F.col("__spans"))).select(
         *[own[f"`{c}`"] for c in own.columns], *[f"__r.{n}" for n in names]

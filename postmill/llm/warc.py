@@ -249,8 +249,9 @@ def merge_runs(runs: DataFrame, ranges: int = RANGES) -> DataFrame:
 def _index_frame(rows: list[list]) -> pd.DataFrame:
     names = ["range", "place", "url_key", "captured_at", "order", "url", "page_id", "record_type", "payload_digest", "payload_bytes",
              "refers_to", "archive", "record_offset"]
-    out = pd.DataFrame(rows, columns=names).drop(columns="order")
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+    columns = dict(zip(names, zip(*rows)))
+    del columns["order"]
+    return pd.DataFrame(columns | {c: pd.array(columns[c], dtype="Int64") for c in ("page_id", "refers_to")})
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,7 +264,7 @@ def capture_index(spark: SparkSession, folder: str, ranges: int = RANGES) -> Dat
     return merge_runs(written(capture_runs(read_archives(spark, folder)), "runs"), ranges)
 
 
-def archive_and_index(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", **options) -> DataFrame:
+def archive_and_index(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", **options: object) -> DataFrame:
     """Write ``pages`` to new archives in the shared folder and return their merged index."""
     folder = new_folder(pages.sparkSession, "warc")
     write_archives(pages, folder, min_bytes, key, **options)
