@@ -15,7 +15,8 @@ from postmill.llm.common import bound_batches, ship, written
 
 SPAN = 50
 GRAM = 12
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
+SORT_BYTES = 2_000_000
 QUEUE_TUPLES = 8_000_000
 NO_ID = np.iinfo(np.int64).max
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -211,18 +212,20 @@ def gather(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
 
 
 def piece_keys(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """128 bits of content per piece as two numbers: sums of mixed grams by their distance from the end."""
+    """128 bits of content per piece as two numbers: sums of mixed grams, weighted by their distance from its start."""
     size = len(text) - 16
     grams = gram_hashes(text)
     out = np.empty((len(starts), 2), dtype=np.uint64)
-    for j, factor in enumerate((_MIX[0], _MIX[2])):
-        weight = np.empty(size + 1, dtype=np.uint64)
+
+    def powers(factor: int) -> np.ndarray:
+        weight = np.full(size + 1, np.uint64(factor), dtype=np.uint64)
         weight[0] = 1
-        weight[1:] = factor
-        weight = np.multiply.accumulate(weight)
-        total = np.concatenate([[np.uint64(0)], np.cumsum(grams[:size] * weight[:size], dtype=np.uint64)])
+        return np.multiply.accumulate(weight)
+
+    for j, factor in enumerate((int(_MIX[0]), int(_MIX[2]))):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(grams[:size] * powers(factor)[:size], dtype=np.uint64)])
         whole = total[starts + lengths - GRAM + 1] - total[starts]
-        out[:, j] = whole * weight[size - starts] + lengths.astype(np.uint64)
+        out[:, j] = whole * powers(pow(factor, -1, 1 << 64))[starts] + lengths.astype(np.uint64)
     return out
 
 
@@ -295,64 +298,73 @@ def opened(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return np.cumsum(fields[0]), np.cumsum(fields[1]), fields[2], raw[24 * n :]
 
 
-def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) -> pd.DataFrame:
+def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) -> Iterator[pd.DataFrame]:
     """Spans of one shard that repeat a string of a document with a smaller id.
 
-    Pieces are spooled to a scratch file and read as a memory map. Whole repeats of pieces are settled first; of the
-    rest only pieces that share their least gram with another are suffix-sorted.
+    Pieces are spooled to a scratch file; in memory stay their keys. Whole repeats of pieces are settled first. Of the
+    rest only pieces that share their least gram with another are suffix-sorted, in portions of about ``SORT_BYTES``:
+    equal strings share the least gram, so a portion holds all pieces of its grams.
     """
-    docs, places, lengths, held = [], [], [], 0
+    known: list[tuple] = []
+    held = 0
     with tempfile.TemporaryFile() as spool:
         for blob in blobs:
-            d, p, n, data = opened(blob)
-            docs.append(d)
-            places.append(p)
-            lengths.append(n)
+            doc, place, length, data = opened(blob)
+            start = np.cumsum(length) - length
+            text = np.frombuffer(data + bytes(16), dtype=np.uint8)
+            bounds = np.stack([start, start + length - GRAM + 1], axis=1).ravel()
+            least = np.minimum.reduceat(gram_hashes(text), bounds)[::2]
+            known.append((doc, place, length, least, piece_keys(text, start, length), start + held))
             held += spool.write(data)
         spool.write(bytes(16))
         spool.flush()
-        doc, place, length = map(np.concatenate, (docs, places, lengths))
-        text = np.memmap(spool, dtype=np.uint8, mode="r")
-        start = np.cumsum(length) - length
-        grams = gram_hashes(text)
-        bounds = np.stack([start, start + length - GRAM + 1], axis=1).ravel()
-        least = np.minimum.reduceat(grams, bounds)[::2]
-        classes, later = same_pieces(piece_keys(text, start, length), doc)
-        spans = [(doc[later], place[later], (place + length)[later])]
+        doc, place, length, least, keys, start = (np.concatenate(f) for f in zip(*known))
+        del known
+        classes, later = same_pieces(keys, doc)
+        yield span_frame(doc[later], place[later], (place + length)[later])
         kept = np.flatnonzero(~later)
         # One text per class; every place of it in its first document shares the outcome.
         _, first, member = np.unique(classes[kept], return_index=True, return_inverse=True)
         lone = kept[first]
         _, shared, count = np.unique(least[lone], return_inverse=True, return_counts=True)
+        by_class = np.argsort(member, kind="stable")
+        members = member[by_class]
         chosen = np.flatnonzero(count[shared] > 1)
-        if len(chosen):
-            piece = lone[chosen]
-            size = length[piece]
-            body, begin = gather(text, start[piece], size + 1)
-            body[begin + size] = 0
-            number = np.repeat(np.arange(len(piece)), size + 1)
-            inside = np.arange(len(body)) - begin[number]
-            order = induced_order(body, span, limit)
-            order = order[inside[order] + span <= size[number[order]]]
-            padded = np.concatenate([body, np.zeros(16, np.uint8)])
-            group = equal_runs(padded, order, span)
-            edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, int)
-            owner = doc[piece][number[order]]
-            smallest = np.minimum.reduceat(owner, edges)[group] if len(edges) else owner
-            hit = order[owner > smallest]
-            d, s, e = joined_spans(number[hit], inside[hit], inside[hit] + span)
-            # Back to all places of these pieces.
-            to_piece = np.full(len(lone), -1)
-            to_piece[chosen] = np.arange(len(piece))
-            at = to_piece[member]
-            by = np.argsort(at, kind="stable")
-            low, high = np.searchsorted(at[by], d, side="left"), np.searchsorted(at[by], d, side="right")
+        chosen = chosen[np.argsort(shared[chosen], kind="stable")]
+        grams = shared[chosen]
+        portion = np.cumsum(length[lone[chosen]]) // SORT_BYTES
+        # A gram's pieces all go to the portion in which the first of them is.
+        _, begin = np.unique(grams, return_index=True)
+        portion = portion[begin][np.searchsorted(grams[begin], grams)] if len(grams) else portion
+        for part in np.split(chosen, np.flatnonzero(np.diff(portion)) + 1):
+            if not len(part):
+                continue
+            piece = lone[part]
+            number, s, e = _repeats_among(spool, start[piece], length[piece], doc[piece], span, limit)
+            low, high = np.searchsorted(members, part[number], side="left"), np.searchsorted(members, part[number], side="right")
             many = high - low
-            places_of = by[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(d) else np.zeros(0, int)
-            target = kept[places_of]
-            spans.append((doc[target], place[target] + np.repeat(s, many), place[target] + np.repeat(e, many)))
-        del text
-    return span_frame(*(np.concatenate([s[i] for s in spans]) for i in range(3)))
+            at = by_class[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            target = kept[at]
+            yield span_frame(doc[target], place[target] + np.repeat(s, many), place[target] + np.repeat(e, many))
+
+
+def _repeats_among(spool, start: np.ndarray, size: np.ndarray, doc: np.ndarray, span: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``piece, start, end`` of what the pieces at ``start`` of the scratch file repeat of pieces of smaller documents."""
+    text = np.memmap(spool, dtype=np.uint8, mode="r")
+    body, begin = gather(text, start, size + 1)
+    del text
+    body[begin + size] = 0
+    number = np.repeat(np.arange(len(size)), size + 1)
+    inside = np.arange(len(body)) - begin[number]
+    order = induced_order(body, span, limit)
+    order = order[inside[order] + span <= size[number[order]]]
+    group = equal_runs(np.concatenate([body, np.zeros(16, np.uint8)]), order, span)
+    if not len(group):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    owner = doc[number[order]]
+    hit = order[owner > np.minimum.reduceat(owner, edges)[group]]
+    return joined_spans(number[hit], inside[hit], inside[hit] + span)
 
 
 SPAN_SCHEMA = "shard int, doc bigint, start bigint, end bigint, data binary"
@@ -395,12 +407,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
                 if shard < 0:
                     continue
                 if shard != current and held:
-                    yield shard_spans(iter(held), span, limit)[["doc", "start", "end"]]
+                    yield from (f[["doc", "start", "end"]] for f in shard_spans(iter(held), span, limit))
                     held = []
                 current = shard
                 held.append(bytes(data))
         if held:
-            yield shard_spans(iter(held), span, limit)[["doc", "start", "end"]]
+            yield from (f[["doc", "start", "end"]] for f in shard_spans(iter(held), span, limit))
 
     return dealt.select("shard", "doc", "start", "end", "data").mapInPandas(sort, "doc bigint, start bigint, end bigint")
 
