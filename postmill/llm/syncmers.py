@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 WORDS = 5  # words of a k-mer
 INNER = 2  # words of its inner substrings
 SKETCH = 64
-BLOCK = 64
-SUPER = 4_096
+BLOCK_BITS = 6
+SUPER_BITS = 12
 
 
 def bind(value: Column, body) -> Column:
@@ -85,10 +85,10 @@ def likeness(a: Column, b: Column) -> Column:
 def next_blocks(ids: DataFrame) -> DataFrame:
     """``block, next_block`` of the blocks that hold ids; the last is followed by the first.
 
-    Blocks are ordered within groups of ``SUPER``; only one row per group, for millions of ids, meets in one task.
+    Blocks are ordered within groups of ``2 ** SUPER_BITS``; only one row per group, for millions of ids, meets in one task.
     """
-    blocks = ids.where("doc_id IS NOT NULL").select(F.floor(F.col("doc_id") / BLOCK).alias("block")).distinct().withColumn(
-        "sup", F.floor(F.col("block") / SUPER)
+    blocks = ids.where("doc_id IS NOT NULL").select(F.shiftright("doc_id", BLOCK_BITS).alias("block")).distinct().withColumn(
+        "sup", F.shiftright("block", SUPER_BITS)
     )
     inside = W.partitionBy("sup").orderBy("block")
     over = W.orderBy("sup")
@@ -103,24 +103,26 @@ def next_blocks(ids: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """Add to ``doc_id, text, hashes`` the text and hashes of the next document by id, the first after the last.
 
-    Rows move once, into blocks of ``BLOCK`` ids; the last of each block takes the first of the next block
+    Rows move once, into blocks of ``2 ** BLOCK_BITS`` ids; the last of each block takes the first of the next block
     that holds any. Rows without id have no next document. Rows of one id follow each other by text.
     """
-    block = F.floor(F.col("doc_id") / BLOCK)
     order = W.partitionBy("block").orderBy("doc_id", "text")
-    rows = docs.where("doc_id IS NOT NULL").withColumn("block", block).select(
+    rows = docs.where("doc_id IS NOT NULL").withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).where("block IS NOT NULL").select(
         "block", "doc_id", "text", "hashes", F.lead("text").over(order).alias("next_text"), F.lead("hashes").over(order).alias("next_hashes"),
-        F.row_number().over(order).alias("rn"),
+        F.lag("text").over(order).alias("last_text"),
+    )
+    # The first of each block, under the name of the block before; both sides of the join share one exchange.
+    heads = rows.where("last_text IS NULL").select(F.col("block").alias("next_block"), F.col("text").alias("head"), F.col("hashes").alias("head_hashes"))
+    heads = heads.join(next_blocks(docs.select("doc_id")), "next_block").drop("next_block")
+    last = F.col("next_text").isNull()
+    linked = rows.join(heads, "block").select(
+        "doc_id", "text", "hashes", F.when(last, F.col("head")).otherwise(F.col("next_text")).alias("next_text"),
+        F.when(last, F.col("head_hashes")).otherwise(F.col("next_hashes")).alias("next_hashes"),
     )
-    heads = rows.where("rn = 1").select(F.col("block").alias("head"), F.col("text").alias("next_text"), F.col("hashes").alias("next_hashes"))
-    last = rows.where("next_text IS NULL").drop("next_text", "next_hashes").join(next_blocks(docs.select("doc_id")), "block")
-    columns = ["doc_id", "text", "hashes", "next_text", "next_hashes"]
     alone = docs.where("doc_id IS NULL").select(
         "doc_id", "text", "hashes", F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_hashes")
     )
-    return rows.where("next_text IS NOT NULL").select(columns).unionAll(
-        last.join(heads, F.col("next_block") == F.col("head")).select(columns)
-    ).unionAll(alone)
+    return linked.unionAll(alone)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,7 +132,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     half. Null texts count as empty. Without an id a document has no next one: its edited text is its own,
     ``near_next`` null. Equal texts have equal fingerprints. Other columns of ``docs`` are not read.
     """
-    lean = docs.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    # Without a needless alias of the id both uses of the rows plan alike and share the exchange.
+    ident = F.col(f"`{key}`") if key == "doc_id" else F.col(f"`{key}`").alias("doc_id")
+    lean = docs.select(ident, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = with_next(lean.withColumn("hashes", sketch(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
