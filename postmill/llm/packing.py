@@ -96,22 +96,21 @@ def full_patterns(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 3), int)
 
 
-def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Non-negative repeats that least-squares fit the histogram: accelerated projected gradient.
+def fit_repeats(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Non-negative repeats that fit the histogram by weighted least squares: accelerated projected gradient.
 
-    ``histogram[0]`` is unused. The step is the inverse of a bound on the largest eigenvalue of the
-    normal matrix, by power iteration.
+    Errors in short lengths weigh less: what is left of them fills gaps with ease. ``histogram[0]`` is unused. The
+    step is the inverse of a bound on the largest eigenvalue of the normal matrix, by power iteration.
     """
-    h = histogram.astype(np.float64).copy()
-    h[0] = 0
+    weight = np.minimum(1.0, (2.0 * np.arange(len(histogram)) / (len(histogram) - 1)) ** 2)
+    weight[0] = 0
+    h = histogram * weight
 
     def use(x: np.ndarray) -> np.ndarray:
-        y = sum(np.bincount(patterns[:, j], weights=x, minlength=len(h)) for j in range(patterns.shape[1]))
-        y[0] = 0
-        return y
+        return weight * sum(np.bincount(patterns[:, j], weights=x, minlength=len(h)) for j in range(patterns.shape[1]))
 
     def back(r: np.ndarray) -> np.ndarray:
-        return r[patterns].sum(axis=1)
+        return (weight * r)[patterns].sum(axis=1)
 
     v = np.ones(len(patterns))
     bound = 1.0
