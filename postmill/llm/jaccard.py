@@ -193,29 +193,40 @@ def chain_pairs(live: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def close_pairs(part: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one list, of different components, that size and place in the prefix do not rule out.
+PAIRS_AT_ONCE = 2_000_000
 
-    The place bound takes the token as the first shared one, as it is for one of the lists that a pair meets in; a pair
-    of higher level is counted in each of them.
+
+def close_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs within lists, of different components, that size and place in the prefix do not rule out.
+
+    ``rows`` are whole lists, or parts of lists that meet, one after the other. The place bound takes the token as the
+    first shared one, as it is for one of the lists that a pair meets in; a pair of higher level is counted in each of them.
     """
-    node, size, place, level, comp = (part[c].to_numpy() for c in ("node", "size", "place", "level", "component"))
-    side = part["side"].to_numpy()
-    out = []
-    step = max(1, 4_000_000 // max(1, len(part)))
-    for low in range(0, len(part), step):
-        i = np.arange(low, min(low + step, len(part)))[:, None]
-        j = np.arange(len(part))[None, :]
-        ok = (comp[i] != comp[j]) & ((side[i] == 0) & ((side[j] == 1) | (node[i] < node[j])) | ((side[i] == 2) & (side[j] == 2) & (node[i] < node[j])))
+    names = ("token", "lo", "hi", "node", "size", "place", "level", "component", "side")
+    if not len(rows):
+        return
+    token, lo, hi, node, size, place, level, comp, side = (rows[c].to_numpy() for c in names)
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    last = np.append(np.flatnonzero(new)[1:], len(rows))[np.cumsum(new) - 1]
+    after = last - np.arange(len(rows)) - 1
+    total = np.cumsum(after)
+    begin = 0
+    while begin < len(rows):
+        base = total[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, base + PAIRS_AT_ONCE, side="right")))
+        many = after[begin:end]
+        i = np.repeat(np.arange(begin, end), many)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        begin = end
+        ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (node[i] != node[j])
         ok &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+        i, j = i[ok], j[ok]
         asked = np.minimum(level[i], level[j])
         need = -(-percent * (size[i] + size[j]) // (100 + percent))
-        ok &= (asked > 1) | (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
-        x, y = np.nonzero(ok)
-        out.append(np.stack([node[x + low], node[y], np.minimum(level[x + low], level[y])], axis=1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    ends = np.sort(pairs[:, :2], axis=1)
-    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1], "asked": pairs[:, 2]})
+        ok = (asked > 1) | (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
+        i, j = i[ok], j[ok]
+        if len(i):
+            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "asked": asked[ok]})
 
 
 class Join:
@@ -365,13 +376,13 @@ class Join:
             for b in batches:
                 b = b if held is None else pd.concat([held, b], ignore_index=True)
                 key = b[["token", "lo", "hi"]].to_numpy()
-                cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-                edges = [0, *cut.tolist(), len(b)]
-                for low, high in zip(edges[:-2], edges[1:-1]):
-                    yield close_pairs(b.iloc[low:high], percent)
-                held = b.iloc[edges[-2] :]
+                cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
+                # The last list may go on in the next batch; lists are cut into parts of bounded length before.
+                whole = int(cut[-1]) + 1 if len(cut) else 0
+                yield from close_pairs(b.iloc[:whole], percent)
+                held = b.iloc[whole:]
             if held is not None and len(held):
-                yield close_pairs(held, percent)
+                yield from close_pairs(held, percent)
 
         dealt = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
         found = dealt.mapInPandas(run, "a bigint, b bigint, asked bigint")
