@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -48,6 +50,32 @@ def fold_title(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(col(c)), NON_WORD, "")
 
 
+def _folded() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and their plain letters, by their Unicode decomposition."""
+    pairs = []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if chr(code).islower() and len(parts) > 1 and all(unicodedata.combining(p) for p in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _folded()
+SEPARATORS = r"[^\p{L}\p{N}]+"
+
+
+def search_words(c: Column | str) -> Column:
+    """Words as the search index cuts them: lower case, marks folded, anything but letters and digits separates."""
+    folded = F.translate(F.lower(col(c)), MARKED, PLAIN)
+    return F.filter(F.split(F.regexp_replace(folded, SEPARATORS, " "), " "), lambda w: w != "")
+
+
+def query_words(query: str) -> list[str]:
+    """The words of a search query, cut as ``search_words`` cuts a text."""
+    folded = query.lower().translate(str.maketrans(MARKED, PLAIN))
+    return re.findall(r"[^\W_]+", folded)
+
+
 def title_tokens(c: Column | str) -> Column:
     """Distinct lower-case words of at least two characters."""
     words = F.split(F.regexp_replace(F.lower(col(c)), NON_WORD, " "), " ")

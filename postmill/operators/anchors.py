@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from postmill.operators.lookups import merge_lineage
 from postmill.session import cut_lineage
 
-MAX_ROUNDS = 1000
-
 
 def assign_anchors(wishes: DataFrame) -> DataFrame:
     """Give each final its best id not taken by an earlier final.
@@ -19,7 +17,9 @@ def assign_anchors(wishes: DataFrame) -> DataFrame:
     has not refused them, an id refuses all but the earliest asker, until nobody is refused.
     """
     open_wishes = cut_lineage(wishes.select("run_id", "final_no", "id", "wish"))
-    for _ in range(MAX_ROUNDS):
+    count = open_wishes.count()
+    # Every round but the last takes at least one wish away.
+    while True:
         asks = open_wishes.groupBy("run_id", "final_no").agg(F.min(F.struct("wish", "id")).alias("w"))
         asks = asks.select("run_id", "final_no", "w.id", "w.wish")
         holders = asks.groupBy("run_id", "id").agg(F.min("final_no").alias("holder"))
@@ -28,10 +28,10 @@ def assign_anchors(wishes: DataFrame) -> DataFrame:
             F.col("holder").isNull() | (F.col("final_no") <= F.col("holder"))
         )
         left = cut_lineage(left.select("run_id", "final_no", "id", "wish"))
-        if left.count() == open_wishes.count():
+        remaining = left.count()
+        if remaining == count:
             return asks.select("run_id", "final_no", "id")
-        open_wishes = left
-    raise RuntimeError(f"anchors did not settle within {MAX_ROUNDS} rounds")
+        open_wishes, count = left, remaining
 
 
 def merge_anchor(finals: DataFrame, candidates: DataFrame, preserve: DataFrame, now: Column) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import token_estimate
 from postmill.operators.numbering import BLOCK, with_offsets
-from postmill.session import cut_lineage
+from postmill.session import cut_lineage, ship
 
 FAN_IN = 64
 
@@ -170,3 +170,6 @@ def annotate(df: DataFrame, fn, out_schema: str) -> DataFrame:
             yield fn(batch)
 
     return df.mapInPandas(run, out_schema)
+
+
+ship(__name__)

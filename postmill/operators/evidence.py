@@ -51,15 +51,18 @@ def keyword_snippets(
 ) -> DataFrame:
     """(key, snippets, snippets_len): the messages holding any keyword, joined and truncated.
 
-    A keyword has no blank, so it lies within one word of a message. The pieces of up to
-    ``GRAM`` characters of every distinct word are joined to the keywords, or to the first
-    ``GRAM`` characters of longer ones. No article meets a message before each word, and then
-    each keyword, is down to its first ``max_chars`` of messages: a later message of a keyword
-    is beyond the limit for every article using it.
+    A keyword without blanks lies within one word of a message. The pieces of up to ``GRAM``
+    characters of every distinct word are joined to the keywords, or to the first ``GRAM``
+    characters of longer ones. A keyword with blanks is found by its longest part without any
+    and then looked for in the whole message. No article meets a message before each word, and
+    then each keyword, is down to its first ``max_chars`` of messages: a later message of a
+    keyword is beyond the limit for every article using it. Keywords of blanks alone find nothing.
     """
     order = list(order)
     wanted = keywords.select(key, F.lower("keyword").alias("k")).distinct()
-    terms = wanted.select("k").distinct().withColumn("gram", F.substring("k", 1, GRAM))
+    parts = F.filter(F.split("k", r"\s+"), lambda p: p != "")
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    terms = wanted.select("k", longest.alias("part")).distinct().withColumn("gram", F.substring("part", 1, GRAM))
     body = messages.select(*order, F.col(text).alias("t"))
     words = body.select(
         *order, (F.length("t") + 1).alias("n_chars"), F.explode(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("word")
@@ -72,13 +75,16 @@ def keyword_snippets(
         )
         return F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(size)))
 
-    grams = F.flatten(F.array(*[pieces(size) for size in range(2, GRAM + 1)]))
+    grams = F.flatten(F.array(*[pieces(size) for size in range(1, GRAM + 1)]))
     hits = (
         vocabulary.select("word", F.explode(F.array_distinct(grams)).alias("gram"))
-        .join(terms, "gram").where(F.contains("word", "k")).select("word", "k")
+        .join(terms, "gram").where(F.contains("word", "part")).select("word", "k", (F.col("k") == F.col("part")).alias("single"))
     )
-    per_word = _first_chars(words.join(hits.select("word").distinct(), "word", "left_semi"), ["word"], order, max_chars)
-    per_term = per_word.join(hits, "word").select("k", *order, "n_chars").distinct()
+    single, phrases = hits.where("single").drop("single"), hits.where("NOT single").drop("single")
+    per_word = _first_chars(words.join(single.select("word").distinct(), "word", "left_semi"), ["word"], order, max_chars)
+    per_term = per_word.join(single, "word").select("k", *order, "n_chars").distinct()
+    candidates = words.join(phrases, "word").select("k", *order, "n_chars").distinct().join(body, order)
+    per_term = per_term.unionByName(candidates.where(F.contains(F.lower("t"), "k")).drop("t"))
     per_term = _first_chars(per_term, ["k"], order, max_chars)
     per_key = per_term.join(wanted, "k").select(key, *order, "n_chars").distinct()
     chosen = _first_chars(per_key, [key], order, max_chars).join(body, order)
@@ -103,7 +109,7 @@ def _per_topic(value: dict[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(topic).alias("topic"), v.alias("value")) for topic, v in value.items()])
 
 
-def topic_match(chunks: DataFrame, topics: Topics = rules.TOPICS, text: str = "summary") -> DataFrame:
+def topic_match(chunks: DataFrame, topics: Topics, text: str = "summary") -> DataFrame:
     """(chunk_index, topic, score): number of topic keywords in each summary, where any is."""
     low = F.lower(F.col(text))
     scores = {
@@ -114,7 +120,7 @@ def topic_match(chunks: DataFrame, topics: Topics = rules.TOPICS, text: str = "s
     return rows.where("value >= 1").withColumnRenamed("value", "score")
 
 
-def topic_evidence(chunks: DataFrame, topics: Topics = rules.TOPICS, cap: int = 15, text: str = "summary") -> DataFrame:
+def topic_evidence(chunks: DataFrame, topics: Topics, cap: int = 15, text: str = "summary") -> DataFrame:
     """(topic, rank, evidence): first keyword lines per topic in chunk order, cut at 200 characters."""
     lines = chunks.select("chunk_index", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     clean = strip(F.regexp_replace("line", r"^\s*[*\-]\s*", ""))

@@ -66,8 +66,9 @@ def incremental_cut(
     if override is not None:
         return df.where(F.col(ts) > moment(override, df, ts))
     kind = df.schema[ts].dataType
-    marks = state.where(F.col("key") == key).agg(F.max(F.col("value").try_cast(kind)).alias("mark"))
-    return df.where(F.col(ts) > F.coalesce(marks.scalar(), default))
+    # One value of a keyed table: as a literal it reaches the file scan.
+    mark = state.where(F.col("key") == key).agg(F.max(F.col("value").try_cast(kind)).cast("string").alias("mark")).first()["mark"]
+    return df.where(F.col(ts) > (default if mark is None else F.lit(mark).cast(kind)))
 
 
 def advance_mark(state: DataFrame, as_of: Moment, key: str = "last_run_at") -> DataFrame:
@@ -76,7 +77,3 @@ def advance_mark(state: DataFrame, as_of: Moment, key: str = "last_run_at") -> D
     text = F.date_format(now, "yyyy-MM-dd HH:mm:ss")
     row = state.sparkSession.range(1).select(F.lit(key).alias("key"), text.alias("value"), now.alias("updated_at"))
     return state.where(F.col("key") != key).unionByName(row)
-
-
-def non_blank(df: DataFrame, column: str) -> DataFrame:
-    return df.where(strip(F.coalesce(F.col(column), F.lit(""))) != "")

@@ -36,22 +36,18 @@ def with_offsets(
     return joined.select(*cols, *[(F.col(f"__o_{n}") + F.col(f"__l_{n}")).alias(n) for n in sums])
 
 
-def assign_ids(articles: DataFrame, run_at: Column, chunk: str = "chunk_index", pos: str = "pos",
-               per_chunk: int = 1_000) -> DataFrame:
+def assign_ids(articles: DataFrame, run_at: Column, chunk: str = "chunk_index", pos: str = "pos") -> DataFrame:
     """Batch ids ``art-YYYYMMDDHHMM-NN`` in (run, chunk, position) order; ``run_at`` is KST wall time.
 
-    A reply holds fewer than ``per_chunk`` articles; the check fails loudly instead of
-    letting two articles share a place.
+    Rows are counted per chunk of a run; only these counts, one row per reply, are carried along a run.
     """
-    place = F.when(F.col(pos) < per_chunk, F.col(chunk).cast("bigint") * per_chunk + F.col(pos))
-    placed = articles.withColumn("__run", F.date_format(run_at, "yyyyMMddHHmm")).withColumn(
-        "__place", F.coalesce(place, F.raise_error(F.lit(f"a chunk holds {per_chunk} articles or more")).cast("bigint"))
-    )
-    numbered = with_offsets(placed, ["__run"], "__place", {"seq": F.lit(1)}, block=BLOCK * per_chunk)
+    placed = articles.withColumn("__run", F.date_format(run_at, "yyyyMMddHHmm"))
+    counts = placed.groupBy("__run", chunk).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("__run").orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("__run", chunk, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__run", chunk).orderBy(pos))
+    seq = F.col("__before") + F.col("__in")
+    numbered = placed.withColumn("__in", inside).join(counts, ["__run", chunk]).withColumn("seq", seq)
     number = F.col("seq").cast("string")
     padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number)
-    return (
-        numbered.withColumn("seq", F.col("seq") + 1)
-        .withColumn("id", F.concat(F.lit("art-"), F.col("__run"), F.lit("-"), padded))
-        .drop("__run", "__place", "__blk")
-    )
+    return numbered.withColumn("id", F.concat(F.lit("art-"), F.col("__run"), F.lit("-"), padded)).drop("__run", "__before", "__in")

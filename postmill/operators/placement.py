@@ -13,9 +13,11 @@ MAX_MAIN = 6
 SLOTS = 1 + MAX_MAIN
 
 
-def validate_placements(placed: DataFrame, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_placements(placed: DataFrame, valid: DataFrame, readable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(placements, rejected replies) from rows (reply_id, group, pos, id) and valid (reply_id, id).
 
+    ``readable`` (reply_id) are the replies that parsed: one that names no id puts everything on the side.
+
     Every id counts once, in its best group; one top, six mains, the overflow moves down,
     ids a reply forgot go to the side. A reply naming an unknown id is rejected whole.
     Only top and main are ranked, by group limits; the side list needs no order.
@@ -31,7 +33,8 @@ def validate_placements(placed: DataFrame, valid: DataFrame) -> tuple[DataFrame,
     front = top.select("reply_id", "id", F.lit("top").alias("placement"), "slot").unionByName(
         main.select("reply_id", "id", F.lit("main").alias("placement"), "slot")
     )
-    accepted = valid.join(sound.select("reply_id").distinct(), "reply_id", "left_semi")
+    heard = sound.select("reply_id") if readable is None else readable.select("reply_id").join(rejected, "reply_id", "left_anti")
+    accepted = valid.join(heard.distinct(), "reply_id", "left_semi")
     placements = accepted.join(front, ["reply_id", "id"], "left").withColumn(
         "placement", F.coalesce("placement", F.lit("side"))
     )

@@ -96,6 +96,20 @@ def timeline_order(rows: DataFrame, direction: str = "asc", ts: str = "ts") -> D
     return rows.orderBy(key, *[F.asc(c) for c in ("page_no", "pos") if c in rows.columns])
 
 
-def archive_rows(articles: DataFrame, placement: str = "all") -> DataFrame:
-    """Rows of the archive list with their excerpt source columns."""
-    return archive_view(articles, placement).withColumn("preview", preview("body", 180))
+def numbered_by(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Number all rows from 1, by falling ``group`` (nulls last) and ``order`` within it.
+
+    Rows are ranked within their group; only the counts of the groups, days or lengths, meet in one sequence.
+    """
+    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.orderBy(F.desc_nulls_last("__g")).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("__g", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+    joined = ranked.join(counts, F.col(group).eqNullSafe(F.col("__g")))
+    return joined.withColumn(name, F.col("__before") + F.col("__rank")).drop("__g", "__before", "__rank")
+
+
+def archive_places(articles: DataFrame) -> DataFrame:
+    """Every article with its ``place``, from 1, in archive order."""
+    dated = articles.withColumn("__day", F.to_date("created_at"))
+    return numbered_by(dated, "__day", archive_order(dated), "place").drop("__day")

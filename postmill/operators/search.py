@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import NON_WORD
+from postmill.functions.replies import let
+from postmill.functions.text import query_words, search_words
 
 K1, B = 1.2, 0.75
 
 
 def build_term_index(posts: DataFrame, key: str = "post_id", text: str = "content") -> DataFrame:
-    """Postings (term, key, tf, doc_len) of the case-folded words of every post."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), NON_WORD, " "), " "), lambda w: w != "")
-    listed = posts.select(key, words.alias("words"))
-    terms = listed.select(key, F.size("words").alias("doc_len"), F.explode("words").alias("term"))
-    return terms.groupBy("term", key, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings (term, key, tf, doc_len) of the words of every post, counted within its row."""
+    listed = posts.select(key, F.array_sort(search_words(text)).alias("words"))
+
+    def counted(words: Column) -> Column:
+        n = F.size(words)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        borders = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return let(borders, lambda starts: F.transform(starts, lambda s, j: F.struct(
+            F.get(words, s).alias("term"), (F.coalesce(F.get(starts, j + 1), n) - s).cast("bigint").alias("tf"))))
+
+    return listed.select(key, F.size("words").alias("doc_len"), F.inline(let(F.col("words"), counted))).select("term", key, "doc_len", "tf")
 
 
 def index_stats(posts: DataFrame, text: str = "content") -> DataFrame:
-    """One row (n_docs, n_words): the collection figures of the ranking."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), NON_WORD, " "), " "), lambda w: w != "")
-    return posts.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(words)).alias("n_words"))
+    """One row (n_docs, n_words): the collection figures of the ranking, to be stored beside the index."""
+    return posts.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size(search_words(text))).alias("n_words"))
 
 
 def write_term_index(index: DataFrame, path: str, buckets: int = 64) -> None:
@@ -50,7 +56,7 @@ def bm25_search(index: DataFrame, stats: DataFrame, query: str, n: int = 10, key
 
     The document frequencies are one row per query term; the collection figures are scalars.
     """
-    terms = sorted(set(query.lower().split()))
+    terms = sorted(set(query_words(query)))
     postings = read_terms(index, terms)
     freq = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     n_docs = stats.select(F.col("n_docs").cast("double")).scalar()
@@ -70,5 +76,5 @@ def search_posts(posts: DataFrame, index: DataFrame, stats: DataFrame, query: st
     hits = bm25_search(index, stats, query, n, key)
     # At most n hits.
     return posts.join(F.broadcast(hits), key).select(
-        key, "source", "author", "timestamp", F.substring("content", 1, 150).alias("preview"), "score"
+        key, "source", "author", "timestamp", F.substring("content", 1, 150).alias("preview"), "source_url", "score"
     ).orderBy(F.desc("score"), F.asc(key))

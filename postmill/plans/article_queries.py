@@ -144,10 +144,11 @@ def title_similarity_pairs(spark, sf):
     walk(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
         SELECT w.i + 1, CASE WHEN e.earlier IS NOT NULL AND list_has_any(e.earlier, w.kept) THEN w.kept ELSE list_append(w.kept, w.i + 1) END
         FROM walk w LEFT JOIN edges e ON e.i = w.i + 1 WHERE w.i < (SELECT max(i) FROM n))""") + """
-    SELECT id FROM n WHERE i IN (SELECT unnest(kept) FROM walk WHERE i = (SELECT max(i) FROM n))
-    UNION ALL SELECT id FROM tok WHERE len(tokens) = 0""")
+    SELECT id, row_number() OVER (ORDER BY length(body) DESC, ord) - 1 AS place FROM tok WHERE len(tokens) = 0
+        OR id IN (SELECT id FROM n WHERE i IN (SELECT unnest(kept) FROM walk WHERE i = (SELECT max(i) FROM n)))""")
 def near_dup_dedup(spark, sf):
-    return dedup.near_dup_dedup(_arts(spark, sf), 0.4).select("id")
+    kept = dedup.near_dup_dedup(_arts(spark, sf), 0.4)
+    return dedup.longest_first(kept).select("id", F.col("ord").alias("place"))
 
 
 # ---- rules ----
@@ -199,12 +200,9 @@ def archive_view(spark, sf):
     return ranking.archive_view(_arts(spark, sf), "main").select("id", "created_at")
 
 
-@query("archive_order", A + "SELECT id, row_number() OVER (ORDER BY created_at DESC, ord) AS place FROM articles QUALIFY place <= 50")
+@query("archive_order", A + "SELECT id, row_number() OVER (ORDER BY created_at DESC, ord) AS place FROM articles")
 def archive_order(spark, sf):
-    a = _arts(spark, sf)
-    first = a.orderBy(*ranking.archive_order(a)).limit(50)
-    listed = first.agg(F.array_sort(F.collect_list(F.struct((-F.unix_timestamp(F.col("created_at").cast("timestamp"))).alias("k"), "ord", "id"))).alias("l"))
-    return listed.select(F.posexplode("l").alias("p", "x")).select("x.id", (F.col("p") + 1).cast("bigint").alias("place"))
+    return ranking.archive_places(_arts(spark, sf)).select("id", "place")
 
 
 @query("side_order", A + "SELECT id, created_at FROM articles WHERE placement = 'side'")
@@ -330,11 +328,11 @@ def advance_mark(spark, sf):
 
 @query("migrate_state_v1", A + """
     SELECT CASE WHEN rn % 3 = 0 THEN 'legacy-' || lpad(CAST(rn AS VARCHAR), CAST(greatest(3, length(CAST(rn AS VARCHAR))) AS INTEGER), '0') ELSE id END AS id, headline, lang AS doc
-    FROM (SELECT *, row_number() OVER (PARTITION BY origin, lang ORDER BY ord) AS rn FROM articles)""")
+    FROM (SELECT *, row_number() OVER (PARTITION BY ord // 50, lang ORDER BY ord) AS rn FROM articles)""")
 def migrate_state_v1(spark, sf):
     a = _arts(spark, sf)
     items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "headline", "body"))), lambda x: F.struct(x["id"].alias("id"), x["headline"].alias("headline"), x["body"].alias("body")))
-    docs = a.groupBy("origin", "lang").agg(items.alias("raw")).select(
+    docs = a.groupBy(F.floor(F.col("ord") / 50), "lang").agg(items.alias("raw")).select(
         "lang", F.lit(1).alias("schema_version"), F.lit("2024-01-05T00:00:00Z").alias("generated_at"),
         F.struct(F.lit("2024-01-01").alias("start"), F.lit("2024-01-05T00:00:00Z").alias("end")).alias("period"),
         F.transform("raw", lambda x, i: F.struct(F.when((i + 1) % 3 != 0, x["id"]).alias("id"), x["headline"].alias("headline"), x["body"].alias("body"))).alias("articles"),
@@ -504,33 +502,36 @@ def _merge_report(spark, sf):
 
 
 @query("cluster_checks", A + """,
-    c AS (SELECT origin, lang, list(ord ORDER BY ord) AS ids, list(ord ORDER BY ord) FILTER (WHERE ord % 3 <> 0 OR ord % 7 = 0) AS keep, list(ord ORDER BY ord) FILTER (WHERE ord % 3 = 0) AS drop_ FROM articles GROUP BY origin, lang)
-    SELECT origin, lang, true AS covers, len(list_intersect(coalesce(keep, []), coalesce(drop_, []))) = 0 AS disjoint, len(ids) >= 2 AS big_enough FROM c""")
+    c AS (SELECT ord // 20 AS topic, list(ord) AS ids, coalesce(list(ord) FILTER (WHERE ord % 3 <> 0 OR ord % 7 = 0), []) AS keep,
+                 coalesce(list(ord) FILTER (WHERE ord % 3 = 0 AND ord % 11 <> 0), []) AS drop_ FROM articles GROUP BY topic)
+    SELECT topic, len(list_distinct(list_concat(keep, drop_))) = len(ids) AS covers, len(list_intersect(keep, drop_)) = 0 AS disjoint, len(ids) >= 2 AS big_enough FROM c""")
 def cluster_checks(spark, sf):
     a = _arts(spark, sf)
-    keep, drop = F.when((F.col("ord") % 3 != 0) | (F.col("ord") % 7 == 0), F.col("id")), F.when(F.col("ord") % 3 == 0, F.col("id"))
-    clusters = a.groupBy("origin", "lang").agg(
+    keep = F.when((F.col("ord") % 3 != 0) | (F.col("ord") % 7 == 0), F.col("id"))
+    drop = F.when((F.col("ord") % 3 == 0) & (F.col("ord") % 11 != 0), F.col("id"))
+    clusters = a.groupBy(F.floor(F.col("ord") / 20).alias("topic")).agg(
         F.collect_list("id").alias("ids"), F.collect_list(keep).alias("keep"), F.collect_list(drop).alias("drop")
     )
-    return aggregates.cluster_checks(clusters).select("origin", "lang", "covers", "disjoint", "big_enough")
+    return aggregates.cluster_checks(clusters).select("topic", "covers", "disjoint", "big_enough")
 
 
 # ---- placement and exports ----
 
 def _placed(spark, sf):
-    """One placement reply per source, with repeats, overflow and, for some, an unknown id."""
+    """One placement reply per source, with repeats, overflow, one without any id and, for some, an unknown id."""
     a = _arts(spark, sf)
     o = F.col("ord")
-    rows = a.where("ord % 3 <> 0")
+    rows = a.where("ord % 3 <> 0 AND origin <> 'src3'")
     group = F.when(o % 11 < 2, "top").when(o % 11 < 8, "main").otherwise("side")
     one = rows.select(F.col("origin").alias("reply_id"), group.alias("group"), o.alias("pos"), "id")
     again = rows.where("ord % 13 = 1").select(F.col("origin").alias("reply_id"), F.lit("side").alias("group"), o.alias("pos"), "id")
     stray = a.where("ord % 1000 = 7").select(F.col("origin").alias("reply_id"), F.lit("side").alias("group"), o.alias("pos"), F.lit("art-unknown").alias("id"))
-    return one.unionByName(again).unionByName(stray), a.select(F.col("origin").alias("reply_id"), "id")
+    named = one.unionByName(again).unionByName(stray)
+    return named, a.select(F.col("origin").alias("reply_id"), "id"), a.select(F.col("origin").alias("reply_id")).distinct()
 
 
 _PLACED = given("articles", more="""bad AS (SELECT DISTINCT origin FROM articles WHERE ord % 1000 = 7),
-    named AS (SELECT origin, id, ord, CASE WHEN ord % 11 < 2 THEN 0 WHEN ord % 11 < 8 THEN 1 ELSE 2 END AS g FROM articles WHERE ord % 3 <> 0 AND origin NOT IN (SELECT origin FROM bad)),
+    named AS (SELECT origin, id, ord, CASE WHEN ord % 11 < 2 THEN 0 WHEN ord % 11 < 8 THEN 1 ELSE 2 END AS g FROM articles WHERE ord % 3 <> 0 AND origin <> 'src3' AND origin NOT IN (SELECT origin FROM bad)),
     tops AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY ord) AS r FROM named WHERE g = 0),
     mains AS (SELECT origin, id, row_number() OVER (PARTITION BY origin ORDER BY extra, ord) AS r FROM (
         SELECT origin, id, ord, 0 AS extra FROM named WHERE g = 1 UNION ALL SELECT origin, id, ord, 1 FROM tops WHERE r > 1))""")
@@ -539,7 +540,7 @@ _PLACED = given("articles", more="""bad AS (SELECT DISTINCT origin FROM articles
 @query("validate_placements", _PLACED + """
     SELECT a.origin AS reply_id, a.id, CASE WHEN t.id IS NOT NULL THEN 'top' WHEN m.id IS NOT NULL THEN 'main' ELSE 'side' END AS placement
     FROM articles a LEFT JOIN tops t ON a.id = t.id AND t.r = 1 LEFT JOIN mains m ON a.id = m.id AND m.r <= 6
-    WHERE a.origin IN (SELECT origin FROM named)""")
+    WHERE a.origin NOT IN (SELECT origin FROM bad)""")
 def validate_placements(spark, sf):
     return placement.validate_placements(*_placed(spark, sf))[0].select("reply_id", "id", "placement")
 
@@ -597,20 +598,24 @@ def summary_fallback(spark, sf):
 
 
 @query("daily_documents", _DAILY + """
-    SELECT run_date AS date, 1 AS schema_version, 'Daily Mill' AS journal, article_count AS count, title, body,
-           coalesce((SELECT array_to_string(list(id ORDER BY ord), '|') FROM fresh WHERE CAST(day AS VARCHAR) = run_date), '') AS ids FROM summary""")
+    SELECT run_date AS date, 1 AS schema_version, 'Daily Mill' AS journal, article_count AS count, title, body FROM summary""")
 def daily_documents(spark, sf):
     days, a = _daily(spark, sf)
-    docs = state.daily_documents(days, a, aggregates.summary_fallback(days, a), b.ntz(b.NOW), "Daily Mill")
+    docs = state.daily_documents(days, aggregates.summary_fallback(days, a), b.ntz(b.NOW), "Daily Mill")
     return docs.select(
-        F.col("date").cast("string").alias("date"), "schema_version", "journal", "count", "daily_summary.title", "daily_summary.body",
-        F.array_join(F.transform("articles", lambda x: x["id"]), "|").alias("ids"),
+        F.col("date").cast("string").alias("date"), "schema_version", "journal", "count", "daily_summary.title", "daily_summary.body"
     )
 
 
+@query("daily_articles", _DAILY + "SELECT CAST(day AS VARCHAR) AS date, rank - 1 AS place, id, headline FROM ranked")
+def daily_articles(spark, sf):
+    _, a = _daily(spark, sf)
+    return state.daily_articles(a.select("run_date", "ord", "id", "headline")).withColumn("date", F.col("date").cast("string"))
+
+
 # ---- search ----
 
-_TERMS = given("text_posts", more="""ws AS (SELECT post_id, list_filter(string_split(regexp_replace(lower(content), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM text_posts),
+_TERMS = given("text_posts", more="""ws AS (SELECT post_id, list_filter(string_split(regexp_replace(strip_accents(lower(content)), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS words FROM text_posts),
     terms AS (SELECT post_id, len(words) AS doc_len, unnest(words) AS term FROM ws),
     idx AS (SELECT term, post_id, doc_len, count(*) AS tf FROM terms GROUP BY ALL)""")
 
@@ -628,7 +633,7 @@ def build_term_index(spark, sf):
     FROM hit JOIN df USING (term), st GROUP BY post_id HAVING count(*) = 2 ORDER BY score DESC, post_id LIMIT 10""")
 def bm25_search(spark, sf):
     p = b.text_posts(spark, sf)
-    return search.bm25_search(search.build_term_index(p), search.index_stats(p), "Whst the", 10)
+    return search.bm25_search(search.build_term_index(p), search.index_stats(p), "Whst-Thé", 10)
 
 
 @query("search_posts", _TERMS + """,
@@ -637,7 +642,7 @@ def bm25_search(spark, sf):
     df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM hit GROUP BY term),
     best AS (SELECT post_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / avg_len))), 6) AS score
         FROM hit JOIN df USING (term), st GROUP BY post_id HAVING count(*) = 2 ORDER BY score DESC, post_id LIMIT 5)
-    SELECT post_id, source, author, "timestamp", substr(content, 1, 150) AS preview, score FROM best JOIN text_posts USING (post_id)""")
+    SELECT post_id, source, author, "timestamp", substr(content, 1, 150) AS preview, source_url, score FROM best JOIN text_posts USING (post_id)""")
 def search_posts(spark, sf):
     p = b.text_posts(spark, sf)
     return search.search_posts(p, search.build_term_index(p), search.index_stats(p), "avec elle", 5)

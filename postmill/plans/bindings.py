@@ -39,7 +39,7 @@ def text_posts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select(
         F.col("doc_id").alias("post_id"), "source", F.col("doc_id").cast("string").alias("source_id"),
-        F.col("lang").alias("author"), F.col("text").alias("content"),
+        F.lit(None).cast("string").alias("source_url"), F.col("lang").alias("author"), F.col("text").alias("content"),
         (ntz("2024-01-01") + F.make_dt_interval(mins=(F.col("doc_id") % 500_000 * 7).cast("int"))).alias("timestamp"),
     )
 
@@ -61,7 +61,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     slot = F.col("doc_id") % 7
     return d.join(lab, "doc_id", "left").select(
         F.concat(F.lit("art-"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("ord"),
-        F.substring("text", 1, 80).alias("headline"), F.col("text").alias("body"),
+        F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("body"),
         F.when(F.col("toxic") == 0, "news").otherwise("rumor").alias("category"),
         F.when(F.col("quality") == 1, "high").otherwise("low").alias("trust"),
         created.alias("created_at"),

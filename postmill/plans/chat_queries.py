@@ -220,7 +220,7 @@ def topic_evidence(spark, sf):
 
 
 _KW = """words AS (SELECT id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS keyword FROM (
-        SELECT 'art-' || doc_id AS id, regexp_extract_all(substr(text, 1, 80) || ' ' || text, '[A-Za-z가-힣]+(?:[.-]\\d+(?:\\.\\d+)?)?|\\d+\\.\\d+(?:\\.\\d+)?') AS ws FROM documents)),
+        SELECT 'art-' || doc_id AS id, regexp_extract_all(string_split(text, chr(10))[1] || ' ' || text, '[A-Za-z가-힣]+(?:[.-]\\d+(?:\\.\\d+)?)?|\\d+\\.\\d+(?:\\.\\d+)?') AS ws FROM documents)),
     counted AS (SELECT id, keyword, count(*) AS freq, min(pos) AS first FROM words
         WHERE length(keyword) >= 2 AND lower(keyword) NOT IN ('the','and','or','a','an','is') GROUP BY id, keyword),
     kw AS (SELECT id, keyword FROM counted QUALIFY row_number() OVER (PARTITION BY id ORDER BY freq DESC, length(keyword) DESC, first) <= 8),"""

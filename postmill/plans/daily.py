@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.times import Moment, moment
-from postmill.operators import aggregates, dedup, guards, lookups, numbering, placement, replies
+from postmill.operators import dedup, guards, lookups, numbering, placement, replies
 from postmill.operators.filters import decision_log_retention
 from postmill.session import cut_lineage
 
@@ -33,7 +33,7 @@ def without_duplicates(candidates: DataFrame, existing: DataFrame, threshold: fl
     """Exact and near duplicates removed within the batch, repeated releases against ``existing``."""
     distinct = dedup.near_dup_dedup(dedup.exact_title_dedup(candidates), threshold)
     kept, _ = guards.product_story_guard(distinct, existing)
-    return cut_lineage(kept)
+    return cut_lineage(dedup.longest_first(kept))
 
 
 def drop_by_clusters(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -68,9 +68,10 @@ def place(
     reply is rejected, existing articles keep their placement and new ones go to the side.
     ``existing`` and ``new`` share columns and have distinct ``ord``, existing first.
     """
-    rows, _ = replies.parse_placement_replies(reply)
+    rows, unread = replies.parse_placement_replies(reply)
+    readable = reply.select("reply_id").join(unread, "reply_id", "left_anti")
     valid = shown.select("reply_id", F.col("short").alias("id"))
-    decided, rejected = placement.validate_placements(rows, valid)
+    decided, rejected = placement.validate_placements(rows, valid, readable)
     named = decided.withColumnRenamed("id", "short").join(shown, ["reply_id", "short"]).select("id", "placement")
     everything = existing.unionByName(new)
     given = everything.select("id", F.col("placement").alias("before")).join(named, "id", "left").select(
@@ -80,9 +81,14 @@ def place(
     now = moment(as_of, everything, "created_at")
     updated = lookups.apply_placements(everything, front.withColumnRenamed("decided", "placement"), now)
     articles = updated.join(front.select("id", "slot"), "id")
-    entry = new.agg(F.count(F.lit(1)).alias("new_count")).select(moment(as_of, log, "run_at").alias("run_at"), "new_count")
+    # A run without new rows leaves no entry; an entry names the front, at most seven ids, all else is on the side.
+    front_ids = articles.where("slot IS NOT NULL").agg(
+        F.map_from_entries(F.collect_list(F.struct("id", "placement"))).alias("placements")
+    )
+    entry = new.agg(F.count(F.lit(1)).cast("int").alias("new_count")).where("new_count > 0").select(
+        moment(as_of, log, "run_at").alias("run_at"), "new_count"
+    )
+    if "placements" in log.columns:
+        entry = entry.withColumn("placements", front_ids.scalar())
     return Placed(articles, decision_log_retention(log, as_of, entry), rejected)
 
-
-def placement_counts(articles: DataFrame) -> DataFrame:
-    return aggregates.label_counts(articles, "placement")

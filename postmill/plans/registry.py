@@ -39,7 +39,7 @@ _CTES = {
                    json_extract_string(metadata, '$.likes'), json_extract_string(metadata, '$.upvotes'), '0') AS DOUBLE) AS cli_score
         FROM posts)""",
     "text_posts": """text_posts AS (
-        SELECT doc_id AS post_id, source, CAST(doc_id AS VARCHAR) AS source_id, lang AS author, text AS content,
+        SELECT doc_id AS post_id, source, CAST(doc_id AS VARCHAR) AS source_id, CAST(NULL AS VARCHAR) AS source_url, lang AS author, text AS content,
                TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id % 500000 * 7 AS INTEGER)) AS "timestamp"
         FROM documents)""",
     "messages": """messages AS (
@@ -48,7 +48,7 @@ _CTES = {
                TIMESTAMP '2026-04-17' + to_minutes(CAST((conv_id * 60 + turn) % 500000 AS INTEGER)) AS ts_kst
         FROM conversations)""",
     "articles": """articles AS (
-        SELECT 'art-' || CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, substr(text, 1, 80) AS headline, text AS body,
+        SELECT 'art-' || CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, string_split(text, chr(10))[1] AS headline, text AS body,
                CASE WHEN toxic = 0 THEN 'news' ELSE 'rumor' END AS category,
                CASE WHEN quality = 1 THEN 'high' ELSE 'low' END AS trust,
                TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id % 500000 * 7 AS INTEGER)) AS created_at,

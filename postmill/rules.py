@@ -73,28 +73,6 @@ KEYWORD_PATTERN = r"[A-Za-z가-힣]+(?:[.-]\p{Nd}+(?:\.\p{Nd}+)?)?|\p{Nd}+\.\p{N
 KEYWORD_STOP = ["the", "and", "or", "a", "an", "is", "을", "를", "의", "이", "가", "에", "으로", "그", "는", "은", "도"]
 TRUNCATION_MARK = "\n... (truncated)"
 
-# Topics of the headline digest.
-TOPICS = [
-    ("Claude Mythos 후폭풍: AI 커뮤니티를 뒤흔든 자율 해킹 모델 논쟁",
-     ["mythos", "glasswing", "zero-day", "hacking", "swe-bench",
-      "cybersecurity", "autonomous", "exploit", "anthropic"]),
-    ("Claude Opus vs GPT-5.5 Spud: 코딩 AI 왕좌의 게임",
-     ["spud", "gpt-5.5", "gpt-5.4", "opus 4.6", "opus", "claude",
-      "coding", "sonnet", "benchmark", "deepseek"]),
-    ("GPT Image 2 실전 테스트: 이미지 생성 AI의 새로운 기준?",
-     ["image 2", "image generation", "nano banana", "nbp", "nb2",
-      "gpt image", "image 1.5", "grok image", "watermark"]),
-    ("Gemini vs Claude vs GPT: 삼파전 벤치마크 비교 분석",
-     ["gemini", "benchmark", "comparison", "google", "gemini 3", "flash", "pro", "eval"]),
-    ("Meta Muse Spark·Qwen·Grok: 도전자들의 반격",
-     ["muse spark", "meta", "qwen", "grok", "llama", "open source", "open-source", "challenger"]),
-    ("AI 에이전트 시대: MCP, 코딩 도구, 자동화의 최전선",
-     ["agent", "mcp", "cursor", "windsurf", "tool", "automation",
-      "coding tool", "dispatch", "computer use"]),
-    ("OpenAI 내부 소식: 모델 은퇴와 차세대 로드맵",
-     ["openai", "retiring", "codex", "roadmap", "o3", "o4", "sora", "gpt-6"]),
-]
-
 # Texts of the fallback summary.
 SUMMARY_TITLE_DEFAULT = "오늘의 AI 업데이트"
 SUMMARY_TITLE_EMPTY = "새 업데이트 없이 이어지는 하루"

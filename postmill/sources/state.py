@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill import schemas
 from postmill.functions.text import blank_to_null
+from postmill.functions.times import parse_iso
 from postmill.operators.numbering import with_offsets
 
 
@@ -23,11 +24,11 @@ def migrate_state_v1(doc: DataFrame, keep: list[str] | None = None) -> tuple[Dat
     keep = keep or []
     old = doc.where(F.coalesce("schema_version", F.lit(1)) != 2)
     head = old.select(
-        F.lit(2).alias("schema_version"), F.try_to_timestamp("period.end").alias("last_run_at"),
-        F.try_to_timestamp("generated_at").alias("generated_at"),
+        F.lit(2).alias("schema_version"), parse_iso("period.end").alias("last_run_at"),
+        parse_iso("generated_at").alias("generated_at"),
     )
     rows = old.select(*keep, "generated_at", F.posexplode("articles").alias("pos", "a"))
-    made = F.try_to_timestamp("generated_at")
+    made = parse_iso("generated_at")
     number = (F.col("pos") + 1).cast("string")
     default = F.concat(F.lit("legacy-"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
     articles = rows.select(
@@ -50,42 +51,33 @@ def read_snapshot(spark: SparkSession, path: str, version: int | None = None) ->
     return rows.where(F.col("version") == newest).drop("version")
 
 
-PART_ROWS = 1_000
+def daily_documents(runs: DataFrame, summaries: DataFrame, generated_at: Column, journal: str) -> DataFrame:
+    """One export header per run date, also for dates without articles.
 
-
-def daily_documents(
-    runs: DataFrame, articles: DataFrame, summaries: DataFrame, generated_at: Column, journal: str,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """One export document per run date, also for dates without articles.
-
-    ``runs`` are (run_date), ``articles`` (run_date, ord, ...), ``summaries`` (run_date, title,
-    body, article_count). A date of more than ``part_rows`` articles continues in further
-    parts, in order, so no document outgrows a task.
+    ``runs`` are (run_date), ``summaries`` (run_date, title, body, article_count). The articles of a date are rows
+    of their own (``daily_articles``), so no document grows with its date.
     """
-    fields = [c for c in articles.columns if c not in ("run_date", "ord")]
-    placed = with_offsets(articles, ["run_date"], "ord", {"seq": F.lit(1)})
-    placed = placed.withColumn("part", F.floor(F.col("seq") / F.lit(part_rows)).cast("int"))
-    grouped = placed.groupBy("run_date", "part").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("a")))).alias("items")
-    )
-    bodies = grouped.select("run_date", "part", F.transform("items", lambda x: x["a"]).alias("articles"))
-    joined = runs.select("run_date").join(summaries, "run_date").join(bodies, "run_date", "left")
-    none = F.array().cast(bodies.schema["articles"].dataType)
-    return joined.select(
+    return runs.select("run_date").join(summaries, "run_date").select(
         F.lit(1).alias("schema_version"), F.lit(journal).alias("journal"), F.col("run_date").alias("date"),
-        F.coalesce("part", F.lit(0)).alias("part"), generated_at.alias("generated_at"), F.col("article_count").alias("count"),
+        generated_at.alias("generated_at"), F.col("article_count").alias("count"),
         F.struct(
             F.lit(1).alias("schema_version"), "title", F.col("run_date").alias("date"), generated_at.alias("generated_at"),
             "article_count", "body",
         ).alias("daily_summary"),
-        F.coalesce("articles", none).alias("articles"),
     )
 
 
-def write_daily_export(documents: DataFrame, path: str) -> None:
-    """Documents by date; writing a date again replaces it."""
-    (
-        documents.withColumn("day", F.col("date"))
-        .write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
-    )
+def daily_articles(articles: DataFrame) -> DataFrame:
+    """The articles (run_date, ord, ...) of each date with their place in its document, from 0."""
+    fields = [c for c in articles.columns if c not in ("run_date", "ord")]
+    placed = with_offsets(articles, ["run_date"], "ord", {"place": F.lit(1)})
+    return placed.select(F.col("run_date").alias("date"), "place", *fields)
+
+
+def write_daily_export(documents: DataFrame, articles: DataFrame, path: str) -> None:
+    """Headers and articles by date; writing a date again replaces it."""
+    for rows, part in ((documents, "documents"), (articles, "articles")):
+        (
+            rows.withColumn("day", F.col("date")).hint("rebalance", "day")
+            .write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").json(f"{path}/{part}")
+        )

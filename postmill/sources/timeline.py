@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import ship
+
 SITE = "https://nitter.net"
 # Icon class, statistic, and whether thousands separators are removed.
 STATS = {
@@ -116,3 +118,6 @@ def extract_timeline_pages(pages: DataFrame) -> DataFrame:
         "user", "ts", F.regexp_replace(F.trim("replying"), r"(?i)^Replying to\s*", "").alias("replying_to"),
         F.trim("content").alias("content"), F.struct(*[count(n, c) for n, c in STATS.values()]).alias("stats"), "next_cursor",
     )
+
+
+ship(__name__)

@@ -29,15 +29,21 @@ def stream_ingest(
     )
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        started = datetime.now(timezone.utc)
+        started, error = datetime.now(timezone.utc), None
         batch.persist()
-        readable = typed_posts(batch.where("_corrupt IS NULL").drop("_corrupt"))
-        valid, _ = normalize_posts(readable)
-        merge_into_store(valid, store, f"{checkpoint}/staging", ["fetched_at", "timestamp", "content", "metadata"])
-        if runs:
-            counts = batch_counts(batch)
-            log_ingest_run(counts, started, batch_id).write.mode("append").json(runs)
-        batch.unpersist()
+        try:
+            readable = typed_posts(batch.where("_corrupt IS NULL").drop("_corrupt"))
+            valid, _ = normalize_posts(readable)
+            merge_into_store(valid, store, f"{checkpoint}/staging", ["fetched_at", "timestamp", "content", "metadata"])
+        except Exception as e:
+            error = str(e)
+            raise
+        finally:
+            if runs:
+                # A folder per batch: a replay replaces its own rows.
+                rows = log_ingest_run(batch_counts(batch), started, batch_id, error)
+                rows.write.mode("overwrite").json(f"{runs}/batch={batch_id}")
+            batch.unpersist()
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()

@@ -106,17 +106,24 @@ def test_state_round_trip_and_snapshots(spark, tmp_path):
     assert state.read_snapshot(spark, path).count() == 1 and state.read_snapshot(spark, path, 1).count() == 2
 
 
-def test_daily_documents_split_and_replace(spark, tmp_path):
+def test_daily_export_of_any_size_and_replace(spark, tmp_path):
     runs = spark.createDataFrame([("2026-04-20",), ("2026-04-21",)], "d string").select(F.to_date("d").alias("run_date"))
-    arts = spark.createDataFrame([("2026-04-20", i, f"a{i}") for i in range(5)], "d string, ord bigint, id string")
-    arts = arts.select(F.to_date("d").alias("run_date"), "ord", "id")
+    arts = spark.range(1001).select(F.to_date(F.lit("2026-04-20")).alias("run_date"), (F.col("id") * 7).alias("ord"), F.concat(F.lit("a"), F.col("id")).alias("id"))
     summaries = runs.select("run_date", F.lit("t").alias("title"), F.lit("b").alias("body"), F.lit(5).cast("bigint").alias("article_count"))
-    docs = state.daily_documents(runs, arts, summaries, F.to_timestamp(F.lit("2026-04-20")), "Mill", part_rows=2)
-    got = {(str(r.date), r.part): [a.id for a in r.articles] for r in docs.collect()}
-    assert got == {("2026-04-20", 0): ["a0", "a1"], ("2026-04-20", 1): ["a2", "a3"], ("2026-04-20", 2): ["a4"], ("2026-04-21", 0): []}
+    docs = state.daily_documents(runs, summaries, F.to_timestamp(F.lit("2026-04-20")), "Mill")
+    rows = state.daily_articles(arts)
+    assert docs.count() == 2
+    assert [(r.place, r.id) for r in rows.orderBy("place").collect()] == [(i, f"a{i}") for i in range(1001)]
     for _ in range(2):
-        state.write_daily_export(docs, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 4
+        state.write_daily_export(docs, rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/documents")).count() == 2 and spark.read.json(str(tmp_path / "out/articles")).count() == 1001
+
+
+def test_v1_times_without_zone_are_kst(spark):
+    doc = spark.createDataFrame([(1, ("2026-04-08 00:00", "2026-04-09 23:59"), "2026-04-10T01:00:00Z", [("x", "h", "b")])],
+        "schema_version int, period struct<start: string, end: string>, generated_at string, articles array<struct<id: string, headline: string, body: string>>")
+    head, _ = state.migrate_state_v1(doc)
+    assert str(head.first().last_run_at) == "2026-04-09 14:59:00"
 
 
 POST = "source string, source_id string, content string, fetched_at timestamp"
