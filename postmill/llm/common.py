@@ -1,37 +1,20 @@
-"""What the operators share: reading tables, shared folders, shipping of Python code."""
+"""What the operators share: reading tables, written intermediate results, ranks in slices."""
 
 from __future__ import annotations
 
-import sys
-import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def ship(module: str) -> None:
-    """Send functions of ``module`` to the executors by value, so workers need no copy of the package."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
+from postmill.session import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without one gets its own."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -81,4 +64,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+__all__ = ["bound_batches", "new_folder", "place_in_spans", "ranks_in_groups", "ship", "table", "written"]
+
 ship(__name__)

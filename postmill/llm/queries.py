@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.llm import oracle
 from postmill.llm.bpe import encode_documents
 from postmill.llm.common import table
 from postmill.llm.html import extract
@@ -32,12 +33,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_warc_index")
+@query("op1_warc_index", oracle.WARC_INDEX)
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures are a second apart, by page: the table has no times."""
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(31_622_400)))
     return archive_and_index(table(spark, sf_dir, "pages"), captured_at=at).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "range", "place"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
@@ -68,12 +69,12 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_adaptive_jaccard")
+@query("op6_adaptive_jaccard", oracle.JACCARD)
 def op6_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
 
 
-@query("op7_suffix_dedup")
+@query("op7_suffix_dedup", oracle.SUFFIX_DEDUP)
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
