@@ -62,15 +62,25 @@ class BucketQueue:
         self.held = 0
 
     def pop(self, symbol: int, newest: bool = False) -> np.ndarray | None:
-        """The oldest batch of one queue, or the newest."""
-        if not self.waiting[symbol]:
+        """The oldest suffixes of one queue, or the newest, in order: all that wait, up to about ``limit``."""
+        queue, size, n = self.waiting[symbol], 0, 0
+        for part in reversed(queue) if newest else queue:
+            if n and size >= self.limit:
+                break
+            size, n = size + (part[1] if isinstance(part, tuple) else len(part)), n + 1
+        if not n:
             return None
-        part = self.waiting[symbol].pop(-1 if newest else 0)
-        if isinstance(part, tuple):
-            self.file.seek(part[0])
-            return np.frombuffer(self.file.read(8 * part[1]), dtype=np.int64)
-        self.held -= len(part)
-        return part
+        taken = queue[len(queue) - n :] if newest else queue[:n]
+        self.waiting[symbol] = queue[: len(queue) - n] if newest else queue[n:]
+        parts = []
+        for part in taken:
+            if isinstance(part, tuple):
+                self.file.seek(part[0])
+                part = np.frombuffer(self.file.read(8 * part[1]), dtype=np.int64)
+            else:
+                self.held -= len(part)
+            parts.append(part)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def words_at(text: np.ndarray, offset: int = 0) -> np.ndarray:
