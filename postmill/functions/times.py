@@ -69,7 +69,9 @@ def parse_iso(c: Column | str) -> Column:
     """ISO text to an instant; ``Z`` accepted, naive text is KST, blank text is null."""
     text = blank_to_null(strip(c))
     zoned = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2}(?::?\d{2})?)$") & text.rlike(r"[T ]\d{2}")
-    naive = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    naive = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00"))).when(
+        text.rlike(r"[T ]\d{2}:\d{2}$"), F.concat(text, F.lit(":00"))
+    ).otherwise(text)
     return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(naive, F.lit("+09:00"))))
 
 

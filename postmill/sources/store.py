@@ -1,12 +1,15 @@
-"""The keyed post store: Parquet by source and key bucket.
+"""The keyed post store: Parquet by source and day, in versions.
 
-A merge rewrites only the buckets its batch touches. Buckets are a hash of the key within a
-source, so a source with a third of all posts is spread evenly. The number of buckets belongs
-to the store: choose it so that one bucket is a few gigabytes, and keep it.
+A merge writes the days it touches as a new version and then, in one small file, the list that says which
+version of each day holds. Until that file is there the old list holds, so a merge that dies loses nothing and
+runs again. Rows of a day are sorted by time; a read of recent days opens their files alone.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,52 +18,76 @@ from postmill import schemas
 from postmill.operators.merges import POST_KEYS, insert_ignore, upsert
 from postmill.operators.validate import normalize_metadata
 
-BUCKETS = 64
-PARTS = ["source", "key_bucket"]
-
+PARTS = ["source", "dt"]
+DAYS = "source STRING, dt DATE, data_version BIGINT"
 
-def bucketed(df: DataFrame, keys: list[str] = POST_KEYS, buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
+def _days(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """The days that hold, with the version of each, and the number of the last merge; none without a store."""
+    try:
+        lists = spark.read.schema(f"{DAYS}, merge BIGINT").parquet(f"{path}/days")
+        last = lists.agg(F.max("merge")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None, 0
+    return (None, 0) if last is None else (lists.where(F.col("merge") == last).drop("merge"), last)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
+def read_store(spark: SparkSession, path: str, schema: StructType | None = None, since: date | str | None = None) -> DataFrame:
+    """The stored rows, of the days from ``since`` on if it is given.
 
-def read_store(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """The stored rows; the schema is given because folder names would be guessed as numbers."""
-    wanted = schema or StructType.fromDDL(f"{schemas.POSTS}, key_bucket INT")
-    return spark.read.schema(wanted).parquet(path)
+    ``schema`` has the columns without ``dt``; it is given because folder names would be guessed as numbers.
+    The list of days, one row per source and day, is broadcast and prunes the folders.
+    """
+    wanted = schema or StructType.fromDDL(schemas.POSTS)
+    plain = StructType([f for f in wanted.fields if f.name not in PARTS])
+    days, _ = _days(spark, path)
+    if days is None:
+        return spark.createDataFrame([], wanted).withColumn("dt", F.lit(None).cast("date"))
+    if since is not None:
+        days = days.where(F.col("dt") >= F.lit(str(since)).cast("date"))
+    full = plain.add("data_version", "long").add("source", "string").add("dt", "date")
+    rows = spark.read.schema(full).parquet(f"{path}/data")
+    if since is not None:
+        rows = rows.where(F.col("dt") >= F.lit(str(since)).cast("date"))
+    return rows.join(F.broadcast(days), [*PARTS, "data_version"]).select(*[f.name for f in wanted.fields], "dt")
 
 
 def merge_into_store(
-    incoming: DataFrame, path: str, staging: str, order: list[str], keys: list[str] = POST_KEYS,
-    first_wins: bool = False, buckets: int = BUCKETS,
+    incoming: DataFrame, path: str, order: list[str], keys: list[str] = POST_KEYS, first_wins: bool = False, day: str = "timestamp",
 ) -> None:
     """Merge a batch into the store; running the same batch again changes nothing.
 
-    The merged buckets are written to ``staging`` first, then swapped in, because a store
-    cannot be read and replaced in one job.
+    Rewritten are the days of the batch and, as a key may move, the days that hold its keys; those are found
+    by a scan of the key columns.
     """
     spark = incoming.sparkSession
-    batch = bucketed(incoming, keys, buckets)
+    batch = incoming.withColumn("dt", F.to_date(day))
     merge = insert_ignore if first_wins else upsert
-    if _exists(spark, path):
-        stored = read_store(spark, path, batch.schema)
-        touched = batch.select(*PARTS).distinct()
-        # The broadcast of the touched partitions also prunes the scan of the store.
-        existing = stored.join(touched, PARTS, "left_semi")
-        merged = merge(existing, batch, keys, order)
+    days, last = _days(spark, path)
+    if days is None:
+        touched, merged = None, merge(batch.limit(0), batch, keys, order)
     else:
-        merged = merge(batch.limit(0), batch, keys, order)
-    merged.write.mode("overwrite").partitionBy(*PARTS).parquet(staging)
-    # Rebalancing gives even files, whatever a bucket holds.
-    staged = read_store(spark, staging, batch.schema).hint("rebalance", *PARTS)
-    (
-        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTS).parquet(path)
-    )
+        stored = read_store(spark, path, incoming.schema)
+        held = stored.select(*keys, "dt").join(batch.select(*keys).distinct(), keys, "left_semi")
+        touched = batch.select(*PARTS).unionByName(held.select(*PARTS)).distinct()
+        # One row per source and day; its broadcast also prunes the scan of the store.
+        merged = merge(stored.join(F.broadcast(touched), PARTS, "left_semi"), batch, keys, order)
+    version = last + 1
+    target = f"{path}/data/data_version={version}"
+    merged.hint("rebalance", *PARTS).sortWithinPartitions(*PARTS, day).write.mode("overwrite").partitionBy(*PARTS).parquet(target)
+    written = merged.select(*PARTS).distinct().select("source", "dt", F.lit(version).cast("bigint").alias("data_version"))
+    kept = written if days is None else days.join(F.broadcast(touched), PARTS, "left_anti").unionByName(written)
+    # The single file of this list makes the merge count.
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/days/merge={version}")
+
+
+def old_versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of versions that no day holds any more, for the operator to delete."""
+    days, last = _days(spark, path)
+    live = {r["data_version"] for r in days.select("data_version").distinct().collect()} if days is not None else set()
+    return [f"{path}/data/data_version={v}" for v in range(1, last + 1) if v not in live]
 
 
 def backfill_posts(old: DataFrame) -> DataFrame:

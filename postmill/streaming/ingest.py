@@ -34,7 +34,7 @@ def stream_ingest(
         try:
             readable = typed_posts(batch.where("_corrupt IS NULL").drop("_corrupt"))
             valid, _ = normalize_posts(readable)
-            merge_into_store(valid, store, f"{checkpoint}/staging", ["fetched_at", "timestamp", "content", "metadata"])
+            merge_into_store(valid, store, ["fetched_at", "timestamp", "content", "metadata"])
         except Exception as e:
             error = str(e)
             raise

@@ -129,21 +129,39 @@ def test_v1_times_without_zone_are_kst(spark):
 POST = "source string, source_id string, content string, fetched_at timestamp"
 
 
+def _posts(spark, rows):
+    return spark.createDataFrame(rows, "source string, source_id string, content string, day string, n int").select(
+        "source", "source_id", "content", F.to_timestamp("day").alias("timestamp"), F.timestamp_seconds("n").alias("fetched_at"))
+
+
 def test_store_merge_is_keyed_and_repeatable(spark, tmp_path):
-    path, staging = str(tmp_path / "store"), str(tmp_path / "staging")
-    at = lambda rows: spark.createDataFrame(rows, "source string, source_id string, content string, n int").select(
-        "source", "source_id", "content", F.timestamp_seconds("n").alias("fetched_at"))
-    first, second = at([("7", "a", "v1", 1), ("7", "a", "v2", 2), ("y", "b", "w", 1)]), at([("7", "a", "v3", 3), ("7", "c", "z", 3)])
-    store.merge_into_store(first, path, staging, ["fetched_at"])
-    for _ in range(2):
-        store.merge_into_store(second, path, staging, ["fetched_at"])
-    rows = store.read_store(spark, path, store.bucketed(first).schema)
-    assert {(r.source, r.source_id, r.content) for r in rows.collect()} == {("7", "a", "v3"), ("7", "c", "z"), ("y", "b", "w")}
-    keep, kept = str(tmp_path / "keep"), str(tmp_path / "keep_staging")
-    store.merge_into_store(first, keep, kept, ["fetched_at"], first_wins=True)
-    store.merge_into_store(second, keep, kept, ["fetched_at"], first_wins=True)
-    rows = store.read_store(spark, keep, store.bucketed(first).schema)
-    assert {(r.source_id, r.content) for r in rows.collect()} == {("a", "v1"), ("b", "w"), ("c", "z")}
+    first = _posts(spark, [("7", "a", "v1", "2026-04-01", 1), ("7", "a", "v2", "2026-04-01", 2), ("y", "b", "w", "2026-04-02", 1)])
+    second = _posts(spark, [("7", "a", "v3", "2026-04-03", 3), ("7", "c", "z", "2026-04-03", 3)])
+    for first_wins, want in ((False, {("7", "a", "v3"), ("7", "c", "z"), ("y", "b", "w")}), (True, {("7", "a", "v1"), ("7", "c", "z"), ("y", "b", "w")})):
+        path = str(tmp_path / f"store{first_wins}")
+        assert store.read_store(spark, path, first.schema).count() == 0
+        store.merge_into_store(first, path, ["fetched_at"], first_wins=first_wins)
+        for _ in range(2):
+            store.merge_into_store(second, path, ["fetched_at"], first_wins=first_wins)
+        rows = store.read_store(spark, path, first.schema)
+        assert {(r.source, r.source_id, r.content) for r in rows.collect()} == want
+
+
+def test_store_rewrites_one_day_and_prunes(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.merge_into_store(_posts(spark, [("s", str(i), "x", f"2026-04-{i:02d}", 1) for i in range(1, 8)]), path, ["fetched_at"])
+    store.merge_into_store(_posts(spark, [("s", "new", "y", "2026-04-05", 2)]), path, ["fetched_at"])
+    assert [p.name for p in (tmp_path / "store/data/data_version=2/source=s").iterdir() if p.is_dir()] == ["dt=2026-04-05"]
+    rows = store.read_store(spark, path, _posts(spark, []).schema, since="2026-04-05")
+    assert {r.source_id for r in rows.collect()} == {"5", "new", "6", "7"}
+    assert "dt" in rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    # A merge that died after writing data, before the list of days, has not happened; the next one takes its place.
+    _posts(spark, [("s", "1", "half", "2026-04-01", 9)]).withColumn("source", F.lit("s")).withColumn("dt", F.to_date("timestamp")).write.partitionBy(
+        "source", "dt").parquet(path + "/data/data_version=3")
+    assert {r.content for r in store.read_store(spark, path, _posts(spark, []).schema).collect()} == {"x", "y"}
+    store.merge_into_store(_posts(spark, [("s", "8", "z", "2026-04-08", 3)]), path, ["fetched_at"])
+    assert store.read_store(spark, path, _posts(spark, []).schema).count() == 9
+    assert store.old_versions(spark, path) == []
 
 
 PAGE = """<html><div class="timeline">
