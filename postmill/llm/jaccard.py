@@ -180,14 +180,26 @@ def live_postings(blobs: list[bytes]) -> pd.DataFrame:
     })
 
 
-def chain_pairs(live: pd.DataFrame) -> pd.DataFrame:
+def may_be_similar(size_a, size_b, place_a, place_b, asked, percent: int) -> np.ndarray:
+    """Whether a list can be one of the first ``asked`` that a similar pair meets in.
+
+    The j-th shared token, in the common order, has at most ``j - 1`` shared ones before it and no more behind it than either
+    set has left, so a similar pair passes in its first ``asked`` lists.
+    """
+    need = -(-percent * (size_a + size_b) // (100 + percent))
+    left = np.minimum(size_a - place_a, size_b - place_b)
+    return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (left + asked - 1 >= need)
+
+
+def chain_pairs(live: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Neighbours in the lists, by size and id and by hash of id: as many pairs as entries, mostly alike from list to list."""
-    token, node, size = live["token"].to_numpy(), live["node"].to_numpy(), live["size"].to_numpy()
+    token, node, size, place, level = (live[c].to_numpy() for c in ("token", "node", "size", "place", "level"))
     out = []
     for keys in ((node, size, token), (mixed(node.view(np.uint64)), token)):
         order = np.lexsort(keys)
-        near = token[order][1:] == token[order][:-1]
-        out.append(np.stack([node[order][:-1][near], node[order][1:][near]], axis=1))
+        i, j = order[:-1], order[1:]
+        near = (token[i] == token[j]) & may_be_similar(size[i], size[j], place[i], place[j], np.minimum(level[i], level[j]), percent)
+        out.append(np.stack([node[i[near]], node[j[near]]], axis=1))
     pairs = np.concatenate(out)
     pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -199,8 +211,8 @@ PAIRS_AT_ONCE = 2_000_000
 def close_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
     """Pairs within lists, of different components, that size and place in the prefix do not rule out.
 
-    ``rows`` are whole lists, or parts of lists that meet, one after the other. The place bound takes the token as the
-    first shared one, as it is for one of the lists that a pair meets in; a pair of higher level is counted in each of them.
+    ``rows`` are whole lists, or parts of lists that meet, one after the other. A similar pair passes in as many lists
+    as shared tokens are asked of it, and is counted in each of them.
     """
     names = ("token", "lo", "hi", "node", "size", "place", "level", "component", "side")
     if not len(rows):
@@ -219,11 +231,9 @@ def close_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
         begin = end
         ok = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2)) & (node[i] != node[j])
-        ok &= 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
         i, j = i[ok], j[ok]
         asked = np.minimum(level[i], level[j])
-        need = -(-percent * (size[i] + size[j]) // (100 + percent))
-        ok = (asked > 1) | (np.minimum(size[i] - place[i], size[j] - place[j]) >= need)
+        ok = may_be_similar(size[i], size[j], place[i], place[j], asked, percent)
         i, j = i[ok], j[ok]
         if len(i):
             yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "asked": asked[ok]})
@@ -281,7 +291,7 @@ class Join:
             def flush() -> Iterator[pd.DataFrame]:
                 live = live_postings(blobs)
                 yield live.assign(other=0, chain=False)
-                pairs = chain_pairs(live)
+                pairs = chain_pairs(live, percent)
                 yield pd.DataFrame({**{c: 0 for c in LIVE}, "node": pairs["a"], "other": pairs["b"], "chain": True})
 
             for b in batches:
