@@ -62,7 +62,7 @@ def downgrade_unsourced_claims(articles: DataFrame, r: ClaimRules = ClaimRules()
     claim = text.rlike(FLAGS + r.name) & text.rlike(FLAGS + r.verb) & ~text.rlike(FLAGS + r.source)
 
     def soften(c: Column, steps: list[tuple[str, str]]) -> Column:
-        return reduce(lambda acc, step: F.regexp_replace(acc, step[0], step[1]), steps, c)
+        return reduce(lambda acc, step: F.regexp_replace(acc, "(?U)" + step[0], step[1]), steps, c)
 
     new_headline = with_prefix(soften(headline, r.soften_headline), r.headline_prefix, r.headline_marks)
     new_body = with_prefix(soften(body, r.soften_body), r.body_prefix, [r.body_prefix])
@@ -77,17 +77,15 @@ def downgrade_unsourced_claims(articles: DataFrame, r: ClaimRules = ClaimRules()
 def product_story_guard(new: DataFrame, existing: DataFrame, r: StoryRules = StoryRules()) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped) new articles: repeated releases go, other stories of the product are follow-ups.
 
-    Which products are already covered is one row of flags, read as scalar subqueries.
+    Which products are already covered is one row of flags from one pass over ``existing``.
     """
     text = article_text()
     releases = existing.where(~is_weak() & text.rlike(FLAGS + r.verb))
 
-    def covered(pattern: str) -> Column:
-        hit = releases.where(text.rlike(FLAGS + pattern)).select(F.lit(True).alias("hit")).limit(1)
-        return F.coalesce(hit.scalar(), F.lit(False))
-
+    patterns = [FLAGS + p for p in r.products.values()]
+    flags = releases.agg(F.array(*[F.coalesce(F.bool_or(text.rlike(p)), F.lit(False)) for p in patterns]).alias("f")).scalar()
     known = reduce(
-        lambda a, b: a | b, [text.rlike(FLAGS + p) & covered(p) for p in r.products.values()], F.lit(False)
+        lambda a, b: a | b, [text.rlike(p) & F.get(flags, F.lit(i)) for i, p in enumerate(patterns)], F.lit(False)
     )
     judged = new.withColumn("__known", known)
     repeat = F.col("__known") & text.rlike(FLAGS + r.verb) & ~text.rlike(FLAGS + r.followup)

@@ -24,7 +24,7 @@ STATS = {
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 COLUMNS = ["page_no", "pos", "user", "path", "title", "replying", "content", "stats", "next_cursor"]
-RAW = ("page_no int, pos int, user string, path string, title string, replying string, content string, "
+RAW = ("page_no bigint, pos int, user string, path string, title string, replying string, content string, "
        "stats map<string,string>, next_cursor string")
 
 
@@ -65,6 +65,8 @@ class _Page(HTMLParser):
             self.stack.append((tag, classes))
 
     def handle_endtag(self, tag: str) -> None:
+        if all(name != tag for name, _ in self.stack):
+            return  # a stray end tag closes nothing
         while self.stack:
             name, classes = self.stack.pop()
             if "tweet-stat" in classes and self.items and self.items[-1].get("stat"):
@@ -87,7 +89,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page_no, user, html in zip(batch["page_no"], batch["user"], batch["html"]):
             page = _Page()
-            page.feed(html)
+            page.feed(html or "")
             page.close()
             for pos, item in enumerate(i for i in page.items if i["body"]):
                 rows.append((page_no, pos, user, item["path"], item["title"], item["replying"], item["content"],

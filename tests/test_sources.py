@@ -184,6 +184,13 @@ def test_timeline_pages(spark):
     assert (b.id, b.url, b.ts.hour, b.next_cursor) == (None, None, 0, "abc=")
 
 
+def test_timeline_with_stray_end_tags(spark):
+    html = PAGE.replace('<div class="timeline-item"><div class="tweet-body"><span class="tweet-date"><a title="Oct 1', '</p></span><div class="timeline-item"><div class="tweet-body"><span class="tweet-date"><a title="Oct 1')
+    df = spark.createDataFrame([(3_000_000_000, "u", html), (2, "u", None)], "page_no bigint, user string, html string")
+    rows = timeline.extract_timeline_pages(df).orderBy("pos").collect()
+    assert [r.content for r in rows] == ["Hi & bye", ""] and rows[0].page_no == 3_000_000_000
+
+
 def test_payload_edge_cases(spark):
     def raw(payload, **extra):
         names = ", ".join(f"{k} string" for k in extra)
