@@ -19,7 +19,7 @@ DIMS = 1 << BITS
 GRAMS = (1, 2, 3)
 CLUSTERS = 4
 SAMPLE = 400  # texts per language from which centroids are formed; document frequencies cover all labelled rows
-CHUNK = 4_000_000
+SLOTS = 1 << 30
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -144,8 +144,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
         floors = [float(sims[labels == j].min()) * leniency if (labels == j).any() else 0.0 for j in range(len(found))]
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "vector": list(found.astype(np.float32)), "floor": floors})
 
-    first = W.partitionBy("lang").orderBy(F.xxhash64("ord"), "ord", "text")
-    chosen = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample)
+    # About four times the sample passes a hash threshold first, so what a language's task reads does not grow with the table.
+    per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(r["lang"], min(SLOTS, 4 * sample * SLOTS // r["n"] + 1)) for r in per_lang], "lang string, share bigint")
+    thinned = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("ord"), F.lit(SLOTS)) < F.col("share")).drop("share")
+    first = W.partitionBy("lang").orderBy(F.xxhash64("ord", F.lit(1)), "ord", "text")
+    chosen = thinned.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample)
     model = chosen.drop("rn").groupBy("lang").applyInPandas(centroids, "lang string, vector array<float>, floor double").collect()
     model = sorted(model, key=lambda r: (r["lang"], r["floor"]))  # languages times clusters
     vectors = np.array([r["vector"] for r in model], dtype=np.float32).reshape(len(model), DIMS)
