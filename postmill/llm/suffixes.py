@@ -214,6 +214,34 @@ def cut_pieces(text: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarra
     return first, after - first + span - 1, least[first]
 
 
+def sides_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: np.ndarray, grams: np.ndarray, span: int) -> np.ndarray:
+    """Per piece a hash of its least gram with half of a span before it, and one with half a span after it.
+
+    A ``span`` that two pieces share holds their least gram and at least half of the rest on one side of it, so they agree
+    in that side's hash. 0 stands for a side that the piece has not got; 1 for a piece with its least gram in several places.
+    """
+    half = (span - GRAM + 1) // 2
+    count = lengths - GRAM + 1
+    owner = np.repeat(np.arange(len(starts)), count)
+    places = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    hit = grams[places] == least[owner]
+    owner, places = owner[hit], places[hit]
+    many = np.bincount(owner, minlength=len(starts))
+    at = places[np.cumsum(many) - many]
+    words = words_at(text)
+    out = np.zeros((len(starts), 2), dtype=np.uint64)
+    for side, low in enumerate((at - half, at)):
+        whole = (low >= starts) & (low + half + GRAM <= starts + lengths)
+        begin = low[whole]
+        h = np.full(len(begin), side, dtype=np.uint64)
+        for offset in [*range(0, half + GRAM - 7, 8), half + GRAM - 8]:
+            h = (h ^ words[begin + offset].astype(np.uint64)) * _MIX[0]
+            h ^= h >> np.uint64(29)
+        out[whole, side] = np.maximum(h, np.uint64(2))
+    out[many > 1] = 1
+    return out
+
+
 def gather(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all pieces in a row, and where each begins."""
     begin = np.concatenate([[0], np.cumsum(lengths)])
@@ -312,7 +340,7 @@ def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) ->
     """Spans of one shard that repeat a string of a document with a smaller id.
 
     Pieces are spooled to a scratch file; in memory stay their keys. Whole repeats of pieces are settled first. Of the
-    rest only pieces that share their least gram with another are suffix-sorted, in portions of about ``SORT_BYTES``:
+    rest only pieces that share their least gram and a side of it with another are suffix-sorted, in portions of about ``SORT_BYTES``:
     equal strings share the least gram, so a portion holds all pieces of its grams.
     """
     known: list[tuple] = []
@@ -323,12 +351,14 @@ def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) ->
             start = np.cumsum(length) - length
             text = np.frombuffer(data + bytes(16), dtype=np.uint8)
             bounds = np.stack([start, start + length - GRAM + 1], axis=1).ravel()
-            least = np.minimum.reduceat(gram_hashes(text), bounds)[::2]
-            known.append((doc, place, length, least, piece_keys(text, start, length), start + held))
+            grams = gram_hashes(text)
+            least = np.minimum.reduceat(grams, bounds)[::2]
+            sides = sides_of(text, start, length, least, grams, span)
+            known.append((doc, place, length, least, piece_keys(text, start, length), start + held, sides))
             held += spool.write(data)
         spool.write(bytes(16))
         spool.flush()
-        doc, place, length, least, keys, start = (np.concatenate(f) for f in zip(*known))
+        doc, place, length, least, keys, start, sides = (np.concatenate(f) for f in zip(*known))
         del known
         classes, later = same_pieces(keys, doc)
         yield span_frame(doc[later], place[later], (place + length)[later])
@@ -337,9 +367,15 @@ def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) ->
         _, first, member = np.unique(classes[kept], return_index=True, return_inverse=True)
         lone = kept[first]
         _, shared, count = np.unique(least[lone], return_inverse=True, return_counts=True)
+        # Only pieces that agree with another one beside their least gram can share a span with it.
+        likely = (sides[lone] == 1).any(axis=1)
+        likely = likely | (np.bincount(shared[likely], minlength=len(count)) > 0)[shared]
+        for side in range(2):
+            _, same, n = np.unique(sides[lone, side], return_inverse=True, return_counts=True)
+            likely |= (n[same] > 1) & (sides[lone, side] != 0)
         by_class = np.argsort(member, kind="stable")
         members = member[by_class]
-        chosen = np.flatnonzero(count[shared] > 1)
+        chosen = np.flatnonzero((count[shared] > 1) & likely)
         chosen = chosen[np.argsort(shared[chosen], kind="stable")]
         grams = shared[chosen]
         portion = np.cumsum(length[lone[chosen]]) // SORT_BYTES
