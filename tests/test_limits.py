@@ -76,7 +76,7 @@ import sys
 sys.path.insert(0, {str(ROOT)!r})
 from postmill.plans.catalog import QUERIES
 from postmill.session import build_session
-spark = build_session("local-cluster[1,1,1024]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2", spark__checkpoint__dir={str(tmp_path)!r})
+spark = build_session("local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2", spark__checkpoint__dir={str(tmp_path)!r})
 print("rows", QUERIES[{name!r}](spark, "/root/testdata/sf0.001").count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
