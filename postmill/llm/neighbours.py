@@ -17,6 +17,8 @@ TABLES = 12
 PROBES = 6
 BUCKET = 4_000
 BLOCK = 4_000
+RECALL = 0.95  # of the sampled queries; leaves room for the sample's error above 0.9
+SAMPLE = 200
 SEED = 20_240_101
 
 
@@ -41,27 +43,38 @@ def rotated(x: np.ndarray, table: int, part: int) -> np.ndarray:
     return y
 
 
-def own_buckets(x: np.ndarray, table: int, parts: int) -> np.ndarray:
-    """The nearest signed axis of each of ``parts`` pseudo-rotations, as one number."""
+def polytopes(dims: int, bits: int) -> list[int]:
+    """Axes used of each pseudo-rotation for ``2 ** bits`` buckets: whole cross-polytopes, the last one of fewer axes.
+
+    Each further bit doubles the buckets, so their number can follow the data in small steps.
+    """
+    whole = max(1, dims - 1).bit_length() + (dims > 1)
+    width = 1 << (whole - 1)
+    rest = bits % whole
+    return [width] * (bits // whole) + ([1 << (rest - 1)] if rest else [])
+
+
+def own_buckets(x: np.ndarray, table: int, bits: int) -> np.ndarray:
+    """The nearest signed axis of each polytope, as one number."""
     out = np.zeros(len(x), dtype=np.int64)
-    for part in range(parts):
-        y = rotated(x, table, part)
+    for part, axes in enumerate(polytopes(x.shape[1], bits)):
+        y = rotated(x, table, part)[:, :axes]
         axis = np.abs(y).argmax(axis=1)
-        out = out * (2 * y.shape[1]) + 2 * axis + (y[np.arange(len(y)), axis] < 0)
+        out = out * (2 * axes) + 2 * axis + (y[np.arange(len(y)), axis] < 0)
     return out
 
 
-def probe_buckets(x: np.ndarray, table: int, parts: int, probes: int) -> np.ndarray:
+def probe_buckets(x: np.ndarray, table: int, bits: int, probes: int) -> np.ndarray:
     """Per row the ``probes`` buckets of least total distance to its rotations, its own first."""
     total, codes = np.zeros((len(x), 1)), np.zeros((len(x), 1), dtype=np.int64)
-    for part in range(parts):
-        y = rotated(x, table, part)
+    for part, axes in enumerate(polytopes(x.shape[1], bits)):
+        y = rotated(x, table, part)[:, :axes]
         signed = np.concatenate([y, -y], axis=1)
         best = np.argsort(-signed, axis=1, kind="stable")[:, :probes]
-        code = np.where(best < y.shape[1], 2 * best, 2 * (best - y.shape[1]) + 1)
+        code = np.where(best < axes, 2 * best, 2 * (best - axes) + 1)
         near = np.take_along_axis(signed, best, axis=1)
         total = (total[:, :, None] + near[:, None, :]).reshape(len(x), -1)
-        codes = (codes[:, :, None] * (2 * y.shape[1]) + code[:, None, :]).reshape(len(x), -1)
+        codes = (codes[:, :, None] * (2 * axes) + code[:, None, :]).reshape(len(x), -1)
         keep = np.argsort(-total, axis=1, kind="stable")[:, :probes]
         total, codes = np.take_along_axis(total, keep, axis=1), np.take_along_axis(codes, keep, axis=1)
     return codes
@@ -130,7 +143,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     vector enters one bucket of each table; a query probes ``probes`` buckets per table. Buckets of more
     than ``BLOCK`` vectors are split and the query sent to each part. Scores are exact; ties go to the smaller id;
     the row itself is no neighbour of itself. A query that finds fewer than ``k`` is compared with all vectors, in
-    blocks. Null ids and vectors that are null, empty, zero or not finite take no part; rows of one id and several
+    blocks. The number of buckets follows that of vectors, about ``bucket`` in each, but only as far as the true
+    neighbours of a sample of the queries are found: probes grow up to four times ``probes``, then buckets become
+    coarser, until ``RECALL`` of them share a bucket with their query. Null ids and vectors that are null, empty, zero or not finite take no part; rows of one id and several
     vectors count as several rows. Vectors of another length than the query's meet none of its buckets.
     """
     spark = vectors.sparkSession
@@ -148,10 +163,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     searched = distinct.join(asked.select("vkey").distinct(), "vkey", "left_semi")
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, dims = size["n"], max(1, size["d"] or 1)
-    axes = 2 * (1 << max(0, dims - 1).bit_length())
-    parts = max(1, round(math.log(max(1, n / bucket)) / math.log(axes)))
-    enter = _entries(distinct, 0, parts, tables, 1)
-    probe = _entries(searched, 1, parts, tables, probes)
+    bits = max(max(0, dims - 1).bit_length() + 1, round(math.log2(max(1, n / bucket))))
+    bits, probes = fitted(_sample_pairs(distinct, searched, k), bits, tables, probes)
+    enter = _entries(distinct, 0, bits, tables, 1)
+    probe = _entries(searched, 1, bits, tables, probes)
     heavy = enter.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(
         "tab", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts")
     )
@@ -185,14 +200,82 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     return best
 
 
-def _entries(vectors: DataFrame, side: int, parts: int, tables: int, probes: int) -> DataFrame:
+def fitted(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int, tables: int, probes: int) -> tuple[int, int]:
+    """The most bits, up to ``bits``, and the fewest probes with which ``RECALL`` of the pairs meet in a bucket.
+
+    ``pairs`` are queries, vectors and the query's number of each vector, per length. With one bit two probes
+    are all there is, so the search ends with everything found.
+    """
+    total = sum(len(of) for _, _, of in pairs)
+    if not total:
+        return bits, probes
+    most = 4 * max(2, probes)
+    for b in range(bits, 0, -1):
+        least = []
+        for queries, vectors, of in pairs:
+            rank = np.full(len(of), most)
+            for tab in range(tables):
+                same = probe_buckets(queries, tab, b, most)[of] == own_buckets(vectors, tab, b)[:, None]
+                rank = np.minimum(rank, np.where(same.any(axis=1), same.argmax(axis=1), most))
+            least.append(rank)
+        rank = np.concatenate(least)
+        for p in (probes, 2 * probes, most):
+            if (rank < p).sum() >= RECALL * total:
+                return b, p
+    return 1, most
+
+
+def _sample_pairs(distinct: DataFrame, searched: DataFrame, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Up to ``SAMPLE`` queries, drawn by hash, with their ``k`` nearest other vectors by comparison with all."""
+    m = searched.count()
+    share = F.pmod(F.xxhash64("vkey", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(1, m)))
+    drawn = sorted(searched.where(share).select(F.xxhash64("vkey", F.lit(SEED)).alias("h"), "vkey", "embedding").collect())[:SAMPLE]
+    by: dict[int, list] = {}
+    for r in drawn:
+        by.setdefault(len(r.embedding), []).append(r)
+    asked = {d: (np.array([r.vkey for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)) for d, rows in by.items()}
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            for d, g in b.groupby(b["embedding"].map(len)):
+                if d not in asked:
+                    continue
+                keys, queries = asked[d]
+                sims, vkeys = cosines(queries, matrix(g["embedding"])), g["vkey"].to_numpy()
+                sims[keys[:, None] == vkeys[None, :]] = -np.inf
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                new = pd.DataFrame({
+                    "qkey": np.repeat(keys, top.shape[1]), "vkey": vkeys[top].ravel(), "score": np.take_along_axis(sims, top, axis=1).ravel(),
+                })
+                held = new if held is None else pd.concat([held, new])
+                held = held.sort_values("score", ascending=False, kind="stable").groupby("qkey").head(k)
+        if held is not None:
+            yield held[held["score"] > -np.inf]
+
+    order = W.partitionBy("qkey").orderBy(F.desc("score"), "vkey")
+    found = distinct.select("vkey", "embedding").mapInPandas(best, "qkey bigint, vkey bigint, score double")
+    found = found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).join(distinct.select("vkey", "embedding"), "vkey")
+    out = []
+    near = found.select("qkey", "vkey", "embedding").collect() if asked else []
+    for keys, queries in asked.values():
+        at = {key: i for i, key in enumerate(keys.tolist())}
+        mine = [r for r in near if r.qkey in at]
+        if mine:
+            vectors = np.array([r.embedding for r in mine], dtype=np.float64)
+            unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, vectors)]
+            out.append((*unit, np.array([at[r.qkey] for r in mine])))
+    return out
+
+
+def _entries(vectors: DataFrame, side: int, bits: int, tables: int, probes: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, g in b.groupby(b["embedding"].map(len)):
                 x = matrix(g["embedding"])
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for tab in range(tables):
-                    codes = own_buckets(x, tab, parts)[:, None] if side == 0 else probe_buckets(x, tab, parts, probes)
+                    codes = own_buckets(x, tab, bits)[:, None] if side == 0 else probe_buckets(x, tab, bits, probes)
                     for p in range(codes.shape[1]):
                         yield pd.DataFrame({
                             "side": side, "tab": tab, "bucket": codes[:, p] * 65_536 + x.shape[1], "vkey": g["vkey"].to_numpy(),

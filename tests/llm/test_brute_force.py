@@ -351,6 +351,26 @@ def test_nearest(spark):
     assert [v for v, _ in (got[0][r] for r in range(1, 6))] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("bucket", [2, 30])
+def test_nearest_with_many_buckets(spark, bucket):
+    rng = np.random.default_rng(9)
+    x = np.float32(rng.normal(size=(1500, 20)))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1500)], "vec_id bigint, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 10 == 0, bucket=bucket).collect()
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = y @ y.T
+    np.fill_diagonal(sims, -9)
+    hits = sum(r.vec_id in np.argsort(-sims[r.query_id])[:5] for r in got)
+    assert len(got) == 5 * 150 and hits / len(got) >= 0.9
+
+
+def test_polytopes_grow_in_small_steps():
+    for dims in (1, 2, 3, 20, 64):
+        for bits in range(1, 20):
+            assert np.prod([2 * axes for axes in neighbours.polytopes(dims, bits)]) == 2**bits
+    assert neighbours.polytopes(64, 7) == [64] and neighbours.polytopes(64, 9) == [64, 2] and neighbours.polytopes(64, 14) == [64, 64]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4])
 def test_nearest_of_few(spark, n):
     df = spark.createDataFrame([(50 * i, [float(i + 1), 1.0, -float(i)]) for i in range(n)], "vec_id bigint, embedding array<float>")
