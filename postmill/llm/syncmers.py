@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 WORDS = 5  # words of a k-mer
 INNER = 2  # words of its inner substrings
-SKETCH = 64
 BLOCK_BITS = 6
 SUPER_BITS = 12
 
@@ -60,25 +59,19 @@ def anchors(text: Column) -> Column:
     return bind(words_of(F.coalesce(text, F.lit(""))), of)
 
 
-def sketch(text: Column) -> Column:
-    """The ``SKETCH`` least distinct hashes of the anchors of the whole text, sorted."""
-    def of(words: Column) -> Column:
-        few = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-        many = bind(_inner_hashes(words), lambda h: _marked(h, F.size(words), _value(h)))
-        return F.when(F.size(words) < WORDS, few).otherwise(F.slice(F.sort_array(F.array_distinct(many)), 1, SKETCH))
-
-    return bind(words_of(F.coalesce(text, F.lit(""))), of)
+def hashes_of(found: Column) -> Column:
+    """The distinct hashes of all anchors, sorted."""
+    return F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"])))
 
 
 def shown(hashes: Column) -> Column:
-    """A sketch as text: 16 hexadecimal digits a hash."""
+    """Hashes as text: 16 hexadecimal digits each."""
     return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two anchor sets: shared ones among the least of the union. Two empty ones are alike."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = bind(least, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    """Jaccard similarity of two sets of anchor hashes. Two empty ones are alike."""
+    shared = bind(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared)
 
 
@@ -101,33 +94,27 @@ def next_blocks(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Add to ``doc_id, text, hashes`` the text and hashes of the next document by id, the first after the last.
+    """Add to ``doc_id, text`` the text of the next document by id, the first after the last.
 
     Rows move once, into blocks of ``2 ** BLOCK_BITS`` ids; the last of each block takes the first of the next block
     that holds any. Rows without id have no next document. Rows of one id follow each other by text.
     """
     order = W.partitionBy("block").orderBy("doc_id", "text")
     rows = docs.where("doc_id IS NOT NULL").withColumn("block", F.shiftright("doc_id", BLOCK_BITS)).where("block IS NOT NULL").select(
-        "block", "doc_id", "text", "hashes", F.lead("text").over(order).alias("next_text"), F.lead("hashes").over(order).alias("next_hashes"),
-        F.lag("text").over(order).alias("last_text"),
+        "block", "doc_id", "text", F.lead("text").over(order).alias("next_text"), F.lag("text").over(order).alias("last_text"),
     )
     # The first of each block, under the name of the block before; both sides of the join share one exchange.
-    heads = rows.where("last_text IS NULL").select(F.col("block").alias("next_block"), F.col("text").alias("head"), F.col("hashes").alias("head_hashes"))
+    heads = rows.where("last_text IS NULL").select(F.col("block").alias("next_block"), F.col("text").alias("head"))
     heads = heads.join(next_blocks(docs.select("doc_id")), "next_block").drop("next_block")
-    last = F.col("next_text").isNull()
-    linked = rows.join(heads, "block").select(
-        "doc_id", "text", "hashes", F.when(last, F.col("head")).otherwise(F.col("next_text")).alias("next_text"),
-        F.when(last, F.col("head_hashes")).otherwise(F.col("next_hashes")).alias("next_hashes"),
-    )
-    alone = docs.where("doc_id IS NULL").select(
-        "doc_id", "text", "hashes", F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_hashes")
-    )
+    linked = rows.join(heads, "block").select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    alone = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
     return linked.unionAll(alone)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how alike they and the next document's are.
 
+    A fingerprint is the sorted distinct hashes of all anchors of the whole text; ``anchors`` has each with its word position.
     The edited text ends with the beginning of the next document, by ascending id, in place of its own last
     half. Null texts count as empty. Without an id a document has no next one: its edited text is its own,
     ``near_next`` null. Equal texts have equal fingerprints. Other columns of ``docs`` are not read.
@@ -135,14 +122,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # Without a needless alias of the id both uses of the rows plan alike and share the exchange.
     ident = F.col(f"`{key}`") if key == "doc_id" else F.col(f"`{key}`").alias("doc_id")
     lean = docs.select(ident, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    rows = with_next(lean.withColumn("hashes", sketch(F.col("text"))))
+    rows = with_next(lean)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.coalesce(F.substring(F.col("next_text"), F.lit(1), half), F.substring(F.col("text"), n - half + 1, half)))
-    rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "hashes", "next_hashes", edited.alias("edited"))
-    rows = rows.withColumn("edited_hashes", sketch(F.col("edited")))
+    # Only texts move: anchors of all three are made behind the exchange.
+    rows = rows.select(
+        "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), anchors(F.col("text")).alias("anchors"),
+        F.when(F.col("next_text").isNotNull(), hashes_of(anchors(F.col("next_text")))).alias("next_hashes"),
+    )
+    rows = rows.withColumn("hashes", hashes_of(F.col("anchors"))).withColumn("edited_hashes", hashes_of(anchors(F.col("edited"))))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("hashes")).alias("fingerprint"),
         shown(F.col("edited_hashes")).alias("edited_fingerprint"), likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"), "anchors",
     )

@@ -124,6 +124,26 @@ def test_syncmers(spark, docs, texts, empty):
     assert sorted(x.hash for x in positions) == plain_sketch("a b c d e f g h")
 
 
+def test_syncmers_of_long_texts(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = words(60)
+    texts = [words(3000) + shared + words(2000), words(2500) + shared + words(2500)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted(syncmers.fingerprints(df).collect())
+
+    def plain(ws):
+        h = [spark_hash(ws[i : i + 2]) for i in range(len(ws) - 1)]
+        edge = [i for i in range(len(ws) - 4) if min(h[i], h[i + 3]) <= min(h[i + 1], h[i + 2])]
+        return [(i, spark_hash([h[i], h[i + 2], h[i + 3]])) for i in edge]
+
+    sets = [{h for _, h in plain(t)} for t in texts]
+    for r, t, mine in zip(got, texts, sets):
+        assert [tuple(a) for a in r.anchors] == plain(t)
+        assert r.fingerprint == "".join(f"{x & (2**64 - 1):016x}" for x in sorted(mine)) and len(mine) > 1000
+        assert r.near_next == pytest.approx(len(sets[0] & sets[1]) / len(sets[0] | sets[1])) and r.near_next > 0
+
+
 def test_html_extraction(spark):
     def page(main, cls="content"):
         return (f'<html><body><header><p>Site name</p></header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div>'
