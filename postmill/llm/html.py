@@ -22,6 +22,7 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+BESIDE = 80
 BLANKS = re.compile(r"\s+")
 WORD_BORDER = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -192,8 +193,33 @@ def scores(page: Page) -> dict[str, float]:
     return out
 
 
+def widened(page: Page, path: str) -> str:
+    """The widest ancestor of a container that holds further text of its quality beside it; furniture is not in ``page``.
+
+    Text beside it counts if at most a third of it is linked and its blocks are ``BESIDE`` characters long on average
+    or a quarter as long as those of the container. An article is only widened to further articles.
+    """
+    parts = path.split("/")
+    within = any(part.partition(".")[0] == "article" for part in parts)
+    size = blocks = 0
+    beside: dict[tuple[int, str], list[int]] = {}
+    for p, text, linked in page.blocks:
+        names = p.split("/")
+        depth = next((i for i, (a, b) in enumerate(zip(names, parts)) if a != b), min(len(names), len(parts)))
+        if depth == len(parts):
+            size, blocks = size + len(text), blocks + 1
+        elif not within or any(n.partition(".")[0] == "article" for n in names[depth:]):
+            found = beside.setdefault((depth, names[depth] if depth < len(names) else ""), [0, 0, 0])
+            found[0] += len(text)
+            found[1] += linked
+            found[2] += 1
+    enough = min(BESIDE, size / max(1, blocks) / 4)
+    depths = [d for (d, _), (n, linked, count) in beside.items() if 3 * linked <= n and n >= enough * count]
+    return "/".join(parts[: min(depths, default=len(parts))])
+
+
 def best_path(page: Page) -> tuple[str, float]:
-    """The best container; within an article, the outermost article."""
+    """The best container; within an article, the outermost article. Both are widened to text of like quality beside them."""
     ranked = scores(page)
     if not ranked:
         return "", 0.0
@@ -201,21 +227,27 @@ def best_path(page: Page) -> tuple[str, float]:
     parts = path.split("/")
     for i, part in enumerate(parts):
         if part.partition(".")[0] == "article":
-            return "/".join(parts[: i + 1]), ranked[path]
-    return path, ranked[path]
+            return widened(page, "/".join(parts[: i + 1])), ranked[path]
+    return widened(page, path), ranked[path]
+
+
+def under(place: str, path: str) -> bool:
+    return place == path or place.startswith(path + "/") or not path
 
 
 def text_under(page: Page, path: str) -> str:
-    inner = path + "/"
-    return "\n\n".join(text for p, text, _ in page.blocks if p == path or p.startswith(inner) or not path)
+    return "\n\n".join(text for p, text, _ in page.blocks if under(p, path))
 
 
 def main_text(html: str, agreed: str | None) -> str:
-    """The text under the path the host agreed on; the page's own best container where that holds less than half as much."""
+    """The text under the path the host agreed on, if that has all but a twentieth of the page's own best text; else the latter."""
     page = parse(html)
-    own = text_under(page, best_path(page)[0])
-    shared = text_under(page, agreed) if agreed else ""
-    return shared if shared and 2 * len(shared) >= len(own) else own
+    own = best_path(page)[0]
+    if agreed:
+        mine = [(p, len(text)) for p, text, _ in page.blocks if under(p, own)]
+        if mine and 20 * sum(n for p, n in mine if not under(p, agreed)) <= sum(n for _, n in mine):
+            return text_under(page, agreed)
+    return text_under(page, own)
 
 
 def host_of(url: Column) -> Column:

@@ -165,6 +165,20 @@ def test_html_extraction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_text_beside_the_best_container(spark):
+    text = lambda word, n: f"<p>{(word + ' ') * (n // (len(word) + 1))}</p>"
+    spread = f"<html><body><main><section class=intro>{text('intro', 300)}</section><section class=body>{text('body', 600)}</section></main></body></html>"
+    wrapped = (f"<html><body><div class=links><a href=/a>one long link to a story</a></div><div class=page><div class=a><div>{text('first', 200)}</div></div>"
+               f"<div class=b><div>{text('second', 300)}</div></div></div></body></html>")
+    usual = f"<html><body><div class=usual>{text('usual', 400)}</div></body></html>"
+    other = f"<html><body><div class=usual>{text('part', 400)}</div><div class=rest>{text('rest', 600)}</div></body></html>"
+    rows = [(0, "http://a.example.com/", spread), (1, "http://b.example.com/", wrapped), *[(i, "http://c.example.com/", usual) for i in range(2, 6)], (6, "http://c.example.com/", other)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert "intro" in got[0] and "body" in got[0]
+    assert "first" in got[1] and "second" in got[1] and "link" not in got[1]
+    assert "part" in got[6] and "rest" in got[6] and set(got[2].split()) == {"usual"}
+
+
 def test_packing(docs, texts, empty, spark):
     from tokenizers import Tokenizer
 
