@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ GRAM = 12
 BLOCK_BYTES = 2_000_000
 SORT_BYTES = 2_000_000
 QUEUE_TUPLES = 8_000_000
+HOT_SPANS = 2_000_000
 NO_ID = np.iinfo(np.int64).max
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -341,7 +343,8 @@ def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) ->
 
     Pieces are spooled to a scratch file; in memory stay their keys. Whole repeats of pieces are settled first. Of the
     rest only pieces that share their least gram and a side of it with another are suffix-sorted, in portions of about ``SORT_BYTES``:
-    equal strings share the least gram, so a portion holds all pieces of its grams.
+    equal strings share the least gram, so a portion holds all pieces of its grams. A gram with more bytes than that is
+    settled by the keys of its strings instead, in passes of about ``HOT_SPANS`` strings.
     """
     known: list[tuple] = []
     held = 0
@@ -377,6 +380,21 @@ def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) ->
         members = member[by_class]
         chosen = np.flatnonzero((count[shared] > 1) & likely)
         chosen = chosen[np.argsort(shared[chosen], kind="stable")]
+
+        def of_members(part: np.ndarray, number: np.ndarray, s: np.ndarray, e: np.ndarray) -> pd.DataFrame:
+            low, high = np.searchsorted(members, part[number], side="left"), np.searchsorted(members, part[number], side="right")
+            many = high - low
+            at = by_class[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            target = kept[at]
+            return span_frame(doc[target], place[target] + np.repeat(s, many), place[target] + np.repeat(e, many))
+
+        hot = np.bincount(shared[chosen], weights=length[lone[chosen]], minlength=len(count)) > SORT_BYTES
+        for gram in np.flatnonzero(hot):
+            part = chosen[shared[chosen] == gram]
+            piece = lone[part]
+            for found in _repeats_of_gram(spool, start[piece], length[piece], doc[piece], least[piece[0]], span):
+                yield of_members(part, *found)
+        chosen = chosen[~hot[shared[chosen]]]
         grams = shared[chosen]
         portion = np.cumsum(length[lone[chosen]]) // SORT_BYTES
         # A gram's pieces all go to the portion in which the first of them is.
@@ -386,12 +404,7 @@ def shard_spans(blobs: Iterator[bytes], span: int, limit: int = QUEUE_TUPLES) ->
             if not len(part):
                 continue
             piece = lone[part]
-            number, s, e = _repeats_among(spool, start[piece], length[piece], doc[piece], span, limit)
-            low, high = np.searchsorted(members, part[number], side="left"), np.searchsorted(members, part[number], side="right")
-            many = high - low
-            at = by_class[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-            target = kept[at]
-            yield span_frame(doc[target], place[target] + np.repeat(s, many), place[target] + np.repeat(e, many))
+            yield of_members(part, *_repeats_among(spool, start[piece], length[piece], doc[piece], span, limit))
 
 
 def _repeats_among(spool, start: np.ndarray, size: np.ndarray, doc: np.ndarray, span: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -413,6 +426,64 @@ def _repeats_among(spool, start: np.ndarray, size: np.ndarray, doc: np.ndarray,
     return joined_spans(number[hit], inside[hit], inside[hit] + span)
 
 
+def string_keys(text: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """128 bits of content of the ``span`` bytes from each start on, as two numbers; ``text`` ends with bytes to spare."""
+    words = words_at(text)
+    out = np.empty((len(starts), 2), dtype=np.uint64)
+    for j, factor in enumerate((_MIX[0], _MIX[2])):
+        h = np.full(len(starts), _MIX[1], dtype=np.uint64)
+        for offset in [*range(0, span - 7, 8), span - 8]:
+            h = (h ^ words[starts + offset].astype(np.uint64)) * factor
+            h ^= h >> np.uint64(29)
+        out[:, j] = h
+    return out
+
+
+def _strings_of_gram(spool, start: np.ndarray, size: np.ndarray, least: np.uint64, span: int) -> Iterator[tuple]:
+    """In portions of about ``SORT_BYTES``: bytes, starts of all ``span``-byte strings, their piece, start within it, and where
+    in the string its first least gram is. Equal strings have it in one place."""
+    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(np.cumsum(size) // SORT_BYTES)) + 1):
+        text = np.memmap(spool, dtype=np.uint8, mode="r")
+        body, begin = gather(text, start[part], size[part])
+        del text
+        number = np.repeat(np.arange(len(part)), size[part])
+        inside = np.arange(len(number)) - begin[number]
+        body = np.concatenate([body, np.zeros(16, np.uint8)])
+        hits = np.flatnonzero((gram_hashes(body) == least) & (inside + GRAM <= size[part][number]))
+        first = np.flatnonzero(inside + span <= size[part][number])
+        yield body, first, part[number[first]], inside[first], hits[np.searchsorted(hits, first)] - first
+
+
+def _repeats_of_gram(spool, start: np.ndarray, size: np.ndarray, doc: np.ndarray, least: np.uint64, span: int) -> Iterator[tuple]:
+    """As ``_repeats_among``, of the pieces of one gram, however many: strings are grouped by key, pass by pass.
+
+    A pass has the strings with their first least gram in some of the places, or a share of the keys of one place.
+    """
+    counts = np.zeros(span - GRAM + 1, dtype=np.int64)
+    for *_, where in _strings_of_gram(spool, start, size, least, span):
+        counts += np.bincount(where, minlength=len(counts))
+    passes: list[tuple[int, int, int, int]] = []
+    low = 0
+    while low < len(counts):
+        high = low + 1
+        while high < len(counts) and counts[low : high + 1].sum() <= HOT_SPANS:
+            high += 1
+        shares = int(max(1, -(-counts[low:high].sum() // HOT_SPANS)))
+        passes += [(low, high, share, shares) for share in range(shares)]
+        low = high
+    for low, high, share, shares in passes:
+        found = []
+        for body, first, piece, inside, where in _strings_of_gram(spool, start, size, least, span):
+            mine = (where >= low) & (where < high)
+            keys = string_keys(body, first[mine], span)
+            own = keys[:, 0] % np.uint64(shares) == share
+            found.append((keys[own], piece[mine][own], inside[mine][own]))
+        keys, piece, inside = (np.concatenate(f) for f in zip(*found))
+        del found
+        _, later = same_pieces(keys, doc[piece])
+        yield joined_spans(piece[later], inside[later], inside[later] + span)
+
+
 SPAN_SCHEMA = "shard int, doc bigint, start bigint, end bigint, data binary"
 
 
@@ -443,22 +514,18 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
     dealt = dealt.repartition(shards, "to").sortWithinPartitions("shard")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[bytes] = []
-        current = -1
+        first = []
         for b in batches:
             known = b[b["shard"] < 0]
             if len(known):
                 yield known[["doc", "start", "end"]]
-            for shard, data in zip(b["shard"], b["data"]):
-                if shard < 0:
-                    continue
-                if shard != current and held:
-                    yield from (f[["doc", "start", "end"]] for f in shard_spans(iter(held), span, limit))
-                    held = []
-                current = shard
-                held.append(bytes(data))
-        if held:
-            yield from (f[["doc", "start", "end"]] for f in shard_spans(iter(held), span, limit))
+            if len(known) < len(b):
+                first.append(b[b["shard"] >= 0])
+                break
+        # Rows are sorted by shard: from here on all are pieces, spooled as they come.
+        rows = (r for b in chain(first, batches) for r in zip(b["shard"], b["data"]))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            yield from (f[["doc", "start", "end"]] for f in shard_spans((bytes(data) for _, data in own), span, limit))
 
     return dealt.select("shard", "doc", "start", "end", "data").mapInPandas(sort, "doc bigint, start bigint, end bigint")
 

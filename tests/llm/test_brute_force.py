@@ -330,6 +330,34 @@ def test_suffix_dedup(spark, docs, texts, empty):
     assert got == [(0, 120, ""), (2, 0, ""), (7, 0, t), (7, 0, t)]
 
 
+@pytest.mark.parametrize("spans", [50, 700, 10**6])
+def test_suffix_dedup_of_a_hot_gram(monkeypatch, spans):
+    rng = random.Random(spans)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    line = noise(40)
+    sides = [noise(30) for _ in range(6)]
+    texts = {i: noise(60) + rng.choice([noise(30), *sides]) + line + rng.choice([noise(30), *sides]) + noise(60) for i in range(400)}
+    texts |= {400 + i: noise(20) + line * rng.randint(2, 4) + "a" * rng.randint(0, 300) for i in range(60)}
+    sizes = []
+    sort = suffixes._repeats_among
+    monkeypatch.setattr(suffixes, "SORT_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "HOT_SPANS", spans, raising=False)
+    monkeypatch.setattr(suffixes, "_repeats_among", lambda spool, start, size, *rest: sizes.append(int(size.sum())) or sort(spool, start, size, *rest))
+    blobs, known = [], []
+    order = rng.sample(sorted(texts), len(texts))
+    for at in range(0, len(order), 100):
+        for f in suffixes.block_pieces(order[at : at + 100], [texts[d].encode() for d in order[at : at + 100]], 1, 50):
+            known.append(f[f["shard"] < 0])
+            blobs += [bytes(x) for x in f[f["shard"] >= 0]["data"]]
+    gone = {d: bytearray(len(t)) for d, t in texts.items()}
+    for f in [*known, *suffixes.shard_spans(iter(blobs), 50)]:
+        for d, a, b in zip(f["doc"], f["start"], f["end"]):
+            gone[d][a:b] = b"\1" * (b - a)
+    kept = {d: bytes(c for c, g in zip(texts[d].encode(), gone[d]) if not g) for d in texts}
+    assert kept == {d: r[0] for d, r in plain_repeats(texts).items()}
+    assert max(sizes, default=0) <= 2 * 2000
+
+
 @pytest.mark.parametrize("limit", [4, 100, 10**6])
 def test_induced_order(limit):
     rng = random.Random(limit)
