@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import oracle
+from postmill.llm.bitplanes import bitplane_clusters
+from postmill.llm.bond import hard_negatives
 from postmill.llm.bpe import encode_documents
 from postmill.llm.common import table
 from postmill.llm.html import extract
 from postmill.llm.jaccard import similar_components
 from postmill.llm.language import fit, identify
+from postmill.llm.licenses import scan_licenses
 from postmill.llm.neighbours import nearest
 from postmill.llm.packing import pack_documents
 from postmill.llm.sharding import shard_by_ring
@@ -101,3 +104,20 @@ def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_segment_tree")
 def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op11_bond_negatives", oracle.bond_negatives())
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one, so that some neighbours of each anchor are wrong."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+@query("op12_diagonal_licenses", oracle.diagonal_licenses())
+def op12_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bitplane_clusters", oracle.bitplane_clusters())
+def op13_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane_clusters(table(spark, sf_dir, "embeddings"))

@@ -1,14 +1,16 @@
 """The registered queries and the pipeline on the small tables."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postmill.llm.queries import QUERIES
+from postmill.llm.queries import ORACLE, QUERIES
+from postmill.plans import check
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -19,13 +21,25 @@ def test_query_covers_its_table(spark, name):
         queries = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").count()
         assert len(out) == 5 * queries
         return
-    key = "page_id" if name[:4] in ("op1_", "op3_") else "doc_id"
-    table = "pages" if key == "page_id" else "documents"
+    if name.startswith("op11_"):
+        assert set(out["anchor_id"] % 50) == {0} and out.groupby(["anchor_id", "positive_id"]).size().max() <= 3
+        return
+    table, key = {"op1": ("pages", "page_id"), "op3": ("pages", "page_id"), "op13": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     rows = spark.read.parquet(f"{sf}/{table}.parquet").select(key).toPandas()[key]
     got = out[out["piece"] == 0][key] if "piece" in out else out[key]
     assert sorted(got) == sorted(rows)
 
 
+@pytest.mark.parametrize("name", [n for n in sorted(ORACLE) if not n.startswith(("op6_", "op7_"))])
+def test_query_equals_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    verdict = check.compare(spark, con, name, QUERIES[name], ORACLE[name], sf)
+    assert verdict.startswith("ok"), verdict
+
+
 def test_language_is_right_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = QUERIES["op8_language_centroids"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
