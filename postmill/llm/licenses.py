@@ -187,8 +187,8 @@ def license_spans(voted: DataFrame, k: int = GRAM, least_votes: int = VOTES, sla
     """Verified spans of each text: ``digest, template, label, exact, first_word, end_word, score``.
 
     An exact template needs every gram of one diagonal, and each such diagonal is a span. Otherwise diagonals of at least
-    ``least_votes`` grams (all, of a shorter template) that lie within ``slack`` words of each other become one span; it holds
-    when the template's words it covers are at least ``cover`` of the template and of the span itself.
+    ``least_votes`` grams (all, of a shorter template) and those within ``slack`` words of one, be their votes fewer, become
+    one span with their neighbours; it holds when the template's words it covers are at least ``cover`` of the template and of the span itself.
     """
     hit = voted.where("template IS NOT NULL").withColumn("diagonal", F.col("at") - F.col("place"))
     # Copies of a text repeat its votes; they are one vote, combined before the shuffle.
@@ -201,7 +201,9 @@ def license_spans(voted: DataFrame, k: int = GRAM, least_votes: int = VOTES, sla
     along = W.partitionBy("digest", "template").orderBy("diagonal", "place")
     near = F.least(F.lit(slack), F.floor(F.col("words") / 2))
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > near).cast("int"), F.lit(1))
-    loose = hit.where(~F.col("exact") & (F.col("votes") >= F.least(F.lit(least_votes), F.col("grams")))).withColumn("apart", apart)
+    beside = W.partitionBy("digest", "template").orderBy("diagonal").rangeBetween(-slack, slack)
+    loose = hit.where(~F.col("exact")).withColumn("strong", F.max("votes").over(beside))
+    loose = loose.where(F.col("strong") >= F.least(F.lit(least_votes), F.col("grams"))).withColumn("apart", apart)
     merged = loose.withColumn("span", F.sum("apart").over(along))
     keys = ["digest", "template", "label", "exact", "words", "span"]
     covered = merged.select(*keys, "at", F.explode(F.sequence(F.col("place"), F.col("place") + (k - 1))).alias("word"))

@@ -88,8 +88,9 @@ def diagonal_licenses() -> str:
     h AS (SELECT doc_id, template, label, exact, words, place, x.pos AS pos, x.pos - place AS diagonal,
           count(*) OVER (PARTITION BY doc_id, template, x.pos - place) AS votes FROM g JOIN t ON x.gram = t.gram),
     e AS (SELECT doc_id, label, exact, pos AS first_word, CAST(1 AS DOUBLE) AS score FROM h WHERE exact AND place = 0 AND votes = words - {k - 1}),
+    f AS (SELECT *, max(votes) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {slack} PRECEDING AND {slack} FOLLOWING) AS strong FROM h WHERE NOT exact),
     a AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= least({slack}, words // 2) THEN 0 ELSE 1 END AS apart
-          FROM h WHERE NOT exact AND votes >= least({least}, words - {k - 1}) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal, place)),
+          FROM f WHERE strong >= least({least}, words - {k - 1}) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal, place)),
     m AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place ROWS UNBOUNDED PRECEDING) AS span FROM a),
     c AS (SELECT doc_id, template, label, words, span, count(DISTINCT place + i) AS n, min(pos) AS low, max(pos) + {k} AS high
           FROM m, range(0, {k}) r(i) GROUP BY doc_id, template, label, words, span),
