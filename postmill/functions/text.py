@@ -67,7 +67,7 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 def search_words(c: Column | str) -> Column:
     """Words as the search index cuts them: lower case, marks folded, anything but letters and digits separates."""
     folded = F.translate(F.lower(col(c)), MARKED, PLAIN)
-    return F.filter(F.split(F.regexp_replace(folded, SEPARATORS, " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(folded, SEPARATORS, " "), " "), "")
 
 
 def query_words(query: str) -> list[str]:

@@ -23,7 +23,9 @@ from postmill.operators import (
 )
 from postmill.plans import bindings as b
 from postmill.plans.registry import given, query, tokens_sql
+from postmill.session import shared_folder
 from postmill.sources import state
+from postmill.sources.term_store import merge_into_index, open_index
 
 A = given("articles")
 AS_OF = "TIMESTAMP '2024-02-01 09:00:00'"
@@ -620,9 +622,19 @@ _TERMS = given("text_posts", more="""ws AS (SELECT post_id, list_filter(string_s
     idx AS (SELECT term, post_id, doc_len, count(*) AS tf FROM terms GROUP BY ALL)""")
 
 
+def text_index(spark, sf):
+    """The stored index of the text posts; made once a session for the files as they are, then opened."""
+    seen = b.table(spark, sf, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = seen.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*seen.columns)).alias("h")).first()
+    path = f"{shared_folder(spark)}/term-index-{spark.sparkContext.applicationId}-{state['n']}-{(state['h'] or 0) & 0xFFFFFFFFFFFFFFFF:x}"
+    if open_index(spark, path) is None:
+        merge_into_index(b.text_posts(spark, sf).select("post_id", "content"), path)
+    return open_index(spark, path)
+
+
 @query("build_term_index", _TERMS + "SELECT term, post_id, doc_len, tf FROM idx")
 def build_term_index(spark, sf):
-    return search.build_term_index(b.text_posts(spark, sf)).select("term", "post_id", "doc_len", "tf")
+    return search.stored_postings(text_index(spark, sf))
 
 
 @query("bm25_search", _TERMS + """,
@@ -632,8 +644,7 @@ def build_term_index(spark, sf):
     SELECT post_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / avg_len))), 6) AS score
     FROM hit JOIN df USING (term), st GROUP BY post_id HAVING count(*) = 2 ORDER BY score DESC, post_id LIMIT 10""")
 def bm25_search(spark, sf):
-    p = b.text_posts(spark, sf)
-    return search.bm25_search(search.build_term_index(p), search.index_stats(p), "Whst-Thé", 10)
+    return search.bm25_search(text_index(spark, sf), "Whst-Thé", 10)
 
 
 @query("search_posts", _TERMS + """,
@@ -644,5 +655,4 @@ def bm25_search(spark, sf):
         FROM hit JOIN df USING (term), st GROUP BY post_id HAVING count(*) = 2 ORDER BY score DESC, post_id LIMIT 5)
     SELECT post_id, source, author, "timestamp", substr(content, 1, 150) AS preview, source_url, score FROM best JOIN text_posts USING (post_id)""")
 def search_posts(spark, sf):
-    p = b.text_posts(spark, sf)
-    return search.search_posts(p, search.build_term_index(p), search.index_stats(p), "avec elle", 5)
+    return search.search_posts(b.text_posts(spark, sf), text_index(spark, sf), "avec elle", 5)

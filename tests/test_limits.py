@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators import anchors, dedup, evidence, filters, numbering, placement, search
+from postmill.operators import anchors, dedup, evidence, filters, numbering, placement
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -53,14 +53,6 @@ def test_empty_placement_reply_puts_all_on_the_side(spark):
     assert {(r.id, r.placement) for r in got} == {("a", "side"), ("b", "side")}
 
 
-def test_search_folds_marks_and_splits_like_the_index(spark):
-    posts = spark.createDataFrame([(1, "gpt-5 at the café_bar"), (2, "gpt 4"), (3, ""), (4, None)], "post_id int, content string")
-    index, stats = search.build_term_index(posts), search.index_stats(posts)
-    assert {(r.term, r.tf, r.doc_len) for r in index.where("post_id = 1").collect()} == {(t, 1, 6) for t in ("gpt", "5", "at", "the", "cafe", "bar")}
-    assert [r.post_id for r in search.bm25_search(index, stats, "GPT-5").collect()] == [1]
-    assert [r.post_id for r in search.bm25_search(index, stats, "cafe").collect()] == [1]
-
-
 def test_mark_reaches_the_scan(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     state = spark.createDataFrame([("last_run_at", "2024-01-20 00:00:00")], "key string, value string")

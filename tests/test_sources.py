@@ -1,12 +1,13 @@
 import hashlib
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill import rules
 from postmill.operators import validate
-from postmill.sources import chat_export, jsonl, payloads, state, store, timeline
+from postmill.sources import chat_export, jsonl, key_filter, payloads, state, store, timeline
 
 SEP = "=" * 62
 HEAD = f"{SEP}\nGuild: Dev\nChannel: a / b\nAfter: x\n{SEP}\n\n\n"
@@ -164,6 +165,58 @@ def test_store_rewrites_one_day_and_prunes(spark, tmp_path):
     assert store.old_versions(spark, path) == []
 
 
+def test_new_keys_open_no_old_day(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), _posts(spark, []).schema
+    store.merge_into_store(_posts(spark, [("s", str(i), "x", f"2026-04-{i % 9 + 1:02d}", 1) for i in range(300)]), path, ["fetched_at"])
+    for file in (tmp_path / "store/data/data_version=1").rglob("*.parquet"):
+        file.rename(file.with_suffix(".away"))
+        file.write_bytes(b"no parquet")
+        for crc in file.parent.glob(".*.crc"):
+            crc.unlink()
+    # Every old file is unreadable, so the merge fails if it opens one.
+    store.merge_into_store(_posts(spark, [("s", f"n{i}", "y", "2026-04-20", 2) for i in range(200)] + [("t", "1", "y", "2026-04-01", 2)]), path, ["fetched_at"])
+    for file in (tmp_path / "store/data/data_version=1").rglob("*.away"):
+        file.rename(file.with_suffix(".parquet"))
+    assert store.read_store(spark, path, schema).count() == 501
+    # A known key opens its day, moves and leaves it.
+    store.merge_into_store(_posts(spark, [("s", "7", "moved", "2026-04-20", 3)]), path, ["fetched_at"])
+    rows = store.read_store(spark, path, schema)
+    assert [(r.content, str(r.dt)) for r in rows.where("source_id = '7'").collect()] == [("moved", "2026-04-20")] and rows.count() == 501
+    assert {p.name for p in (tmp_path / "store/data/data_version=3/source=s").iterdir() if p.is_dir()} <= {"dt=2026-04-08", "dt=2026-04-20"}
+
+
+def test_filters_find_every_stored_key(spark):
+    stored = spark.range(40_000).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("source_id"), F.date_add(F.lit("2026-01-01"), (F.col("id") % 3).cast("int")).alias("dt"))
+    stored = stored.where("dt < '2026-01-03' OR source_id < '2'")
+    filters = key_filter.key_filters(stored, ["source", "source_id"], ["source", "dt"]).cache()
+    assert filters.groupBy("dt").agg(F.max("level").alias("l"), F.count("*").alias("n")).orderBy("dt").collect()[0]["l"] == 4
+    found = key_filter.probable_places(filters, stored, ["source", "source_id"], ["source", "dt"])
+    assert found.join(stored, ["source", "source_id", "dt"]).count() == stored.count() and found.count() <= stored.count() + 2
+    new = spark.range(40_000, 80_000).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("source_id"))
+    assert key_filter.probable_places(filters, new, ["source", "source_id"], ["source", "dt"]).count() <= 2
+    assert key_filter.probable_places(filters, new.withColumn("source", F.lit("t")), ["source", "source_id"], ["source", "dt"]).count() == 0
+
+
+def test_store_without_filters_is_read_in_full(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.merge_into_store(_posts(spark, [("s", "1", "x", "2026-04-01", 1), ("t", "1", "x", "2026-04-02", 1)]), path, ["fetched_at"])
+    shutil.rmtree(tmp_path / "store/keys")
+    store.merge_into_store(_posts(spark, [("s", "1", "y", "2026-04-03", 2)]), path, ["fetched_at"])
+    assert {(r.source, r.content) for r in store.read_store(spark, path, _posts(spark, []).schema).collect()} == {("s", "y"), ("t", "x")}
+
+
+def test_old_versions_go_and_the_folder_stays_bounded(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), _posts(spark, []).schema
+    for n in range(1, 5):
+        store.merge_into_store(_posts(spark, [("s", "1", f"v{n}", "2026-04-01", n), ("s", f"k{n}", "x", f"2026-05-{n:02d}", n)]), path, ["fetched_at"])
+        reader = store.read_store(spark, path, schema)
+        store.remove_old_versions(spark, path, keep_merges=2)
+        assert reader.where("source_id = '1'").first().content == f"v{n}"
+    assert reader.count() == 5 and store.remove_old_versions(spark, path, keep_merges=2) == []
+    assert len(list((tmp_path / "store/days").glob("merge=*"))) == 2
+    assert store.old_versions(spark, path) == []
+
+
 PAGE = """<html><div class="timeline">
 <div class="timeline-item"><a class="tweet-link" href="/u/status/11#m"></a><div class="tweet-body">
 <span class="tweet-date"><a href="/x" title="Oct 21, 2025 · 4:34 PM UTC">1h</a></span><div class="replying-to">Replying to <a>@z</a></div>

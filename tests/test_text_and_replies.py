@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import scores, text, times
-from postmill.operators import evidence, ranking, replies, search
+from postmill.operators import evidence, ranking, replies
 
 
 def reply(spark, *raws):
@@ -134,15 +134,3 @@ def test_large_k_is_exact(spark):
     got = ranking.top_per_group(df, ["g"], [F.desc("v")], 1200)
     want = {(g, v) for g in range(3) for v in sorted((v for h, v in rows if h == g), reverse=True)[:1200]}
     assert {(r.g, r.v) for r in got.collect()} == want
-
-
-def test_stored_index_search(spark, tmp_path):
-    posts = spark.createDataFrame([(1, "Cat sat"), (2, "cat cat dog"), (3, "dog")], "post_id int, content string")
-    index = search.build_term_index(posts)
-    search.write_term_index(index, str(tmp_path / "ix"))
-    stored = spark.read.parquet(str(tmp_path / "ix"))
-    hits = search.bm25_search(stored, search.index_stats(posts), "CAT", 5)
-    assert [r.post_id for r in hits.collect()] == [2, 1]
-    files = re.findall(r"PartitionFilters: \[([^\]]*)", hits._jdf.queryExecution().executedPlan().toString())
-    assert any("bucket" in f for f in files)
-    assert [r.post_id for r in search.bm25_search(stored, search.index_stats(posts), "cat dog", 5).collect()] == [2]
