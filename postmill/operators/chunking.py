@@ -1,12 +1,12 @@
 """Greedy packing of message streams into bounded chunks.
 
 A chunk takes messages while their total weight stays within a limit; a message heavier than
-the limit is a chunk of its own. Where a chunk starts depends on where the one before ended, so
-the starts of a channel form a chain: every message has one successor, the start that would
-follow if a chunk began there. The chain is followed in blocks: each block of consecutive
-messages is reduced to its possible entries and the exit each of them leads to, blocks are
+the limit is a chunk of its own. Where a chunk starts depends on where the one before ended. A channel
+that fits one row is folded in order inside it. In a longer one the starts form a chain: every message has
+one successor, the start that would follow if a chunk began there. The chain is followed in blocks: each block
+of consecutive messages is reduced to its possible entries and the exit each of them leads to, blocks are
 merged into larger ones until one block holds the channel, and the true entries are handed
-back down. No task ever holds more than one block, however long a channel is.
+back down. No task ever holds more than one block, however long a channel is, and all of it runs in the JVM.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postmill.functions.replies import let
 from postmill.functions.text import token_estimate
 from postmill.operators.numbering import BLOCK, with_offsets
 from postmill.session import cut_lineage, ship
 
-FAN_IN = 64
+FAN_IN = 8
 
 
 def successors(messages: DataFrame, weight: Column, limit: int, block: int = BLOCK) -> DataFrame:
@@ -52,35 +53,62 @@ def successors(messages: DataFrame, weight: Column, limit: int, block: int = BLO
     )
 
 
-NODE = "channel string, blk bigint, pos bigint, exit bigint, last bigint, hops bigint"
+NODES = "array<struct<to:int,exit:bigint,last:bigint,hops:bigint>>"
 
 
-def _reduce_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exit of every position of a block: first start beyond it, last start inside, starts passed."""
-    pdf = pdf.sort_values("pos")
-    pos = pdf["pos"].tolist()
-    at = {p: i for i, p in enumerate(pos)}
-    out, last, hops = pdf["exit"].tolist(), pdf["last"].tolist(), pdf["hops"].tolist()
-    for i in range(len(pos) - 1, -1, -1):
-        j = at.get(out[i])
-        if j is not None:
-            out[i], last[i], hops[i] = out[j], last[j], hops[i] + hops[j]
-    return pdf.assign(exit=out, last=last, hops=hops)
+def _in_one_row(nodes: DataFrame) -> DataFrame:
+    """Per block its nodes in order of position."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "exit", "last", "hops")))
+    return nodes.groupBy("channel", "blk").agg(listed.alias("nodes"))
 
 
-def _walk_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Positions of a block on the chain from its entry, with the number of starts before each."""
-    entry, rank, prev = int(pdf["entry"].iat[0]), int(pdf["rank"].iat[0]), int(pdf["prev"].iat[0])
-    step = dict(zip(pdf["pos"], zip(pdf["exit"], pdf["last"], pdf["hops"])))
-    rows = []
-    while entry in step:
-        rows.append((pdf["channel"].iat[0], entry, rank, prev))
-        out, last, hops = step[entry]
-        entry, rank, prev = out, rank + hops, last
-    return pd.DataFrame(rows, columns=["channel", "entry", "rank", "prev"])
+def _linked(nodes: Column) -> Column:
+    """Nodes with the place (from 1) of their exit in the block, 0 where it lies outside."""
+    places = F.transform(nodes, lambda x: x["pos"])
+    return let(places, lambda at: F.transform(nodes, lambda x: F.struct(
+        F.array_position(at, x["exit"]).cast("int").alias("to"), x["exit"].alias("exit"), x["last"].alias("last"), x["hops"].alias("hops")
+    ))).cast(NODES)
 
 
-ENTRY = "channel string, entry bigint, rank bigint, prev bigint"
+def _reduce_blocks(blocked: DataFrame) -> DataFrame:
+    """Exit of every position of a block: first start beyond it, last start inside, starts passed.
+
+    Each step doubles how far a node sees, so a block of n nodes takes log2(n) of them.
+    """
+    def doubled(acc: Column, _: Column) -> Column:
+        def on(x: Column) -> Column:
+            y = F.get(acc, x["to"] - 1)
+            return F.when(x["to"] == 0, x).otherwise(F.struct(
+                y["to"].alias("to"), y["exit"].alias("exit"), y["last"].alias("last"), (x["hops"] + y["hops"]).alias("hops")
+            ))
+
+        return F.transform(acc, on).cast(NODES)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("nodes") + 1)).cast("int"))
+    seen = _in_one_row(blocked).select("channel", "blk", F.transform("nodes", lambda x: x["pos"]).alias("pos"), F.aggregate(steps, _linked(F.col("nodes")), doubled).alias("n"))
+    # Outer, as Spark would else fold every block once more for a filter on empty ones.
+    rows = seen.select("channel", "blk", F.inline_outer(F.arrays_zip("pos", "n")))
+    return rows.select("channel", "blk", "pos", "n.exit", "n.last", "n.hops")
+
+
+def _walk_blocks(entered: DataFrame) -> DataFrame:
+    """Positions of a block on the chain from its entry, with the number of starts before each and the start just before it."""
+    step = "struct<at:int,entry:bigint,rank:bigint,prev:bigint>"
+    rows = entered.groupBy("channel", "blk").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "exit", "last", "hops"))).alias("nodes"),
+        F.first("entry").alias("entry"), F.first("rank").alias("rank"), F.first("prev").alias("prev"),
+    ).withColumn("linked", _linked(F.col("nodes")))
+    at = F.array_position(F.transform("nodes", lambda x: x["pos"]), F.col("entry")).cast("int")
+    first = F.array(F.struct(at.alias("at"), F.col("entry").alias("entry"), F.col("rank").alias("rank"), F.col("prev").alias("prev"))).cast(f"array<{step}>")
+
+    def onward(acc: Column, _: Column) -> Column:
+        here = F.element_at(acc, -1)
+        x = F.get(F.col("linked"), here["at"] - 1)
+        go = F.struct(x["to"].alias("at"), x["exit"].alias("entry"), (here["rank"] + x["hops"]).alias("rank"), x["last"].alias("prev")).cast(step)
+        return F.when(x["to"] == 0, acc).otherwise(F.concat(acc, F.array(go))).cast(f"array<{step}>")
+
+    walked = rows.where(at > 0).select("channel", F.aggregate(F.sequence(F.lit(1), F.size("nodes")), first, onward).alias("w"))
+    return walked.select("channel", F.inline_outer("w")).select("channel", "entry", "rank", "prev")
 
 
 def chain_entries(nodes: DataFrame, width: int, block: int) -> DataFrame:
@@ -99,10 +127,7 @@ def chain_entries(nodes: DataFrame, width: int, block: int) -> DataFrame:
     if longest is None or longest < width:
         entries = first
     else:
-        reduced = cut_lineage(
-            blocked.select("channel", "blk", "pos", "exit", "last", "hops")
-            .groupBy("channel", "blk").applyInPandas(_reduce_block, NODE)
-        )
+        reduced = cut_lineage(_reduce_blocks(blocked))
         doors = reduced.select("channel", F.col("exit").alias("pos")).unionByName(
             first.select("channel", F.col("entry").alias("pos"))
         ).distinct()
@@ -110,7 +135,7 @@ def chain_entries(nodes: DataFrame, width: int, block: int) -> DataFrame:
         entries = chain_entries(upper, width * FAN_IN, block)
     keyed = entries.withColumn("blk", F.floor(F.col("entry") / F.lit(width)).cast("bigint"))
     walk = blocked.join(keyed, ["channel", "blk"])
-    return walk.groupBy("channel", "blk").applyInPandas(_walk_block, ENTRY)
+    return _walk_blocks(walk)
 
 
 def chunk_index(messages: DataFrame, weight: Column, limit: int, block: int = BLOCK) -> DataFrame:
@@ -119,7 +144,8 @@ def chunk_index(messages: DataFrame, weight: Column, limit: int, block: int = BL
     nodes = steps.select(
         "channel", "pos", F.col("nxt").alias("exit"), F.col("pos").alias("last"), F.lit(1).cast("bigint").alias("hops")
     )
-    starts = chain_entries(nodes, block, block).select(
+    width = min(block, ROW_MESSAGES)
+    starts = chain_entries(nodes, width, width).select(
         "channel", F.col("entry").alias("pos"), F.lit(1).alias("is_start")
     )
     marked = steps.select("channel", "ordinal", "pos").join(starts, ["channel", "pos"], "left")
@@ -129,6 +155,49 @@ def chunk_index(messages: DataFrame, weight: Column, limit: int, block: int = BL
     )
 
 
+ROW_MESSAGES = 2_048
+ROW_CHARS = 4_000_000
+
+
+def _folded(messages: DataFrame, weight: Column, limit: int, text: str, glue: str) -> DataFrame:
+    """Chunks of channels that fit one row: their messages are folded in order, then cut at the starts."""
+    row = F.struct("ordinal", weight.cast("bigint").alias("w"), F.col(text).alias("t"))
+    rows = messages.groupBy("channel").agg(F.array_sort(F.collect_list(row)).alias("m"))
+    state = "struct<total:bigint,starts:array<int>>"
+
+    def take(acc: Column, x: Column) -> Column:
+        opens = (F.size(acc["starts"]) == 0) | (acc["total"] + x["w"] > limit)
+        return F.struct(
+            F.when(opens, x["w"]).otherwise(acc["total"] + x["w"]).alias("total"),
+            F.when(opens, F.concat(acc["starts"], F.array(x["i"]))).otherwise(acc["starts"]).alias("starts"),
+        ).cast(state)
+
+    weights = F.transform("m", lambda x, i: F.struct(x["w"].alias("w"), i.alias("i")))
+    none = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<int>").alias("starts")).cast(state)
+    cut = rows.select("channel", "m", F.aggregate(weights, none, take)["starts"].alias("starts"))
+    # Outer, as Spark would else fold every channel once more for a filter on empty ones.
+    each = cut.select("channel", "m", "starts", F.posexplode_outer("starts").alias("c", "s"))
+    end = F.coalesce(F.get("starts", F.col("c") + 1), F.size("m"))
+    part = F.slice("m", F.col("s") + 1, end - F.col("s"))
+    return each.select("channel", F.col("c").cast("bigint").alias("chunk_index"), part.alias("part")).select(
+        "channel", "chunk_index", F.array_join(F.transform("part", lambda x: x["t"]), glue).alias("text"), F.size("part").cast("bigint").alias("n_messages"),
+        F.element_at("part", 1)["ordinal"].alias("first_ordinal"),
+    )
+
+
+def _packed(messages: DataFrame, weight: Column, limit: int, text: str, glue: str, block: int) -> DataFrame:
+    """Chunks of all channels: short channels in one row each, the others by the chain of starts."""
+    rows = messages.select("channel", "ordinal", text)
+    sizes = rows.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"))
+    long = sizes.where((F.col("n") > min(block, ROW_MESSAGES)) | (F.col("chars") > ROW_CHARS)).select("channel")
+    if long.isEmpty():
+        return _folded(rows, weight, limit, text, glue)
+    long = cut_lineage(long)
+    short, chained = rows.join(long, "channel", "left_anti"), rows.join(long, "channel", "left_semi")
+    whole = _assemble(chained, chunk_index(chained, weight, limit, block), text, glue)
+    return _folded(short, weight, limit, text, glue).unionByName(whole)
+
+
 def _assemble(messages: DataFrame, index: DataFrame, text: str, glue: str) -> DataFrame:
     """Chunk texts in message order; a chunk is bounded by the limit and its heaviest message."""
     rows = messages.join(index, ["channel", "ordinal"])
@@ -143,7 +212,7 @@ def _assemble(messages: DataFrame, index: DataFrame, text: str, glue: str) -> Da
 def pack_chunks(messages: DataFrame, max_chars: int = 80_000, text: str = "block", block: int = BLOCK) -> DataFrame:
     """Chunks of at most ``max_chars`` characters; text before the first header is no message."""
     rows = messages.where(F.col("ordinal") >= 0)
-    chunks = _assemble(rows, chunk_index(rows, F.length(text), max_chars, block), text, "")
+    chunks = _packed(rows, F.length(text), max_chars, text, "", block)
     return chunks.where(chunks["text"].rlike(r"(?U)\S")).withColumn("n_chars", F.length("text"))
 
 
@@ -153,7 +222,7 @@ def pack_chunks_tokens(messages: DataFrame, limit: int = 50_000, text: str = "bl
     A preamble before the first header is a message of its own, at ordinal -1.
     """
     rows = messages.withColumn("ordinal", F.col("ordinal") + 1)
-    chunks = _assemble(rows, chunk_index(rows, token_estimate(text), limit, block), text, "\n\n")
+    chunks = _packed(rows, token_estimate(text), limit, text, "\n\n", block)
     return chunks.withColumn("first_ordinal", F.col("first_ordinal") - 1).withColumn("n_tokens", token_estimate("text"))
 
 

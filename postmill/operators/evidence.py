@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from postmill import rules
 from postmill.functions.text import contains_any, strip
 from postmill.operators.ranking import top_per_group
+from postmill.session import cut_lineage
 
-GRAM = 12
-SALTS = 32
+GRAM = 4
 
 
 def top_keywords(
@@ -22,7 +22,8 @@ def top_keywords(
 ) -> DataFrame:
     """(key, rank, keyword, freq): frequent words first, then longer, then earlier ones."""
     source = text if text is not None else F.concat_ws(" ", "headline", "body")
-    words = articles.select(key, F.posexplode(F.regexp_extract_all(source, F.lit(pattern), F.lit(0))).alias("pos", "keyword"))
+    # Outer, as Spark would else cut every text once more for a filter on empty lists.
+    words = articles.select(key, F.posexplode_outer(F.regexp_extract_all(source, F.lit(pattern), F.lit(0))).alias("pos", "keyword"))
     words = words.where((F.length("keyword") >= 2) & ~F.lower("keyword").isin(stop))
     counted = words.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first"))
     order = [F.desc("freq"), F.desc(F.length("keyword")), F.asc("first")]
@@ -32,17 +33,14 @@ def top_keywords(
 def _first_chars(rows: DataFrame, keys: list[str], order: list[str], max_chars: int) -> DataFrame:
     """Per key the rows whose text begins within its first ``max_chars``, in order.
 
-    Trimmed first within salted slices of a key, where fewer rows come before: what is cut
-    there is beyond the limit for the whole key too. So a key matching a third of all
-    messages reaches its last task with a bounded list.
+    A text has a character and a line end, so no more rows than half of the characters can be among them: Spark keeps no
+    more of a key in any task before the shuffle, and a key of a third of all messages reaches its task as short lists.
     """
-    sliced = rows.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
-    for by in ([*keys, "__salt"], keys):
-        before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-        sliced = sliced.withColumn("__before", F.coalesce(F.sum("n_chars").over(before), F.lit(0)))
-        # One character more tells an exact fit from a truncated text.
-        sliced = sliced.where(F.col("__before") <= max_chars + 1).drop("__before")
-    return sliced.drop("__salt")
+    along = W.partitionBy(*keys).orderBy(*order)
+    ranked = rows.withColumn("__rank", F.row_number().over(along)).where(F.col("__rank") <= max_chars // 2 + 2)
+    before = F.coalesce(F.sum("n_chars").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # One character more tells an exact fit from a truncated text.
+    return ranked.withColumn("__before", before).where(F.col("__before") <= max_chars + 1).drop("__before", "__rank")
 
 
 def keyword_snippets(
@@ -51,38 +49,37 @@ def keyword_snippets(
 ) -> DataFrame:
     """(key, snippets, snippets_len): the messages holding any keyword, joined and truncated.
 
-    A keyword without blanks lies within one word of a message. The pieces of up to ``GRAM``
-    characters of every distinct word are joined to the keywords, or to the first ``GRAM``
-    characters of longer ones. A keyword with blanks is found by its longest part without any
-    and then looked for in the whole message. No article meets a message before each word, and
-    then each keyword, is down to its first ``max_chars`` of messages: a later message of a
-    keyword is beyond the limit for every article using it. Keywords of blanks alone find nothing.
+    Every keyword is looked for by one gram: of the pieces of ``GRAM`` characters of its longest part without blanks
+    (the part itself, if shorter) the one in the fewest distinct words, so that common pieces meet no keyword
+    that has a rarer one. A word is down to its first ``max_chars`` of messages before it meets its keywords, a keyword
+    before it meets its articles: what is later is beyond the limit for every article. Keywords of blanks alone find nothing.
     """
     order = list(order)
+    keywords = cut_lineage(keywords.select(key, "keyword"))  # read three times below
     wanted = keywords.select(key, F.lower("keyword").alias("k")).distinct()
     parts = F.filter(F.split("k", r"\s+"), lambda p: p != "")
     longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-    terms = wanted.select("k", longest.alias("part")).distinct().withColumn("gram", F.substring("part", 1, GRAM))
+    terms = wanted.select("k").distinct().select("k", longest.alias("part")).where("part IS NOT NULL")
     body = messages.select(*order, F.col(text).alias("t"))
+    # Outer, as Spark would else cut every message once more for a filter on empty lists. Empty pieces are no words.
     words = body.select(
-        *order, (F.length("t") + 1).alias("n_chars"), F.explode(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("word")
+        *order, (F.length("t") + 1).alias("n_chars"), F.explode_outer(F.array_distinct(F.split(F.lower("t"), r"\s+"))).alias("word")
     ).where("word <> ''")
-    vocabulary = words.select("word").distinct()
-
-    def pieces(size: int) -> Column:
-        starts = F.when(F.length("word") >= size, F.sequence(F.lit(1), F.length("word") - size + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substr(F.col("word"), i, F.lit(size)))
-
-    grams = F.flatten(F.array(*[pieces(size) for size in range(1, GRAM + 1)]))
-    hits = (
-        vocabulary.select("word", F.explode(F.array_distinct(grams)).alias("gram"))
-        .join(terms, "gram").where(F.contains("word", "part")).select("word", "k", (F.col("k") == F.col("part")).alias("single"))
-    )
+    early = cut_lineage(_first_chars(words, ["word"], order, max_chars))
+    vocabulary = early.select("word").distinct()
+    grams = vocabulary.select("word", F.explode_outer(F.array_distinct(_pieces("word"))).alias("gram"))
+    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # Short parts have no gram of full length: words are joined to them by all pieces of just that length.
+    short = terms.where(F.length("part") < GRAM)
+    probes = terms.where(F.length("part") >= GRAM).select("k", "part", F.explode_outer(F.array_distinct(_pieces("part"))).alias("gram"))
+    probes = probes.join(frequency, "gram").groupBy("k", "part").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.count(F.lit(1)).alias("n"))
+    # A part with a gram that no word has is in no word.
+    probes = probes.where(F.col("n") == F.size(F.array_distinct(_pieces("part")))).select("k", "part", "gram")
+    shorter = vocabulary.select("word", F.explode_outer(F.array_distinct(F.flatten(F.array(*[_pieces("word", size) for size in range(1, GRAM)])))).alias("gram"))
+    met = grams.join(probes, "gram").unionByName(shorter.join(short.select("k", "part", F.col("part").alias("gram")), "gram"))
+    hits = cut_lineage(met.where(F.contains("word", "part")).select("word", "k", (F.col("k") == F.col("part")).alias("single")))
     single, phrases = hits.where("single").drop("single"), hits.where("NOT single").drop("single")
-    per_word = _first_chars(words.join(single.select("word").distinct(), "word", "left_semi"), ["word"], order, max_chars)
-    per_term = per_word.join(single, "word").select("k", *order, "n_chars").distinct()
+    per_term = early.join(single, "word").select("k", *order, "n_chars").distinct()
     candidates = words.join(phrases, "word").select("k", *order, "n_chars").distinct().join(body, order)
     per_term = per_term.unionByName(candidates.where(F.contains(F.lower("t"), "k")).drop("t"))
     per_term = _first_chars(per_term, ["k"], order, max_chars)
@@ -101,6 +98,13 @@ def keyword_snippets(
     )
 
 
+def _pieces(column: str, size: int | None = None) -> Column:
+    """All pieces of ``size`` characters of a word."""
+    n = GRAM if size is None else size
+    starts = F.when(F.length(column) >= n, F.sequence(F.lit(1), F.length(column) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.substr(F.col(column), i, F.lit(n)))
+
+
 Topics = list[tuple[str, list[str]]]
 
 

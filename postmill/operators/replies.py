@@ -55,7 +55,8 @@ def parse_article_replies(replies: DataFrame, claim_rules: ClaimRules = ClaimRul
         )
 
     read = replies.select("reply_id", "raw", R.let(R.unfence("raw"), first_reading).alias("items"))
-    rows = read.select("reply_id", F.posexplode("items").alias("pos", "item")).where(R.kind(F.col("item")) == "object")
+    # Outer, as Spark would else read every reply once more for a filter on empty lists.
+    rows = read.select("reply_id", F.posexplode_outer("items").alias("pos", "item")).where(R.kind(F.col("item")) == "object")
     fields = rows.select(
         "reply_id", "pos",
         unquote(R.text_at(F.col("item"), "$.headline")).alias("headline"),
@@ -91,7 +92,7 @@ def parse_placement_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = (
         judged.where("NOT __bad")
         .select("reply_id", F.inline(sides))
-        .select("reply_id", "group", F.posexplode("ids").alias("pos", "id"))
+        .select("reply_id", "group", F.posexplode_outer("ids").alias("pos", "id"))
         .withColumn("id", strip("id"))
         .where("id <> ''")
     )

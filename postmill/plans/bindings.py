@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.session import spread
+
 AS_OF = "2024-01-31"
 NOW = "2024-02-01 09:00:00"
 SCORE_KEYS = ["points", "score", "upvotes", "likes", "num_comments"]
@@ -14,6 +16,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, whose rows cost more to work on than to move."""
+    return spread(table(spark, sf, name), key)
+
+
 def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -36,7 +43,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_posts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as posts with text."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents", "doc_id")
     return d.select(
         F.col("doc_id").alias("post_id"), "source", F.col("doc_id").cast("string").alias("source_id"),
         F.lit(None).cast("string").alias("source_url"), F.col("lang").alias("author"), F.col("text").alias("content"),
@@ -46,7 +53,7 @@ def text_posts(spark: SparkSession, sf: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as chat messages."""
-    c = table(spark, sf, "conversations")
+    c = texts(spark, sf, "conversations", "conv_id")
     return c.select(
         F.col("conv_id").cast("string").alias("channel"), F.col("turn").alias("ordinal"), F.col("role").alias("author"),
         F.col("text").alias("content"), F.concat(F.lit("["), "role", F.lit("]\n"), "text", F.lit("\n")).alias("block"),
@@ -56,7 +63,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as articles, tagged from the labels."""
-    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    d, lab = texts(spark, sf, "documents", "doc_id"), table(spark, sf, "labels")
     created = ntz("2024-01-01") + F.make_dt_interval(mins=(F.col("doc_id") % 500_000 * 7).cast("int"))
     slot = F.col("doc_id") % 7
     return d.join(lab, "doc_id", "left").select(

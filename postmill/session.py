@@ -44,6 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan over all cores, where its files make fewer tasks than there are cores; a larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(module: str) -> None:
     """Send functions of ``module`` to the executors by value, so workers need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -59,3 +59,16 @@ def test_pending_and_annotate(spark):
     out = chunking.annotate(left, lambda b: b.assign(summary=b["text"].str.upper())[["chunk_index", "summary"]],
                             "chunk_index bigint, summary string")
     assert [tuple(r) for r in out.collect()] == [(1, "B")]
+
+
+@pytest.mark.parametrize("block", [16, 50])
+def test_long_and_short_channels_pack_alike(spark, block):
+    rng = random.Random(11)
+    rows = [(c, i, f"[{i}]" + "z" * rng.choice([0, 3, 60, 400])) for c, n in [("a", 90), ("b", 17), ("c", 4), ("d", 1)] for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    by_row, chained = (chunking.pack_chunks(df, 200, block=b) for b in (50_000, block))
+    assert sorted(map(tuple, by_row.collect())) == sorted(map(tuple, chained.select(by_row.columns).collect()))
+    for plan in (by_row, chained):
+        assert "InPandas" not in plan._jdf.queryExecution().executedPlan().toString()
+    empty = chunking.pack_chunks(df.limit(0), 200)
+    assert empty.count() == 0
