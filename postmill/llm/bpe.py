@@ -7,7 +7,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bound_batches, ship
+from postmill.llm.common import bound_batches, once, ship
 
 CACHED_WORDS = 400_000
 LONG_WORD = 128
@@ -234,9 +233,8 @@ class Encoder:
                 yield b"".join(map(self.ids.__getitem__, words)), b" ".join(map(self.shown.__getitem__, words))
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return once(("bpe", path), lambda: Encoder(path))
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +13,17 @@ from pyspark.sql import functions as F
 from postmill.session import shared_folder, ship
 
 
+def once(key: tuple, make: Callable):
+    """``make()``, made once in a Python process and kept for later tasks of a reused worker.
+
+    Functions travel by value, so what they keep in their own module would be gone with the task.
+    """
+    held = vars(sys).setdefault("_postmill_once", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,6 +77,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-__all__ = ["bound_batches", "new_folder", "place_in_spans", "ranks_in_groups", "ship", "table", "written"]
+__all__ = ["bound_batches", "new_folder", "once", "place_in_spans", "ranks_in_groups", "ship", "table", "written"]
 
 ship(__name__)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bound_batches, ship
+from postmill.llm.common import bound_batches, once, ship
 
 BITS = 13
 DIMS = 1 << BITS
@@ -23,10 +22,9 @@ SLOTS = 1 << 30
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
-@lru_cache(maxsize=1)
 def letters() -> np.ndarray:
     """Per code point, itself if it is a letter, else the blank."""
-    return np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32)
+    return once(("letters",), lambda: np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32))
 
 
 def has_letter(text: object) -> bool:

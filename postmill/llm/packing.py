@@ -6,21 +6,25 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bound_batches, place_in_spans, ranks_in_groups, ship, written
+from postmill.llm.bpe import byte_letters
+from postmill.llm.common import bound_batches, once, place_in_spans, ranks_in_groups, ship, written
 
 SEPARATOR = 0
 LONG_TEXT = 1_000_000
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
+    """The tokenizer of a file, read once in a Python process."""
+    return once(("packing", path), lambda: read_tokenizer(path))
+
+
+def read_tokenizer(path: str):
     """A function from text to ids. The merge ranks of the file are run by the faster of two libraries with
     the same pattern and vocabulary; very long texts go to the library of the file's format itself."""
     import json
@@ -30,8 +34,6 @@ def tokenizer(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    from postmill.llm.bpe import byte_letters
-
     byte_of = {c: b for b, c in enumerate(byte_letters())}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
