@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postmill import schemas
 from postmill.functions.text import blank_to_null
 from postmill.functions.times import parse_iso
 from postmill.operators.numbering import with_offsets
+from postmill.sources.folders import names_in, put_name, remove_folder
 
 
 def read_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(document fields, articles with input position, decision log) of state files."""
+    """(document fields, articles with input position, decision log) of state files; folders ``name=value`` are columns of all."""
     doc = spark.read.schema(schemas.STATE).option("multiLine", True).json(path)
-    articles = doc.select(F.posexplode("articles").alias("ord", "a")).select(F.col("ord").cast("bigint").alias("ord"), "a.*")
-    log = doc.select(F.inline("decision_log"))
+    parts = doc.columns[len(StructType.fromDDL(schemas.STATE)):]
+    articles = doc.select(*parts, F.posexplode("articles").alias("ord", "a")).select(*parts, F.col("ord").cast("bigint").alias("ord"), "a.*")
+    log = doc.select(*parts, F.inline("decision_log"))
     return doc.drop("articles", "decision_log"), articles, log
 
 
@@ -39,16 +42,35 @@ def migrate_state_v1(doc: DataFrame, keep: list[str] | None = None) -> tuple[Dat
     return head, articles
 
 
-def save_snapshot(df: DataFrame, path: str, version: int) -> None:
-    """Write one version beside the earlier ones; a version is written once."""
-    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+def save_snapshot(df: DataFrame, path: str, version: int, keep: int | None = None) -> None:
+    """Write one version beside the earlier ones and name it; a version is named once.
+
+    Readers see named versions only, so a write that dies is no version, and is replaced when it runs again. With ``keep``
+    only that many of the newest versions stay: choose it so that no read of an older one outlasts them.
+    """
+    spark = df.sparkSession
+    if version in snapshot_versions(spark, path):
+        raise ValueError(f"version {version} is already saved in {path}")
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    put_name(spark, f"{path}/_named", f"version={version}")
+    for old in snapshot_versions(spark, path)[:-keep] if keep else []:
+        # The name goes first: a version without it is not read.
+        remove_folder(spark, f"{path}/_named/version={old}")
+        remove_folder(spark, f"{path}/version={old}")
+
+
+def snapshot_versions(spark: SparkSession, path: str) -> list[int]:
+    """Named versions, oldest first."""
+    return sorted(int(n.removeprefix("version=")) for n in names_in(spark, f"{path}/_named"))
 
 
 def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A snapshot, the newest by default."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version")).scalar() if version is None else F.lit(version)
-    return rows.where(F.col("version") == newest).drop("version")
+    """A named snapshot, the newest by default."""
+    named = snapshot_versions(spark, path)
+    wanted = version if version is not None else max(named, default=None)
+    if wanted not in named:
+        raise ValueError(f"no version {'' if version is None else version} in {path}".replace("  ", " "))
+    return spark.read.parquet(f"{path}/version={wanted}")
 
 
 def daily_documents(runs: DataFrame, summaries: DataFrame, generated_at: Column, journal: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from postmill import schemas
 from postmill.operators.merges import POST_KEYS, insert_ignore, upsert
 from postmill.operators.validate import normalize_metadata
+from postmill.sources.folders import has_folder, remove_folder
 from postmill.sources.key_filter import key_filters, probable_places
 
 PARTS = ["source", "dt"]
@@ -86,7 +87,7 @@ def stored_places(spark: SparkSession, path: str, batch: DataFrame, keys: list[s
     if days is None:
         return []
     versions = sorted(r["data_version"] for r in days.select("data_version").distinct().collect())
-    folders = [f for f in (f"{path}/keys/data_version={v}" for v in versions) if _has_folder(spark, f)]
+    folders = [f for f in (f"{path}/keys/data_version={v}" for v in versions) if has_folder(spark, f)]
     form = "source string, dt date, level int, block bigint, bits binary, keyed string, data_version bigint"
     filters = spark.read.schema(form).option("basePath", f"{path}/keys").parquet(*folders) if folders else spark.createDataFrame([], form)
     live = filters.where(F.col("keyed") == ",".join(keys)).join(F.broadcast(days), [*PARTS, "data_version"], "left_semi")
@@ -138,7 +139,7 @@ def old_versions(spark: SparkSession, path: str) -> list[str]:
     """Folders of versions that no day holds any more."""
     days, last = _days(spark, path)
     live = {r["data_version"] for r in days.select("data_version").distinct().collect()} if days is not None else set()
-    return [f"{path}/data/data_version={v}" for v in range(1, last + 1) if v not in live and _has_folder(spark, f"{path}/data/data_version={v}")]
+    return [f"{path}/data/data_version={v}" for v in range(1, last + 1) if v not in live and has_folder(spark, f"{path}/data/data_version={v}")]
 
 
 def remove_old_versions(spark: SparkSession, path: str, keep_merges: int = 2) -> list[str]:
@@ -154,22 +155,7 @@ def remove_old_versions(spark: SparkSession, path: str, keep_merges: int = 2) ->
     held = {r["data_version"] for r in lists.where(F.col("merge") >= oldest).select("data_version").distinct().collect()}
     dead = [f"{path}/days/merge={m}" for m in range(1, oldest)]
     dead += [f"{path}/{kind}/data_version={v}" for kind in ("data", "keys") for v in range(1, last + 1) if v not in held]
-    return [folder for folder in dead if _remove_folder(spark, folder)]
-
-
-def _file_system(spark: SparkSession, folder: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def _has_folder(spark: SparkSession, folder: str) -> bool:
-    fs, target = _file_system(spark, folder)
-    return fs.exists(target)
-
-
-def _remove_folder(spark: SparkSession, folder: str) -> bool:
-    fs, target = _file_system(spark, folder)
-    return fs.exists(target) and fs.delete(target, True)
+    return [folder for folder in dead if remove_folder(spark, folder)]
 
 
 def backfill_posts(old: DataFrame) -> DataFrame:

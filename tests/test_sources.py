@@ -127,6 +127,23 @@ def test_v1_times_without_zone_are_kst(spark):
     assert str(head.first().last_run_at) == "2026-04-09 14:59:00"
 
 
+def test_snapshots_are_named_when_whole(spark, tmp_path):
+    path, df = str(tmp_path / "snap"), spark.range(5)
+    with pytest.raises(ValueError):
+        state.read_snapshot(spark, path)
+    state.save_snapshot(df, path, 1)
+    # A write that died left files but no name.
+    spark.range(3).write.parquet(f"{path}/version=2")
+    assert state.read_snapshot(spark, path).count() == 5
+    state.save_snapshot(spark.range(7), path, 2)
+    with pytest.raises(ValueError):
+        state.save_snapshot(df, path, 2)
+    for version in range(3, 6):
+        state.save_snapshot(spark.range(version), path, version, keep=2)
+    assert state.snapshot_versions(spark, path) == [4, 5] and state.read_snapshot(spark, path).count() == 5 and state.read_snapshot(spark, path, 4).count() == 4
+    assert sorted(p.name for p in (tmp_path / "snap").glob("version=*")) == ["version=4", "version=5"]
+
+
 POST = "source string, source_id string, content string, fetched_at timestamp"
 
 
