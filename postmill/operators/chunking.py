@@ -22,6 +22,7 @@ from postmill.functions.replies import let
 from postmill.functions.text import token_estimate
 from postmill.operators.numbering import BLOCK, with_offsets
 from postmill.session import cut_lineage, ship
+from postmill.sources.folders import names_in
 
 FAN_IN = 8
 
@@ -241,4 +242,62 @@ def annotate(df: DataFrame, fn, out_schema: str) -> DataFrame:
     return df.mapInPandas(run, out_schema)
 
 
+OUTCOME = "call_key string, attempts int, error string, result array<struct<{0}>>"
+
+
+def call_key(df: DataFrame) -> Column:
+    """What a call is known by: the content of its whole row."""
+    return F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+
+
+class Calls:
+    """Applies a user function to one row at a time, each up to a number of attempts."""
+
+    def __init__(self, fn, columns: list[str], attempts: int) -> None:
+        self.fn, self.columns, self.attempts = fn, columns, attempts
+
+    def one(self, row: pd.DataFrame) -> tuple[int, str | None, list[dict]]:
+        error = None
+        for attempt in range(1, self.attempts + 1):
+            try:
+                return attempt, None, self.fn(row).to_dict("records")
+            except Exception as e:  # the user's function may raise anything; what it says is kept
+                error = f"{type(e).__name__}: {e}"[:2000]
+        return self.attempts, error, []
+
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [(key, *self.one(batch.loc[[at], self.columns])) for at, key in zip(batch.index, batch["call_key"], strict=True)]
+            yield pd.DataFrame(done, columns=["call_key", "attempts", "error", "result"])
+
+
+def annotate_stored(df: DataFrame, fn, out_schema: str, path: str, attempts: int = 5, waves: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Apply a user function to every row and keep what came of it: (results, failed calls).
+
+    ``fn`` maps a pandas frame of one row to a frame of any rows in ``out_schema``. Calls are known by the content of their row, so
+    equal rows are one call. A call that raises is tried again, ``attempts`` times in all; then it is stored as failed, with
+    its message. Calling this again on the same ``path`` calls only rows that have no result there: new ones, and those that failed.
+    ``waves`` cut the calls into as many jobs, each stored before the next begins, which bounds what a lost job repeats.
+    Results are the input's columns and those of ``out_schema``; failed calls the input's columns, ``attempts`` and ``error``.
+    """
+    spark, form = df.sparkSession, OUTCOME.format(out_schema)
+    keyed = df.withColumn("call_key", call_key(df))
+
+    def outcomes() -> DataFrame:
+        runs = names_in(spark, path)
+        return spark.read.schema(f"{form}, run int").option("basePath", path).parquet(*[f"{path}/{r}" for r in runs]) if runs else spark.createDataFrame([], f"{form}, run int")
+
+    for wave in range(waves):
+        known = outcomes().where("error IS NULL").select("call_key")
+        missing = keyed.where(F.pmod(F.xxhash64("call_key"), F.lit(waves)) == wave).dropDuplicates(["call_key"]).join(known, "call_key", "left_anti")
+        run = max((int(n.removeprefix("run=")) for n in names_in(spark, path)), default=0) + 1
+        missing.mapInPandas(Calls(fn, df.columns, attempts), form).write.parquet(f"{path}/run={run}")
+    # Of several runs of a call the one with a result holds, else the last.
+    order = F.struct(F.col("error").isNull(), F.col("run"))
+    last = outcomes().groupBy("call_key").agg(F.max_by(F.struct("attempts", "error", "result"), order).alias("o"))
+    both = keyed.join(last, "call_key")
+    results = both.where("o.error IS NULL").select(*df.columns, F.inline("o.result"))
+    return results, both.where("o.error IS NOT NULL").select(*df.columns, "o.attempts", "o.error")
+
+
 ship(__name__)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.times import kst_date
@@ -92,3 +92,8 @@ def date_dividers(articles: DataFrame) -> DataFrame:
     return dated.join(first, on).select(
         "view", "id", "ord", "created_at", "day", (F.col("id") == F.col("first_id")).alias("divider")
     )
+
+
+def placement_log(articles: DataFrame, run_at: Column) -> DataFrame:
+    """Where a run put every article, (run_at, id, placement): rows beside the decision log, as a map would grow with the archive."""
+    return articles.select(run_at.alias("run_at"), "id", "placement")

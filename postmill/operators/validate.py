@@ -63,8 +63,13 @@ def derive_tags(df: DataFrame) -> Column:
     return F.coalesce(F.col("tags"), built) if "tags" in df.columns else built
 
 
-def articles_to_rows(articles: DataFrame, generated_at: Column, source: str) -> tuple[DataFrame, DataFrame]:
-    """Stored article rows and the rejected articles without an id; ``source`` names articles that have none."""
+def articles_to_rows(
+    articles: DataFrame, generated_at: Column, source: str, updated_at: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Stored article rows and the rejected articles without an id; ``source`` names articles that have none.
+
+    ``updated_at`` is the time of the save, now by default.
+    """
 
     def pick(*names: str) -> Column:
         found = [blank_to_null(F.col(n)) for n in names if n in articles.columns]
@@ -91,5 +96,6 @@ def articles_to_rows(articles: DataFrame, generated_at: Column, source: str) ->
         created.alias("created_at"),
         "placement", "placed_at", "category", "trust",
         generated_at.alias("generated_at"),
+        (F.current_timestamp() if updated_at is None else updated_at).alias("updated_at"),
     )
     return rows, articles.where(clean_id == "")

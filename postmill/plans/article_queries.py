@@ -250,12 +250,13 @@ def label_counts_wide(spark, sf):
 
 @query("articles_to_rows", A + """
     SELECT id, 'mill' AS source, trim(headline, ' ' || chr(9) || chr(10) || chr(13)) AS title, created_at,
-           array_to_string(list_filter([category, trust, placement], lambda x: x IS NOT NULL), '|') AS tags FROM articles WHERE ord % 6 <> 0""")
+           array_to_string(list_filter([category, trust, placement], lambda x: x IS NOT NULL), '|') AS tags,
+           TIMESTAMP '2024-02-01 09:00:00' AS generated_at, TIMESTAMP '2024-02-01 09:30:00' AS updated_at FROM articles WHERE ord % 6 <> 0""")
 def articles_to_rows(spark, sf):
     a = _arts(spark, sf).withColumn("id", F.when(F.col("ord") % 6 == 0, " ").otherwise(F.col("id")))
     a = a.withColumn("created_at", F.when(F.col("ord") % 2 == 0, F.col("created_at")))
-    rows, _ = validate.articles_to_rows(a, b.ntz(b.NOW), "mill")
-    return rows.select("id", "source", "title", "created_at", F.array_join("tags", "|").alias("tags"))
+    rows, _ = validate.articles_to_rows(a, b.ntz(b.NOW), "mill", b.ntz("2024-02-01 09:30:00"))
+    return rows.select("id", "source", "title", "created_at", F.array_join("tags", "|").alias("tags"), "generated_at", "updated_at")
 
 
 @query("articles_without_id", "SELECT doc_id AS ord FROM documents WHERE doc_id % 6 = 0")
@@ -302,6 +303,17 @@ def decision_log_retention(spark, sf):
     return filters.decision_log_retention(log, now, current)
 
 
+@query("decision_placements", given("runs", "articles") + """
+    SELECT started_at AS run_at, CAST(run_no AS VARCHAR) AS id, status AS placement FROM runs WHERE started_at > TIMESTAMP '1998-06-01 02:00:00' - INTERVAL 3 HOUR
+    UNION ALL SELECT TIMESTAMP '1998-06-01 02:00:00', id, coalesce(placement, 'side') FROM articles""")
+def decision_placements(spark, sf):
+    """The placements of the log, one row each: those of the kept runs and all of the current one."""
+    log = b.runs(spark, sf).select(F.col("started_at").alias("run_at"), F.col("run_no").cast("string").alias("id"), F.col("status").alias("placement"))
+    now = "1998-06-01 02:00:00"
+    current = placement.placement_log(_arts(spark, sf).withColumn("placement", F.coalesce("placement", F.lit("side"))), b.ntz(now))
+    return filters.decision_log_retention(log, now, current)
+
+
 @query("save_public_state", A + """
     SELECT id, CASE WHEN ord % 5 = 0 THEN 'new' ELSE 'old' END AS version FROM articles WHERE ord % 5 = 0 OR ord % 2 = 0""")
 def save_public_state(spark, sf):

@@ -57,6 +57,7 @@ class Placed:
     articles: DataFrame
     decision_log: DataFrame
     rejected: DataFrame
+    log_placements: DataFrame
 
 
 def place(
@@ -81,14 +82,13 @@ def place(
     now = moment(as_of, everything, "created_at")
     updated = lookups.apply_placements(everything, front.withColumnRenamed("decided", "placement"), now)
     articles = updated.join(front.select("id", "slot"), "id")
-    # A run without new rows leaves no entry; an entry names the front, at most seven ids, all else is on the side.
-    front_ids = articles.where("slot IS NOT NULL").agg(
-        F.map_from_entries(F.collect_list(F.struct("id", "placement"))).alias("placements")
-    )
+    # A run without new rows leaves no entry.
     entry = new.agg(F.count(F.lit(1)).cast("int").alias("new_count")).where("new_count > 0").select(
         moment(as_of, log, "run_at").alias("run_at"), "new_count"
     )
+    shown_at = placement.placement_log(articles, moment(as_of, log, "run_at"))
+    logged = shown_at.join(entry.select("run_at"), "run_at", "left_semi")
     if "placements" in log.columns:
-        entry = entry.withColumn("placements", front_ids.scalar())
-    return Placed(articles, decision_log_retention(log, as_of, entry), rejected)
-
+        # Entries read from state documents keep their map; the placements of this one are rows.
+        entry = entry.withColumn("placements", F.lit(None).cast(log.schema["placements"].dataType))
+    return Placed(articles, decision_log_retention(log, as_of, entry), rejected, logged)

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from postmill import rules, schemas
+from postmill.operators import chunking
 from postmill.plans import bindings as b
 from postmill.plans.registry import SQL_WS, given, query
-from postmill.session import shared_folder
+from postmill.session import shared_folder, ship
 from postmill.sources import chat_export, state, store
 from postmill.streaming import ingest
 
@@ -110,3 +111,27 @@ def snapshot_newest(spark, sf):
         state.save_snapshot(a.where(F.col("ord") % 4 < version), at, version, keep=2)
     newest = max(state.snapshot_versions(spark, at))
     return state.read_snapshot(spark, at).groupBy("category").agg(F.count(F.lit(1)).alias("n")).select(F.lit(newest).alias("version"), "category", "n")
+
+
+def _summary(row):
+    """A stand-in for a model: says how long a message is, and fails on every seventh turn."""
+    if int(row["ordinal"].iat[0]) % 7 == 6:
+        raise RuntimeError("no reply")
+    return row.assign(n_chars=row["content"].str.len())[["n_chars"]]
+
+
+@query("annotate_resumed", given("messages") + """
+    SELECT channel, ordinal, CASE WHEN ordinal % 7 = 6 THEN NULL ELSE length(content) END AS n_chars, CASE WHEN ordinal % 7 = 6 THEN 3 END AS attempts,
+           CASE WHEN ordinal % 7 = 6 THEN 'RuntimeError: no reply' END AS error FROM messages""")
+def annotate_resumed(spark, sf):
+    """Half of the messages are annotated, then all: the second run calls what is missing."""
+    m, at = b.messages(spark, sf).select("channel", "ordinal", "content"), _folder(spark, "outcomes")
+    chunking.annotate_stored(m.where("ordinal % 2 = 0"), _summary, "n_chars bigint", at, attempts=3)
+    results, failed = chunking.annotate_stored(m, _summary, "n_chars bigint", at, attempts=3)
+    none = F.lit(None)
+    return results.select("channel", "ordinal", "n_chars", none.cast("int").alias("attempts"), none.cast("string").alias("error")).unionByName(
+        failed.select("channel", "ordinal", none.cast("bigint").alias("n_chars"), "attempts", "error")
+    )
+
+
+ship(__name__)

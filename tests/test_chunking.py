@@ -72,3 +72,28 @@ def test_long_and_short_channels_pack_alike(spark, block):
         assert "InPandas" not in plan._jdf.queryExecution().executedPlan().toString()
     empty = chunking.pack_chunks(df.limit(0), 200)
     assert empty.count() == 0
+
+
+def test_calls_are_tried_again_stored_and_resumed(spark, tmp_path):
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def flaky(row):
+        name = row["text"].iat[0]
+        seen = len(list(log.glob(f"{name}.*")))
+        (log / f"{name}.{seen}").write_text("")
+        if name == "bad" and seen < 9 or name == "twice" and seen < 2:
+            raise RuntimeError(f"no reply for {name}")
+        return row.assign(summary=name.upper(), part=0)[["summary", "part"]].iloc[[0] * (2 if name == "two" else 1)] if name != "none" else row.assign(summary="", part=0)[["summary", "part"]].iloc[:0]
+
+    rows = [(1, "good"), (2, "twice"), (3, "bad"), (4, "two"), (5, "none"), (1, "good")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    path, form = str(tmp_path / "outcomes"), "summary string, part int"
+    results, failed = chunking.annotate_stored(df.where("id < 4"), flaky, form, path)
+    assert sorted((r.id, r.summary) for r in results.collect()) == [(1, "GOOD"), (1, "GOOD"), (2, "TWICE")]
+    assert [(r.id, r.attempts, r.error) for r in failed.collect()] == [(3, 5, "RuntimeError: no reply for bad")]
+    results, failed = chunking.annotate_stored(df, flaky, form, path, waves=2)
+    assert sorted((r.id, r.summary) for r in results.collect()) == [(1, "GOOD"), (1, "GOOD"), (2, "TWICE"), (3, "BAD"), (4, "TWO"), (4, "TWO")]
+    assert failed.count() == 0
+    calls = {n: len(list(log.glob(f"{n}.*"))) for n in ("good", "twice", "bad", "two", "none")}
+    assert calls == {"good": 1, "twice": 3, "bad": 10, "two": 1, "none": 1}

@@ -139,3 +139,4 @@ def test_daily_run(spark):
     got = {r.id: (r.placement, str(r.placed_at)) for r in out.articles.collect()}
     assert got["art-202604240800-02"][0] == "top" and got["old-0"] == ("main", "2026-04-24 08:00:00")
     assert out.decision_log.count() == 2 and out.rejected.count() == 0
+    assert {r.id: r.placement for r in out.log_placements.collect()} == {i: p for i, (p, _) in got.items()}
