@@ -80,8 +80,20 @@ def probe_buckets(x: np.ndarray, table: int, bits: int, probes: int) -> np.ndarr
     return codes
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows brought to a largest magnitude from 0.5 to 1 by a power of two, which changes no cosine: their squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one."""
+    y = even(x)
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
 def cosines(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines of all pairs of rows in double precision."""
+    queries, vectors = even(queries), even(vectors)
     qq, vv = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", vectors, vectors)
     return (queries @ vectors.T) / np.sqrt(qq[:, None] * vv[None, :])
 
@@ -108,10 +120,10 @@ class BestOfBuckets:
                 k = min(self.k, len(v))
                 top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 out.append(pd.DataFrame({
-                    "qkey": np.repeat(part["vkey"].to_numpy(), k), "vkey": ids[by_id][top].ravel(),
+                    "qkey": np.repeat(part["vkey"].to_numpy(), k), "vkey": ids[by_id][top].ravel(), "least": least[by_id][top].ravel(),
                     "score": np.take_along_axis(sims, top, axis=1).ravel(),
                 }))
-        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "vkey": [], "score": []})
+        return pd.concat(out) if out else pd.DataFrame({"qkey": [], "vkey": [], "least": [], "score": []})
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -121,9 +133,9 @@ class BestOfBuckets:
             groups = [g for _, g in b.groupby(names, sort=False)]
             held = groups.pop() if groups else None
             for g in groups:
-                yield self.one(g).astype({"qkey": "int64", "vkey": "int64", "score": "float64"})
+                yield self.one(g).astype({"qkey": "int64", "vkey": "int64", "least": "int64", "score": "float64"})
         if held is not None:
-            yield self.one(held).astype({"qkey": "int64", "vkey": "int64", "score": "float64"})
+            yield self.one(held).astype({"qkey": "int64", "vkey": "int64", "least": "int64", "score": "float64"})
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -139,10 +151,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
             probes: int = PROBES, bucket: int = BUCKET) -> DataFrame:
     """The ``k`` nearest vectors by cosine of each row where ``is_query`` holds: ``query_id, rank, vec_id, score``.
 
-    Equal vectors are hashed once, with their ``k + 1`` smallest ids, so copies make no hot bucket. Each
+    Equal vectors are hashed once, with their ``k + 1`` smallest ids, so copies make no hot bucket; equal rows count once. Each
     vector enters one bucket of each table; a query probes ``probes`` buckets per table. Buckets of more
     than ``BLOCK`` vectors are split and the query sent to each part. Scores are exact; ties go to the smaller id;
-    the row itself is no neighbour of itself. A query that finds fewer than ``k`` is compared with all vectors, in
+    rows of the query's own id are no neighbours of it. A query that finds fewer than ``k`` is compared with all vectors, in
     blocks. The number of buckets follows that of vectors, about ``bucket`` in each, but only as far as the true
     neighbours of a sample of the queries are found: probes grow up to four times ``probes``, then buckets become
     coarser, until ``RECALL`` of them share a bucket with their query. Null ids and vectors that are null, empty, zero or not finite take no part; rows of one id and several
@@ -154,12 +166,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     queries = usable(vectors.where(is_query), key, vector)
     per = W.partitionBy("embedding").orderBy("id")
     distinct = (
-        rows.withColumn("rn", F.row_number().over(per)).where(F.col("rn") <= k + 1)
-        .groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        .select(F.element_at("ids", 1).alias("vkey"), "ids", "embedding")
+        rows.withColumn("rn", F.dense_rank().over(per)).where(F.col("rn") <= k + 1)
+        .groupBy("embedding").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        .select(F.monotonically_increasing_id().alias("vkey"), F.element_at("ids", 1).alias("least"), "ids", "embedding")
     )
     distinct = written(distinct, "vectors")
-    asked = written(queries.join(distinct.select("vkey", "embedding"), "embedding").select("id", "vkey"), "queries")
+    asked = written(queries.join(distinct.select("vkey", "embedding"), "embedding").select("id", "vkey").distinct(), "queries")
+    # A query of an id with several vectors may find all of those first.
+    own = asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     searched = distinct.join(asked.select("vkey").distinct(), "vkey", "left_semi")
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, dims = size["n"], max(1, size["d"] or 1)
@@ -176,7 +190,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
 
     entered = salted(enter).withColumn("salt", F.pmod(F.xxhash64("vkey"), F.col("salts")).cast("int"))
     probed = salted(probe).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    found = _scored(entered.drop("salts").unionByName(probed.drop("salts")), k + 1)
+    found = _scored(entered.drop("salts").unionByName(probed.drop("salts")), k + own)
     best = _ranked(found, distinct, asked, k)
     short = asked.join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), F.col("query_id") == F.col("id"), "left").where(
         F.coalesce("n", F.lit(0)) < k
@@ -184,18 +198,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     best, short = written(best, "neighbours"), written(short, "short")
     if not short.isEmpty() and n > 1:
         asked_again = distinct.join(short.select("vkey").distinct(), "vkey", "left_semi")
-        blocks = asked_again.select(F.pmod(F.xxhash64("vkey"), F.lit(16)).alias("bucket")).distinct()
+        blocks = [r[0] for r in asked_again.select(F.pmod(F.xxhash64("vkey"), F.lit(16)).alias("bucket")).distinct().collect()]  # 16 at most
         block = F.pmod(F.xxhash64("vkey"), F.lit(16))
         parts_of = max(1, -(-n // BLOCK))
         part = F.pmod(F.xxhash64("vkey", F.lit(1)), F.lit(parts_of)).cast("int")
-        every = distinct.crossJoin(F.broadcast(blocks)).select(
-            F.lit(0).alias("side"), F.lit(0).alias("tab"), "bucket", part.alias("salt"), "vkey", "vkey", "embedding"
+        every = distinct.select(
+            F.lit(0).alias("side"), F.lit(0).alias("tab"), F.explode(F.array(*[F.lit(x) for x in blocks])).alias("bucket"), part.alias("salt"), "vkey", "least", "embedding"
         ).toDF("side", "tab", "bucket", "salt", "vkey", "least", "embedding")
         sought = asked_again.select(
             F.lit(1).alias("side"), F.lit(0).alias("tab"), block.alias("bucket"),
             F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1))).alias("salt"), "vkey", F.col("vkey").alias("least"), "embedding",
         )
-        again = _ranked(_scored(every.unionByName(sought), k + 1), distinct, short, k)
+        again = _ranked(_scored(every.unionByName(sought), k + own), distinct, short, k)
         best = best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
     return best
 
@@ -263,8 +277,7 @@ def _sample_pairs(distinct: DataFrame, searched: DataFrame, k: int) -> list[tupl
         mine = [r for r in near if r.qkey in at]
         if mine:
             vectors = np.array([r.embedding for r in mine], dtype=np.float64)
-            unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, vectors)]
-            out.append((*unit, np.array([at[r.qkey] for r in mine])))
+            out.append((units(queries), units(vectors), np.array([at[r.qkey] for r in mine])))
     return out
 
 
@@ -272,18 +285,17 @@ def _entries(vectors: DataFrame, side: int, bits: int, tables: int, probes: int)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for _, g in b.groupby(b["embedding"].map(len)):
-                x = matrix(g["embedding"])
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = units(matrix(g["embedding"]))
                 for tab in range(tables):
                     codes = own_buckets(x, tab, bits)[:, None] if side == 0 else probe_buckets(x, tab, bits, probes)
                     for p in range(codes.shape[1]):
                         yield pd.DataFrame({
                             "side": side, "tab": tab, "bucket": codes[:, p] * 65_536 + x.shape[1], "vkey": g["vkey"].to_numpy(),
-                            "least": g["vkey"].to_numpy(), "embedding": g["embedding"].to_numpy(),
+                            "least": g["least"].to_numpy(), "embedding": g["embedding"].to_numpy(),
                         })
 
     kind = dict(vectors.dtypes)["embedding"]
-    return vectors.select("vkey", "embedding").mapInPandas(
+    return vectors.select("vkey", "least", "embedding").mapInPandas(
         run, f"side int, tab int, bucket bigint, vkey bigint, least bigint, embedding {kind}"
     )
 
@@ -291,23 +303,19 @@ def _entries(vectors: DataFrame, side: int, bits: int, tables: int, probes: int)
 def _scored(entries: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each query in each bucket: buckets are whole in one task and at most ``BLOCK`` vectors long."""
     dealt = entries.repartition("tab", "bucket", "salt").sortWithinPartitions("tab", "bucket", "salt", "side")
-    found = dealt.mapInPandas(BestOfBuckets(k), "qkey bigint, vkey bigint, score double")
-    each = found.groupBy("qkey", "vkey").agg(F.max("score").alias("score"))
-    top = W.partitionBy("qkey").orderBy(F.desc("score"), "vkey")
+    found = dealt.mapInPandas(BestOfBuckets(k), "qkey bigint, vkey bigint, least bigint, score double")
+    each = found.groupBy("qkey", "vkey", "least").agg(F.max("score").alias("score"))
+    top = W.partitionBy("qkey").orderBy(F.desc("score"), "least", "vkey")
     return each.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= k).drop("rn")
 
 
 def _ranked(found: DataFrame, distinct: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Back from distinct vectors to rows: up to ``k + 1`` ids each, without the query's own."""
+    """Back from distinct vectors to rows: the first ``k`` whose id is not the query's own."""
     ids = found.join(distinct.select("vkey", "ids"), "vkey").select("qkey", "score", F.explode("ids").alias("vec_id"))
-    top = W.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
-    ids = ids.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= k + 1).groupBy("qkey").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rn"), "vec_id", "score"))).alias("near")
-    )
-    others = F.filter("near", lambda x: x["vec_id"] != F.col("id"))
-    return asked.join(ids, F.col("vkey") == F.col("qkey")).select(
-        F.col("id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("pos", "hit")
-    ).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    top = W.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
+    others = asked.select(F.col("id").alias("query_id"), F.col("vkey").alias("qkey")).join(ids, "qkey").where("vec_id <> query_id")
+    ranked = others.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 ship(__name__)

@@ -426,6 +426,21 @@ def test_nearest_with_many_buckets(spark, bucket):
     assert len(got) == 5 * 150 and hits / len(got) >= 0.9
 
 
+def test_nearest_of_extreme_norms_and_repeated_rows(spark):
+    rows = [(50, [1.0, 0.1])] * 7 + [(i, [float(i), 1.0]) for i in range(1, 10)] + [(60, [1e300, 1e300]), (61, [1e-200, 1e-200]), (62, [-1e300, 1e300]), (63, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in neighbours.nearest(df, F.col("vec_id") == 50).orderBy("rank").collect()]
+    angle = {i: np.arctan2(v[1] / max(map(abs, v)), v[0] / max(map(abs, v))) for i, v in rows}
+    want = sorted(((-np.cos(a - angle[50]), i) for i, a in angle.items() if i != 50))[:5]
+    assert [r for r, _, _ in got] == [1, 2, 3, 4, 5]
+    assert sorted(i for _, i, _ in got) == sorted(i for _, i in want) and all(abs(s + c) < 1e-12 for (_, _, s), (c, _) in zip(got, want))
+    both = neighbours.cosines(np.array([[1e300, 1e300]]), np.array([[1e-200, 1e-200], [1e300, -1e300]]))
+    assert abs(both[0, 0] - 1) < 1e-12 and abs(both[0, 1]) < 1e-12
+    several = [(50, [1.0, 0.01 * j]) for j in range(9)] + [(i, [1.0, 1.0 + i]) for i in range(1, 9)]
+    found = neighbours.nearest(spark.createDataFrame(several, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 50).collect()
+    assert len(found) == 9 * 5 and all(r.vec_id != 50 for r in found)
+
+
 def test_polytopes_grow_in_small_steps():
     for dims in (1, 2, 3, 20, 64):
         for bits in range(1, 20):
