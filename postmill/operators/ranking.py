@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from postmill.functions.scores import engagement_score
 from postmill.functions.text import preview
 from postmill.functions.times import Moment, moment
+from postmill.session import cut_lineage
 
 # Up to this k Spark itself trims every group before the shuffle.
 WINDOW_LIMIT = 1000
@@ -99,14 +100,17 @@ def timeline_order(rows: DataFrame, direction: str = "asc", ts: str = "ts") -> D
 def numbered_by(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
     """Number all rows from 1, by falling ``group`` (nulls last) and ``order`` within it.
 
-    Rows are ranked within their group; only the counts of the groups, days or lengths, meet in one sequence.
+    Rows are dealt to tasks by ranges of the whole order, so a group of any size, a day or a length that most rows
+    share, is ranked in many slices; only the counts of the slices meet in one sequence. The slices are written, as another
+    sample of the ranges would cut them elsewhere.
     """
-    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = W.orderBy(F.desc_nulls_last("__g")).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("__g", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    ranked = rows.withColumn("__rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
-    joined = ranked.join(counts, F.col(group).eqNullSafe(F.col("__g")))
-    return joined.withColumn(name, F.col("__before") + F.col("__rank")).drop("__g", "__before", "__rank")
+    along = [F.desc_nulls_last(group), *order]
+    sliced = cut_lineage(rows.repartitionByRange(*along).withColumn("__slice", F.spark_partition_id()))
+    counts = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select("__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = sliced.withColumn("__rank", F.row_number().over(W.partitionBy("__slice").orderBy(*along)))
+    return ranked.join(counts, "__slice").withColumn(name, F.col("__before") + F.col("__rank")).drop("__slice", "__before", "__rank")
 
 
 def archive_places(articles: DataFrame) -> DataFrame:

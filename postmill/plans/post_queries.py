@@ -56,11 +56,20 @@ def top_scored(spark, sf):
     return ranking.top_scored(b.posts(spark, sf), "click", 5)
 
 
-@query("engagement_scores", PS + "SELECT post_id, score AS score_sql, score AS score_py, cli_score AS score_cli FROM scored")
+@query("engagement_scores", PS + """,
+    v AS (SELECT post_id, score AS one, cli_score AS one_cli, CAST(CAST(round(value) AS BIGINT) AS DOUBLE) AS n FROM scored JOIN events ON event_id = post_id)
+    SELECT post_id, CASE post_id % 3 WHEN 0 THEN 0 WHEN 1 THEN n ELSE one END AS score_sql,
+           CASE post_id % 3 WHEN 0 THEN n WHEN 1 THEN CASE WHEN n = 0 THEN 5 ELSE n END ELSE one END AS score_py,
+           CASE post_id % 3 WHEN 0 THEN n WHEN 1 THEN n ELSE one_cli END AS score_cli FROM v""")
 def engagement_scores(spark, sf):
-    return b.posts(spark, sf).select(
-        "post_id", *[scores.engagement_score("metadata", v).alias(f"score_{v}") for v in ("sql", "py", "cli")]
-    )
+    """Posts with several keys: points of zero before a score, upvotes beside comments, or one key."""
+    n = F.round("value").cast("bigint").cast("string")
+    values = b.table(spark, sf, "events").select(F.col("event_id").alias("post_id"), n.alias("n"))
+    third = F.col("post_id") % 3
+    metadata = F.when(third == 0, F.concat(F.lit('{"points": 0, "score": '), "n", F.lit("}"))).when(
+        third == 1, F.concat(F.lit('{"num_comments": 5, "upvotes": '), "n", F.lit("}"))).otherwise(F.col("metadata"))
+    p = b.posts(spark, sf).join(values, "post_id").withColumn("metadata", metadata)
+    return p.select("post_id", *[scores.engagement_score("metadata", v).alias(f"score_{v}") for v in ("sql", "py", "cli")])
 
 
 @query("source_stats", P + """
@@ -164,20 +173,22 @@ def ingest_report(spark, sf):
 
 
 def _dirty_posts(spark, sf):
-    """Events with gaps: every seventh without content, every eleventh without a source."""
+    """Events with gaps: every seventh without content, every eleventh without a source, metadata missing or a bare number."""
     e = F.col("post_id")
     return b.posts(spark, sf).withColumns({
         "content": F.when(e % 7 == 0, "").otherwise(F.col("content")),
         "source": F.when(e % 11 != 0, F.col("source")),
         "fetched_at": F.when(e % 2 == 0, F.col("fetched_at")),
+        "metadata": F.when(e % 3 == 1, F.col("metadata")).when(e % 3 == 2, e.cast("string")),
     })
 
 
-@query("normalize_posts", """SELECT event_type AS source, CAST(event_id AS VARCHAR) AS source_id, ts AS fetched_at
-    FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""")
+@query("normalize_posts", P + """
+    SELECT source, source_id, fetched_at, CASE post_id % 3 WHEN 0 THEN '{}' WHEN 1 THEN metadata ELSE '{"value":' || post_id || '}' END AS metadata
+    FROM posts WHERE post_id % 7 <> 0 AND post_id % 11 <> 0""")
 def normalize_posts(spark, sf):
     valid, _ = validate.normalize_posts(_dirty_posts(spark, sf))
-    return valid.select("source", "source_id", "fetched_at")
+    return valid.select("source", "source_id", "fetched_at", "metadata")
 
 
 @query("rejected_posts", """SELECT CAST(event_id AS VARCHAR) AS source_id,

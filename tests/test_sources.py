@@ -282,3 +282,20 @@ def test_payload_edge_cases(spark):
     row = payloads.normalize_arxiv(raw(rss, category="cs.AI")).first()
     assert (row.source_id, row.content, str(row.timestamp)) == ("http://l", "T\n\nD", "2026-04-06 04:00:00")
     assert rules.HACKERNEWS_KEYWORDS[0] == "GPT"
+
+
+def test_backfill_over_jdbc(spark):
+    url = "jdbc:derby:memory:backfill;create=true"
+    rows = [(None if i == 7 else i, "hn", str(i), f"c{i}", None if i % 3 else '"{\\"points\\": 1}"') for i in range(40)]
+    old = spark.createDataFrame(rows, "id bigint, source string, source_id string, content string, metadata string").selectExpr(
+        "id", "source", "source_id", "CAST(NULL AS STRING) AS source_url", "CAST(NULL AS STRING) AS author", "content", "TIMESTAMP '2026-04-01 00:00:00' AS timestamp",
+        "CAST(NULL AS STRING) AS parent_id", "metadata", "CAST(NULL AS TIMESTAMP) AS fetched_at")
+    old.write.format("jdbc").option("url", url).option("dbtable", "posts").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
+    # Bounds cut the ranges only: ids outside them and null ids are read too.
+    read = store.read_jdbc_posts(spark, url, 10, 30, 4)
+    read = read.toDF(*[c.lower() for c in read.columns])
+    assert read.rdd.getNumPartitions() == 4 and store.backfill_dry_run(read).first().n == 40
+    posts = {r.source_id: r for r in store.backfill_posts(read).collect()}
+    assert {(i, r.content) for i, r in posts.items()} == {(str(i), f"c{i}") for i in range(40)}
+    assert posts["3"].metadata == '{"points": 1}' and posts["4"].metadata == "{}"
+    assert all(r.fetched_at == r.timestamp for r in posts.values())
