@@ -18,7 +18,7 @@ PERCENT = 75
 COUNTERS = 22  # bits of the frequency sketch: 16 MB, whatever the input
 LEVELS = 4
 CHECK_COST = 4.0  # of verifying one candidate, in list entries
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 HOT = 20_000  # entries of a token's list from which it is split
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
