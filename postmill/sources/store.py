@@ -75,7 +75,8 @@ def _opened(spark: SparkSession, path: str, schema: StructType, days: DataFrame,
     rows = _stored(spark, path, schema, days.join(F.broadcast(picked), PARTS, "left_semi"))
     if len(chosen) <= FEW_DAYS:
         # Literals prune folders while the scan is planned; beyond them the join below does it as it runs.
-        rows = rows.where(F.col("dt").isin(sorted({r["dt"] for r in chosen})) & F.col("source").isin(sorted({r["source"] for r in chosen})))
+        for part in PARTS:
+            rows = rows.where(F.col(part).isin(sorted({r[part] for r in chosen if r[part] is not None})))
     # One row per source and day.
     live = F.broadcast(days.join(F.broadcast(picked), PARTS, "left_semi"))
     return rows.join(live, [*PARTS, "data_version"], "left_semi").select(*[f.name for f in schema.fields], "dt")
