@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bound_batches, ship, written
@@ -20,6 +21,7 @@ LEVELS = 4
 CHECK_COST = 4.0  # of verifying one candidate, in list entries
 BLOCK_BYTES = 1_000_000
 HOT = 20_000  # entries of a token's list from which it is split
+FAN = 512  # entries of a list for which one stands first
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -59,9 +61,10 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     owner = np.repeat(np.arange(len(texts)), take)
     start = np.repeat(first - (np.cumsum(take) - take), take) + np.arange(take.sum())
     total = np.minimum(count[owner], words).astype(np.uint64)
+    places = np.arange(1, words + 1, dtype=np.uint64) * _ODD
     for j in range(words):
         here = np.minimum(start + j, len(h) - 1) if len(h) else start
-        part = mixed(h[here] + np.uint64(j + 1) * _ODD) if len(h) else np.zeros(0, np.uint64)
+        part = mixed(h[here] + places[j]) if len(h) else np.zeros(0, np.uint64)
         total = mixed(total * _MIX + np.where(j < count[owner], part, np.uint64(0)))
     order = np.lexsort((total, owner))
     owner, total = owner[order], total[order]
@@ -191,17 +194,32 @@ def may_be_similar(size_a, size_b, place_a, place_b, asked, percent: int) -> np.
     return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (left + asked - 1 >= need)
 
 
-def chain_pairs(live: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Neighbours in the lists, by size and id and by hash of id: as many pairs as entries, mostly alike from list to list."""
-    token, node, size, place, level = (live[c].to_numpy() for c in ("token", "node", "size", "place", "level"))
-    out = []
-    for keys in ((node, size, token), (mixed(node.view(np.uint64)), token)):
-        order = np.lexsort(keys)
-        i, j = order[:-1], order[1:]
-        near = (token[i] == token[j]) & may_be_similar(size[i], size[j], place[i], place[j], np.minimum(level[i], level[j]), percent)
+def star_pairs(live: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Each entry of a list with the head of its part, and the heads with the first of them.
+
+    A head is the entry with the least hash of id among those of like size, so lists with much the same entries have
+    mostly the same heads. Long lists have a part for every ``FAN`` entries, by hash of id, which bounds the pairs of a head.
+    Sizes are classed twice, half a class apart: sizes on a border of one classing are together in the other.
+    """
+    token, node, size, place, level, entries = (live[c].to_numpy() for c in ("token", "node", "size", "place", "level", "entries"))
+    h = mixed(node.view(np.uint64))
+    bits = np.ceil(np.log2(np.maximum(1, entries / FAN))).astype(np.uint64)
+    part = h & ((np.uint64(1) << bits) - np.uint64(1))
+    step = max(np.log(100 / percent), 0.01)
+    out = [np.zeros((0, 2), np.int64)]
+    for shift in (0.0, 0.5):
+        kind = np.floor(np.log(size) / step + shift).astype(np.int64)
+        order = np.lexsort((h, part, kind, token))
+        t, k, q = token[order], kind[order], part[order]
+        top = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]) if len(t) else np.zeros(0, bool)
+        head = top | np.concatenate([[True], q[1:] != q[:-1]]) if len(t) else top
+        to_head = order[np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))]
+        to_top = order[np.maximum.accumulate(np.where(top, np.arange(len(t)), 0))]
+        i, j = np.concatenate([order, order[head]]), np.concatenate([to_head, to_top[head]])
+        near = (i != j) & may_be_similar(size[i], size[j], place[i], place[j], np.minimum(level[i], level[j]), percent)
         out.append(np.stack([node[i[near]], node[j[near]]], axis=1))
     pairs = np.concatenate(out)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0) if len(pairs) else pairs
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -276,7 +294,7 @@ class Join:
         return both.where("n >= 0").drop("data"), sketch
 
     def postings(self, sketch: np.ndarray) -> DataFrame:
-        """Entries of shared tokens, and chains along them (``token`` null), written."""
+        """Entries of shared tokens, and the stars of their lists (``star``: pairs of ``node`` and ``other``), written."""
         held = self.spark.sparkContext.broadcast(sketch)
         shards, words, percent = self.shards, self.words, self.percent
 
@@ -290,9 +308,9 @@ class Join:
 
             def flush() -> Iterator[pd.DataFrame]:
                 live = live_postings(blobs)
-                yield live.assign(other=0, chain=False)
-                pairs = chain_pairs(live, percent)
-                yield pd.DataFrame({**{c: 0 for c in LIVE}, "node": pairs["a"], "other": pairs["b"], "chain": True})
+                yield live.assign(other=0, star=False)
+                pairs = star_pairs(live, percent)
+                yield pd.DataFrame({**{c: 0 for c in LIVE}, "node": pairs["a"], "other": pairs["b"], "star": True})
 
             for b in batches:
                 for shard, data in zip(b["shard"], b["data"]):
@@ -304,7 +322,7 @@ class Join:
             if blobs:
                 yield from flush()
 
-        schema = ", ".join(f"{c} bigint" for c in [*LIVE, "other"]) + ", chain boolean"
+        schema = ", ".join(f"{c} bigint" for c in [*LIVE, "other"]) + ", star boolean"
         dealt = self.docs.mapInPandas(run, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
         return written(dealt.mapInPandas(gather, schema), "postings")
 
@@ -313,15 +331,13 @@ class Join:
         words, percent = self.words, self.percent
         pairs = written(pairs.select("a", "b").distinct(), "candidates")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        marks = self._marks(nodes)
+        needed = self.docs.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi").select("doc", "text")
 
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             packer = zstandard.ZstdCompressor(level=3)
             for b in batches:
-                ids = b["doc"].to_numpy(dtype=np.int64)
-                hit = np.unpackbits(marks.value)[(mixed(ids.view(np.uint64)) % np.uint64(len(marks.value) * 8)).astype(np.int64)] > 0
-                texts = [t.encode() if isinstance(t, str) else b"" for t in b["text"][hit]]
-                yield pd.DataFrame({"node": ids[hit], "body": [packer.compress(t) for t in texts]})
+                bodies = [packer.compress(t.encode() if isinstance(t, str) else b"") for t in b["text"]]
+                yield pd.DataFrame({"node": b["doc"], "body": bodies})
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             opener = zstandard.ZstdDecompressor()
@@ -341,37 +357,43 @@ class Join:
                     ok = (100 * shared >= percent * union) & (union > 0)
                     yield part.loc[ok, ["a", "b"]]
 
-        bodies = written(self.docs.mapInPandas(pack, "node bigint, body binary"), "bodies")
+        bodies = written(needed.mapInPandas(pack, "node bigint, body binary"), "bodies")
         both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a").join(
             bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"
         )
         return written(both.select("a", "b", "body_a", "body_b").mapInPandas(check, "a bigint, b bigint"), "links")
 
-    def _marks(self, nodes: DataFrame):
-        """A bit per hashed node, in a table of fixed size: a false hit only moves a text that is not needed."""
-        bits = 1 << 23
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen = np.zeros(bits, dtype=np.uint8)
-            for b in batches:
-                seen[(mixed(b["node"].to_numpy(dtype=np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)] = 1
-            yield pd.DataFrame({"part": range(16), "data": [zstandard.compress(np.packbits(p).tobytes(), 1) for p in np.split(seen, 16)]})
+    def open_lists(self, live: DataFrame, component: DataFrame) -> DataFrame:
+        """Entries, with their component, of lists that more than one component shares; ``rows`` is the list's length."""
+        placed = live.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        per = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
+        return placed.join(per.where("lo <> hi").select("token", "rows"), "token")
 
-        def join(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.bitwise_or.reduce([np.frombuffer(zstandard.decompress(d), np.uint8) for d in pdf["data"]])
-            return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [total.tobytes()]})
+    def chains(self, entries: DataFrame) -> DataFrame:
+        """Neighbours in open lists, by size and by hash of id, where they are of different components.
 
-        parts = nodes.mapInPandas(run, "part int, data binary").groupBy("part").applyInPandas(join, "part int, data binary").collect()
-        table = b"".join(bytes(r["data"]) for r in sorted(parts, key=lambda r: r["part"])) or bytes(bits // 8)
-        return self.spark.sparkContext.broadcast(np.frombuffer(table, np.uint8))
+        What a star has linked is not chained again, so only the entries it has left meet several others. Long lists are
+        chained in parts; nothing depends on that but how many pairs are left for ``remaining``.
+        """
+        percent = self.percent
+        part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("rows") / HOT)).alias("part")
+        cut = entries.select("token", part, "node", "size", "place", "level", "component", F.xxhash64("node").alias("h"))
+        fields = ("node", "size", "place", "level", "component")
+        found = []
+        for order in (("size", "node"), ("h", "node")):
+            after = W.partitionBy("token", "part").orderBy(*order)
+            both = cut.select(*fields, *[F.lead(c).over(after).alias(f"{c}_b") for c in fields]).where("component <> component_b AND node <> node_b")
+            small, large = F.least("size", "size_b"), F.greatest("size", "size_b")
+            need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent))
+            left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+            near = both.where((100 * small >= percent * large) & (left + F.least("level", "level_b") > need))
+            found.append(near.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
+        return found[0].unionAll(found[1])
 
     def remaining(self, live: DataFrame, component: DataFrame) -> DataFrame:
         """Candidates between different components, from lists that more than one component shares."""
         percent = self.percent
-        placed = live.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        per = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        open_lists = per.where("lo <> hi").select("token", F.ceil(F.col("rows") / HOT).cast("int").alias("parts"))
-        rows = placed.join(open_lists, "token")
+        rows = self.open_lists(live, component).withColumn("parts", F.ceil(F.col("rows") / HOT).cast("int"))
         # Entries of one component, level, size and place in a list need only be told apart by node; long lists are
         # cut into parts, and each two parts meet in a group of their own.
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -404,8 +426,8 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Equal sets are linked by their keys and count once from there on. Tokens are ordered by a frequency sketch over all
     documents, rare first. Each set lists a prefix long enough that similar sets share ``level`` of its tokens; the level
-    grows where lists are long. Chains along the lists are verified first; only pairs of different components
-    that share as many prefix tokens as asked are then verified. Texts without words are linked with nothing.
+    grows where lists are long. Stars of the lists are verified first, then chains between the components they leave, then
+    all pairs of components still apart that share as many prefix tokens as asked. Texts without words are linked with nothing.
     Rows without id have no component; rows of one id are one document.
     """
     bound_batches(docs.sparkSession)
@@ -415,7 +437,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc").alias("rep"))
     classes = written(sets.join(least, ["n", "k1", "k2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")), "classes")
     postings = join.postings(sketch)
-    first = join.verified(postings.where("chain").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    first = join.verified(postings.where("star").select(F.col("node").alias("a"), F.col("other").alias("b")))
     of = classes.select(F.col("doc").alias("node"), "rep").groupBy("node").agg(F.min("rep").alias("rep"))
 
     def between_classes(links: DataFrame) -> DataFrame:
@@ -426,8 +448,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = components(between_classes(links)).select(F.col("node").alias("rep"), "component")
         return of.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
 
-    rest = join.verified(join.remaining(postings.where("NOT chain").drop("other", "chain"), components_of(first)))
-    final = components_of(first.union(rest))
+    entries = written(join.open_lists(postings.where("NOT star").drop("other", "star"), components_of(first)), "open")
+    linked = first.union(join.verified(join.chains(entries)))
+    rest = join.verified(join.remaining(entries.drop("component", "rows"), components_of(linked)))
+    final = components_of(linked.union(rest))
     sizes = sets.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id").select(
         "doc_id", "n_shingles", F.col("component").alias("component_id")
     )
