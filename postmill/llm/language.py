@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ GRAMS = (1, 2, 3)
 CLUSTERS = 4
 SAMPLE = 400  # texts per language from which centroids are formed; document frequencies cover all labelled rows
 SLOTS = 1 << 30
+BLOCK = 64  # texts whose vectors are made at once
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -74,9 +76,8 @@ class Centroids:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         sims = np.zeros((len(texts), len(self.langs)), dtype=np.float64)
-        step = 256
-        for s in range(0, len(texts), step):
-            sims[s : s + step] = weighted(gram_counts(texts[s : s + step]), self.idf) @ self.vectors.T
+        for s in range(0, len(texts), BLOCK):
+            sims[s : s + BLOCK] = weighted(gram_counts(texts[s : s + BLOCK]), self.idf) @ self.vectors.T
         best = sims.argmax(axis=1)
         score = np.clip(sims[np.arange(len(texts)), best], 0.0, 1.0)
         blank = np.array([not has_letter(t) for t in texts], dtype=bool)
@@ -121,8 +122,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
         for b in batches:
             texts = [t for t in b["text"] if has_letter(t)]
             n += len(texts)
-            for s in range(0, len(texts), 256):
-                total += (gram_counts(texts[s : s + 256]) > 0).sum(axis=0)
+            for s in range(0, len(texts), BLOCK):
+                total += (gram_counts(texts[s : s + BLOCK]) > 0).sum(axis=0)
         dims = np.flatnonzero(total)
         yield pd.DataFrame({"dim": np.append(dims, DIMS), "df": np.append(total[dims], n)})
 
@@ -145,7 +146,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: Colu
     # About four times the sample passes a hash threshold first, so what a language's task reads does not grow with the table.
     per_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     spark = labelled.sparkSession
-    shares = spark.createDataFrame([(r["lang"], min(SLOTS, 4 * sample * SLOTS // r["n"] + 1)) for r in per_lang], "lang string, share bigint")
+    # As an Arrow table it needs no Python workers of another kind, which would stay in the executors' memory.
+    shares = spark.createDataFrame(pa.table({
+        "lang": pa.array([r["lang"] for r in per_lang], pa.string()),
+        "share": pa.array([min(SLOTS, 4 * sample * SLOTS // r["n"] + 1) for r in per_lang], pa.int64()),
+    }))
     thinned = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("ord"), F.lit(SLOTS)) < F.col("share")).drop("share")
     first = W.partitionBy("lang").orderBy(F.xxhash64("ord", F.lit(1)), "ord", "text")
     chosen = thinned.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample)
@@ -169,7 +174,8 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
     out = docs.drop("lang_pred", "score", "rejected")
-    return out.withColumn("__p", predict(F.col(f"`{text}`"))).select(
+    # Declared nondeterministic, or a filter on a result would predict once for itself and once for the columns.
+    return out.withColumn("__p", predict.asNondeterministic()(F.col(f"`{text}`"))).select(
         *[F.col(f"`{c}`") for c in out.columns], "__p.lang_pred", "__p.score", "__p.rejected"
     )
 

@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -479,3 +480,22 @@ def test_bpe_odd_words():
         ((ids, shown),) = encoder.encode([t])
         want = tokenizer.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want and shown.decode() == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_a_filter_on_the_language_predicts_once(spark):
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat sat", "en"), ("le chat est", "fr")] * 20)], "doc_id bigint, text string, lang string")
+    kept = language.identify(df, language.fit(df)).where("NOT rejected")
+    assert str(kept._jdf.queryExecution().executedPlan()).count("ArrowEvalPython") == 1
+
+
+def test_jaccard_stars_of_many_near_copies():
+    """Pairs grow with the members of a group of near copies, not with members times lists, and no head has most of them."""
+    rng = random.Random(4)
+    n, lists = 3000, 25
+    rows = [(t, i, 100, t, 1, 1) for t in range(lists) for i in range(n) if rng.random() < 0.9]
+    live = pd.DataFrame(rows, columns=["token", "node", "size", "place", "level", "salts"])
+    live["entries"] = live.groupby("token")["node"].transform("size")
+    pairs = jaccard.star_pairs(live, 75)
+    assert len(pairs) < 6 * n
+    assert set(pairs["a"]) | set(pairs["b"]) == set(live["node"])
+    assert pd.concat([pairs["a"], pairs["b"]]).value_counts().max() < 3 * jaccard.FAN
