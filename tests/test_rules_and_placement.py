@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postmill import rules
 from postmill.operators import anchors, guards, lookups, placement
 from postmill.plans import daily
+from postmill.plans.catalog import QUERIES
 
 ART = "id string, ord bigint, headline string, body string, category string, trust string, created_at timestamp_ntz, placement string, placed_at timestamp_ntz"
 
@@ -140,3 +141,14 @@ def test_daily_run(spark):
     assert got["art-202604240800-02"][0] == "top" and got["old-0"] == ("main", "2026-04-24 08:00:00")
     assert out.decision_log.count() == 2 and out.rejected.count() == 0
     assert {r.id: r.placement for r in out.log_placements.collect()} == {i: p for i, (p, _) in got.items()}
+
+
+def test_short_ids_of_five_digits_stay_whole(spark, tmp_path):
+    numbers = [1234, 12340, 12341, 12342, 12343, 1235, 12350]
+    docs = spark.createDataFrame([(n, "s", "l", "t") for n in numbers], "doc_id bigint, source string, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "0 AS toxic", "1 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.pos, r.id) for r in QUERIES["resolve_short_ids"](spark, str(tmp_path)).collect()}
+    # ``ord % 4`` tells the form of the ref, where 3 refers to nothing; tens are in both runs.
+    assert got == {(1234, "art-2024-1234"), (12341, "art-2024-12341"), (12342, "art-2024-12342"), (12350, "art-2024-12350")}
+    assert [r.pos for r in QUERIES["ambiguous_short_ids"](spark, str(tmp_path)).collect()] == [12340]
