@@ -20,10 +20,14 @@ def top_keywords(
     articles: DataFrame, n: int = 8, text: Column | None = None, key: str = "id",
     pattern: str = rules.KEYWORD_PATTERN, stop: list[str] = rules.KEYWORD_STOP,
 ) -> DataFrame:
-    """(key, rank, keyword, freq): frequent words first, then longer, then earlier ones."""
+    """(key, rank, keyword, freq): frequent words first, then longer, then earlier ones.
+
+    Texts move to their key once, as their words would weigh more; counts and ranks need no further shuffle.
+    """
     source = text if text is not None else F.concat_ws(" ", "headline", "body")
+    texts = articles.select(key, source.alias("__text")).repartition(key)
     # Outer, as Spark would else cut every text once more for a filter on empty lists.
-    words = articles.select(key, F.posexplode_outer(F.regexp_extract_all(source, F.lit(pattern), F.lit(0))).alias("pos", "keyword"))
+    words = texts.select(key, F.posexplode_outer(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))).alias("pos", "keyword"))
     words = words.where((F.length("keyword") >= 2) & ~F.lower("keyword").isin(stop))
     counted = words.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("freq"), F.min("pos").alias("first"))
     order = [F.desc("freq"), F.desc(F.length("keyword")), F.asc("first")]

@@ -48,3 +48,8 @@ def test_no_products_and_no_row_udfs(spark, name):
 def test_stats_read_two_columns(spark):
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan(spark, "source_stats")).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {"ts", "event_type"}
+
+
+def test_keywords_move_no_words(spark):
+    moved = [line for line in plan(spark, "top_keywords").splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("keyword#" in line for line in moved)
