@@ -19,6 +19,8 @@ from postmill.functions.text import search_words
 
 BUCKETS = 64
 CHUNK_POSTS = 1_024
+CHUNK_WORDS = 2 << 20
+TASK_WORDS = 1 << 19
 CLASSES_PER_DOUBLING = 2
 SEGMENT_SPAN = 1 << 40
 CLASS_SPAN = 1 << 33
@@ -55,8 +57,8 @@ def _live(spark: SparkSession, path: str) -> tuple[list, int]:
 
 
 def _chunk(sizes: dict[int, int], segment: int, key: str) -> Column:
-    """The chunk of a post: posts of a length class are dealt to as many chunks as the class fills."""
-    parts = F.create_map(*chain.from_iterable((F.lit(c), F.lit(max(1, -(-n // CHUNK_POSTS)))) for c, n in sizes.items()))
+    """The chunk of a post: posts of a length class are dealt to as many chunks as ``sizes`` has for the class."""
+    parts = F.create_map(*chain.from_iterable((F.lit(c), F.lit(n)) for c, n in sizes.items()))
     return F.lit(segment * SEGMENT_SPAN) + F.col("class") * F.lit(CLASS_SPAN) + F.pmod(F.xxhash64(key), F.element_at(parts, F.col("class")))
 
 
@@ -69,8 +71,12 @@ def _write_segment(tokens: DataFrame, path: str, segment: int, key: str) -> tupl
     # Two classes a doubling: at most 64 rows.
     sizes = posts.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("w")).collect()
     if sizes:
-        chunk = _chunk({r["class"]: r["n"] for r in sizes}, segment, key)
-        counted = posts.select(key, "doc_len", chunk.alias("chunk"), F.explode("words").alias("term")).groupBy("term", "chunk", key, "doc_len").agg(
+        chunk = _chunk({r["class"]: max(1, -(-r["n"] // CHUNK_POSTS), -(-r["w"] // CHUNK_WORDS)) for r in sizes}, segment, key)
+        # Posts move to their chunk once, as their words would weigh more; a task counts and blocks what it holds.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["w"] for r in sizes) // TASK_WORDS))
+        # As one string, the words of a post are half as long.
+        dealt = posts.where("doc_len > 0").select(key, "doc_len", chunk.alias("chunk"), F.array_join("words", " ").alias("line")).repartition(tasks, "chunk")
+        counted = dealt.select(key, "doc_len", "chunk", F.explode(F.split("line", " ")).alias("term")).groupBy("term", "chunk", key, "doc_len").agg(
             F.count(F.lit(1)).cast("int").alias("tf")
         )
         posting = F.struct(F.col("tf"), (-F.col("doc_len")).alias("less"), F.col(key).alias("id"))

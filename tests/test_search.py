@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -119,3 +120,26 @@ def test_merge_that_dies_has_not_happened(spark, tmp_path, many, monkeypatch):
     assert found(spark, path, "w0 w1") == plain_bm25(held, "w0 w1", 10)
     merge_into_index(frame(spark, {1: "w0 other", 9000: "w0 w1"}), path)
     assert found(spark, path, "w0 w1") == plain_bm25(held | {1: "w0 other", 9000: "w0 w1"}, "w0 w1", 10)
+
+
+def test_index_moves_posts_not_their_words(spark, tmp_path, monkeypatch):
+    # Posts of many words share fewer chunks, and no shuffle of a merge is dealt by term.
+    plans = []
+    frame = type(spark.range(0))
+    with_column = frame.withColumn
+
+    def seen(self, name, column):
+        if name == "bucket" and "postings" in self.columns:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return with_column(self, name, column)
+
+    monkeypatch.setattr(frame, "withColumn", seen)
+    monkeypatch.setattr(term_store, "CHUNK_WORDS", 50, raising=False)
+    posts = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(20))) for i in range(40)] + [(40, ""), (41, None)], "post_id bigint, content string")
+    term_store.merge_into_index(posts, str(tmp_path / "index"))
+    moved = [line for line in plans[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("term#" in line for line in moved)
+    index = term_store.open_index(spark, str(tmp_path / "index"))
+    assert (index.n_docs, index.n_words) == (42, 800) and index.blocks.select("chunk").distinct().count() > 5
+    want = Counter((f"w{(i * j) % 17}", i) for i in range(40) for j in range(20))
+    assert {((r.term, r.post_id), r.tf) for r in search.stored_postings(index).collect()} == set(want.items())
