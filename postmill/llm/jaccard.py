@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bound_batches, ship, written
@@ -22,6 +21,10 @@ CHECK_COST = 4.0  # of verifying one candidate, in list entries
 BLOCK_BYTES = 1_000_000
 HOT = 20_000  # entries of a token's list from which it is split
 FAN = 512  # entries of a list for which one stands first
+MEET = 2_000  # entries of a list among which each looks for the nearest
+SHORT = 64  # entries of a list up to which those without a partner are left out
+MARK_BITS = 512
+ID_BITS = 25  # of the map of wanted ids: 4 MB, whatever the input
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -100,6 +103,45 @@ def set_keys(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return n, out[0].view(np.int64), out[1].view(np.int64)
 
 
+def parity_marks(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Per set ``MARK_BITS`` bits, and as many bits as it has members at least: whether an odd number of members falls on each.
+
+    Both are powers of two; the low bits of a hash say which bit it falls on, so more bits fold to fewer ones.
+    """
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(n, MARK_BITS))).astype(np.int64))
+    begin = np.cumsum(bits) - bits
+    odd = np.bincount(begin[row] + (h & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8))
+    chunks = packed.reshape(-1, MARK_BITS // 8)
+    short = np.bitwise_xor.reduceat(chunks, begin // MARK_BITS, axis=0) if len(n) else chunks
+    whole = packed.tobytes()
+    return [r.tobytes() for r in short], [whole[a : a + b] for a, b in zip((begin // 8).tolist(), (bits // 8).tolist())]
+
+
+def folded(mark: bytes, size: int) -> bytes:
+    return np.bitwise_xor.reduce(np.frombuffer(mark, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
+def id_slots(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def set_bits(bits: np.ndarray, ids: np.ndarray) -> None:
+    """Set the bit of each slot that an id falls on."""
+    slots = id_slots(ids)
+    np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+
+
+def may_be_in(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slots = id_slots(ids)
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def near_marks(odd: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets whose marks differ in ``odd`` bits can be similar: every bit that differs has a member of one set alone."""
+    return odd * (100 + percent) <= (100 - percent) * (size_a + size_b)
+
+
 def prefix_length(n: np.ndarray, level: np.ndarray | int, percent: int) -> np.ndarray:
     return np.minimum(n, n + (-n * percent) // 100 + level)
 
@@ -164,7 +206,7 @@ def opened(blob: bytes) -> list[np.ndarray]:
     return fields
 
 
-LIVE = ["token", "node", "size", "place", "level", "salts", "entries"]
+ENTRY = ["token", "node", "size", "place", "level"]
 
 
 def live_postings(blobs: list[bytes]) -> pd.DataFrame:
@@ -194,6 +236,23 @@ def may_be_similar(size_a, size_b, place_a, place_b, asked, percent: int) -> np.
     return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (left + asked - 1 >= need)
 
 
+def with_partner(live: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which entries may be similar to another one of their list. Of long lists and parts of lists all entries stay."""
+    token, size, place, level, entries, salts = (live[c].to_numpy() for c in ("token", "size", "place", "level", "entries", "salts"))
+    stays = (entries > SHORT) | (salts > 1)
+    first = np.flatnonzero(~stays)
+    for gap in range(1, SHORT):
+        first = first[first + gap < len(live)]
+        first = first[token[first] == token[first + gap]]
+        if not len(first):
+            break
+        i, j = first, first + gap
+        near = may_be_similar(size[i], size[j], place[i], place[j], np.minimum(level[i], level[j]), percent)
+        stays[i[near]] = True
+        stays[j[near]] = True
+    return stays
+
+
 def star_pairs(live: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Each entry of a list with the head of its part, and the heads with the first of them.
 
@@ -223,19 +282,22 @@ def star_pairs(live: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 500_000
 
 
-def close_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs within lists, of different components, that size and place in the prefix do not rule out.
+def close_pairs(rows: pd.DataFrame, percent: int, nearest: bool = False) -> Iterator[pd.DataFrame]:
+    """Pairs within lists, of different components, that size, place in the prefix and marks do not rule out.
 
     ``rows`` are whole lists, or parts of lists that meet, one after the other. A similar pair passes in as many lists
-    as shared tokens are asked of it, and is counted in each of them.
+    as shared tokens are asked of it, and is counted in each of them. With ``nearest`` only the pair of each entry
+    whose marks differ least for its sizes.
     """
     names = ("token", "lo", "hi", "node", "size", "place", "level", "component", "side")
     if not len(rows):
         return
     token, lo, hi, node, size, place, level, comp, side = (rows[c].to_numpy() for c in names)
+    marks = np.frombuffer(b"".join(rows["mark"]), dtype=np.uint64).reshape(len(rows), -1)
+    least, partner = np.full(len(rows), np.inf), np.full(len(rows), -1)
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
     last = np.append(np.flatnonzero(new)[1:], len(rows))[np.cumsum(new) - 1]
     after = last - np.arange(len(rows)) - 1
@@ -252,9 +314,28 @@ def close_pairs(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
         i, j = i[ok], j[ok]
         asked = np.minimum(level[i], level[j])
         ok = may_be_similar(size[i], size[j], place[i], place[j], asked, percent)
-        i, j = i[ok], j[ok]
-        if len(i):
-            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "asked": asked[ok]})
+        i, j, asked = i[ok], j[ok], asked[ok]
+        odd = np.zeros(len(i), dtype=np.int64)
+        for word in range(marks.shape[1]):
+            odd += np.bitwise_count(marks[i, word] ^ marks[j, word])
+        ok = near_marks(odd, size[i], size[j], percent)
+        i, j, asked, odd = i[ok], j[ok], asked[ok], odd[ok]
+        if not len(i):
+            continue
+        if not nearest:
+            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j]), "asked": asked})
+            continue
+        one, two, far = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(odd / (size[i] + size[j]), 2)
+        order = np.lexsort((far, one))
+        one, two, far = one[order], two[order], far[order]
+        top = np.concatenate([[True], one[1:] != one[:-1]])
+        one, two, far = one[top], two[top], far[top]
+        better = far < least[one]
+        least[one[better]], partner[one[better]] = far[better], two[better]
+    i = np.flatnonzero(partner >= 0)
+    if len(i):
+        pairs = np.unique(np.sort(np.stack([node[i], node[partner[i]]], axis=1), axis=1), axis=0)
+        yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "asked": 1})
 
 
 class Join:
@@ -266,7 +347,7 @@ class Join:
         self.shards = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def summary(self) -> tuple[DataFrame, np.ndarray]:
-        """Size and key of every set, written; and how often tokens fall on each counter of the sketch."""
+        """Size, key and marks of every set, written; and how often tokens fall on each counter of the sketch."""
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,26 +356,32 @@ class Join:
                 row, h = shingle_sets(texts, words)
                 n, k1, k2 = set_keys(row, h, len(ids))
                 np.add.at(counts, (h >> np.uint64(64 - COUNTERS)).astype(np.int64), np.uint32(1))
-                yield pd.DataFrame({"doc": ids, "n": n, "k1": k1, "k2": k2, "data": None})
+                mark, marks = parity_marks(row, h, n)
+                out = pd.DataFrame({"doc": ids, "n": n, "k1": k1, "k2": k2, "data": None, "mark": mark, "marks": marks})
+                # Repeated rows need their marks once.
+                out.loc[out.duplicated(["doc", "n", "k1", "k2"]) | (out["n"] == 0), ["mark", "marks"]] = None
+                yield out
             if counts.any():
                 yield pd.DataFrame({
                     "doc": range(64), "n": -1, "k1": 0, "k2": 0, "data": [zstandard.compress(p.tobytes(), 1) for p in np.split(counts, 64)],
+                    "mark": None, "marks": None,
                 })
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(zstandard.decompress(d), dtype=np.uint32).astype(np.uint64) for d in pdf["data"])
             return pd.DataFrame({"doc": pdf["doc"].iloc[:1], "data": [zstandard.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]})
 
-        both = written(self.docs.mapInPandas(run, "doc bigint, n bigint, k1 bigint, k2 bigint, data binary"), "sets")
+        both = written(self.docs.mapInPandas(run, "doc bigint, n bigint, k1 bigint, k2 bigint, data binary, mark binary, marks binary"), "sets")
+        self.marked = both.where("mark IS NOT NULL").select("doc", "n", "mark", "marks")
         parts = both.where("n < 0").groupBy("doc").applyInPandas(add, "doc bigint, data binary").collect()  # 64 rows, 16 MB in all
         sketch = np.zeros(1 << COUNTERS, dtype=np.uint32)
         for r in parts:
             part = np.frombuffer(zstandard.decompress(r["data"]), dtype="<u4")
             sketch[r["doc"] * len(part) : (r["doc"] + 1) * len(part)] = part
-        return both.where("n >= 0").drop("data"), sketch
+        return both.where("n >= 0").drop("data", "mark", "marks"), sketch
 
     def postings(self, sketch: np.ndarray) -> DataFrame:
-        """Entries of shared tokens, and the stars of their lists (``star``: pairs of ``node`` and ``other``), written."""
+        """Entries of shared tokens that have a partner, and the stars of their lists (``star``: pairs of ``node`` and ``other``), written."""
         held = self.spark.sparkContext.broadcast(sketch)
         shards, words, percent = self.shards, self.words, self.percent
 
@@ -308,9 +395,9 @@ class Join:
 
             def flush() -> Iterator[pd.DataFrame]:
                 live = live_postings(blobs)
-                yield live.assign(other=0, star=False)
+                yield live.loc[with_partner(live, percent), ENTRY].assign(other=0, star=False)
                 pairs = star_pairs(live, percent)
-                yield pd.DataFrame({**{c: 0 for c in LIVE}, "node": pairs["a"], "other": pairs["b"], "star": True})
+                yield pd.DataFrame({**{c: 0 for c in ENTRY}, "node": pairs["a"], "other": pairs["b"], "star": True})
 
             for b in batches:
                 for shard, data in zip(b["shard"], b["data"]):
@@ -322,16 +409,53 @@ class Join:
             if blobs:
                 yield from flush()
 
-        schema = ", ".join(f"{c} bigint" for c in [*LIVE, "other"]) + ", star boolean"
+        schema = ", ".join(f"{c} bigint" for c in [*ENTRY, "other"]) + ", star boolean"
         dealt = self.docs.mapInPandas(run, "shard int, data binary").repartition(shards, "shard").sortWithinPartitions("shard")
         return written(dealt.mapInPandas(gather, schema), "postings")
 
+    def among(self, nodes: DataFrame) -> DataFrame:
+        """The documents of ``nodes`` and a few more: a map of their ids keeps most other texts from any shuffle."""
+
+        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            bits = np.zeros(1 << ID_BITS - 3, dtype=np.uint8)
+            for b in batches:
+                set_bits(bits, b["node"].to_numpy())
+            if bits.any():
+                yield pd.DataFrame({"part": range(16), "data": [zstandard.compress(p.tobytes(), 1) for p in np.split(bits, 16)]})
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            all_bits = np.bitwise_or.reduce([np.frombuffer(zstandard.decompress(d), np.uint8) for d in pdf["data"]], axis=0)
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [zstandard.compress(all_bits.tobytes(), 1)]})
+
+        wanted = np.zeros((16, 1 << ID_BITS - 7), dtype=np.uint8)
+        for r in nodes.mapInPandas(mark, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, data binary").collect():
+            wanted[r["part"]] = np.frombuffer(zstandard.decompress(r["data"]), np.uint8)
+        held = self.spark.sparkContext.broadcast(wanted.ravel())
+
+        @F.pandas_udf("boolean")
+        def is_wanted(ids: pd.Series) -> pd.Series:
+            return pd.Series(may_be_in(ids.to_numpy(), held.value))
+
+        return self.docs.where(is_wanted("doc"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (``a``, ``b``) whose whole sets are similar enough. Only their own texts move, compressed."""
+        """The pairs (``a``, ``b``) whose whole sets are similar enough. Only texts of pairs that their marks leave move, compressed."""
         words, percent = self.words, self.percent
-        pairs = written(pairs.select("a", "b").distinct(), "candidates")
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                odd = np.zeros(len(b), dtype=np.int64)
+                for i, (x, y) in enumerate(zip(b["marks_a"], b["marks_b"])):
+                    size = min(len(x), len(y))
+                    x, y = folded(x, size), folded(y, size)
+                    odd[i] = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+                yield b.loc[near_marks(odd, b["n_a"].to_numpy(), b["n_b"].to_numpy(), percent), ["a", "b"]]
+
+        left, right = (self.marked.select(F.col("doc").alias(c), F.col("n").alias(f"n_{c}"), F.col("marks").alias(f"marks_{c}")) for c in "ab")
+        marked = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+        pairs = written(marked.select("a", "b", "n_a", "n_b", "marks_a", "marks_b").mapInPandas(near, "a bigint, b bigint").distinct(), "candidates")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        needed = self.docs.join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi").select("doc", "text")
+        needed = self.among(nodes).join(nodes.withColumnRenamed("node", "doc"), "doc", "left_semi").select("doc", "text")
 
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             packer = zstandard.ZstdCompressor(level=3)
@@ -364,43 +488,30 @@ class Join:
         return written(both.select("a", "b", "body_a", "body_b").mapInPandas(check, "a bigint, b bigint"), "links")
 
     def open_lists(self, live: DataFrame, component: DataFrame) -> DataFrame:
-        """Entries, with their component, of lists that more than one component shares; ``rows`` is the list's length."""
+        """Entries of lists that more than one component shares; ``rows`` is the list's length."""
         placed = live.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = written(placed.select(*ENTRY, "component"), "placed")
         per = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"))
-        return placed.join(per.where("lo <> hi").select("token", "rows"), "token")
+        return placed.drop("component").join(per.where("lo <> hi").select("token", "rows"), "token")
 
-    def chains(self, entries: DataFrame) -> DataFrame:
-        """Neighbours in open lists, by size and by hash of id, where they are of different components.
+    def met(self, entries: DataFrame, component: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of different components that meet in lists, once for each list.
 
-        What a star has linked is not chained again, so only the entries it has left meet several others. Long lists are
-        chained in parts; nothing depends on that but how many pairs are left for ``remaining``.
+        With ``nearest`` a long list is cut into parts of ``MEET`` entries, each for itself, and an entry has the pair whose
+        marks are nearest; else parts of long lists meet pairwise and every pair that can be similar is among them.
         """
         percent = self.percent
-        part = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("rows") / HOT)).alias("part")
-        cut = entries.select("token", part, "node", "size", "place", "level", "component", F.xxhash64("node").alias("h"))
-        fields = ("node", "size", "place", "level", "component")
-        found = []
-        for order in (("size", "node"), ("h", "node")):
-            after = W.partitionBy("token", "part").orderBy(*order)
-            both = cut.select(*fields, *[F.lead(c).over(after).alias(f"{c}_b") for c in fields]).where("component <> component_b AND node <> node_b")
-            small, large = F.least("size", "size_b"), F.greatest("size", "size_b")
-            need = F.ceil(percent * (F.col("size") + F.col("size_b")) / (100 + percent))
-            left = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
-            near = both.where((100 * small >= percent * large) & (left + F.least("level", "level_b") > need))
-            found.append(near.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
-        return found[0].unionAll(found[1])
-
-    def remaining(self, live: DataFrame, component: DataFrame) -> DataFrame:
-        """Candidates between different components, from lists that more than one component shares."""
-        percent = self.percent
-        rows = self.open_lists(live, component).withColumn("parts", F.ceil(F.col("rows") / HOT).cast("int"))
-        # Entries of one component, level, size and place in a list need only be told apart by node; long lists are
-        # cut into parts, and each two parts meet in a group of their own.
-        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-        spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.select(
+        marks = self.marked.select(F.col("doc").alias("node"), F.col("n").alias("size"), "mark")
+        rows = entries.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(marks, ["node", "size"])
+        rows = rows.withColumn("parts", F.ceil(F.col("rows") / (MEET if nearest else HOT)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        if nearest:
+            rows = rows.withColumn("other", F.col("own"))
+        else:
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = rows.select(
             "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "size", "place", "level", "component",
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "mark",
         )
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,13 +522,17 @@ class Join:
                 cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
                 # The last list may go on in the next batch; lists are cut into parts of bounded length before.
                 whole = int(cut[-1]) + 1 if len(cut) else 0
-                yield from close_pairs(b.iloc[:whole], percent)
+                yield from close_pairs(b.iloc[:whole], percent, nearest)
                 held = b.iloc[whole:]
             if held is not None and len(held):
-                yield from close_pairs(held, percent)
+                yield from close_pairs(held, percent, nearest)
 
         dealt = spread.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-        found = dealt.mapInPandas(run, "a bigint, b bigint, asked bigint")
+        return dealt.mapInPandas(run, "a bigint, b bigint, asked bigint")
+
+    def remaining(self, entries: DataFrame, component: DataFrame) -> DataFrame:
+        """Candidates between different components, from lists that more than one component shares."""
+        found = self.met(entries, component, nearest=False)
         return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked")).where("shared >= asked")
 
 
@@ -426,8 +541,9 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Equal sets are linked by their keys and count once from there on. Tokens are ordered by a frequency sketch over all
     documents, rare first. Each set lists a prefix long enough that similar sets share ``level`` of its tokens; the level
-    grows where lists are long. Stars of the lists are verified first, then chains between the components they leave, then
-    all pairs of components still apart that share as many prefix tokens as asked. Texts without words are linked with nothing.
+    grows where lists are long. Stars of the lists are verified first, then of each entry the nearest one of another component, then
+    all pairs of components still apart that share as many prefix tokens as asked. Parity marks of the sets leave out pairs that
+    cannot be similar before their texts are fetched. Texts without words are linked with nothing.
     Rows without id have no component; rows of one id are one document.
     """
     bound_batches(docs.sparkSession)
@@ -448,9 +564,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         found = components(between_classes(links)).select(F.col("node").alias("rep"), "component")
         return of.join(found, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
 
-    entries = written(join.open_lists(postings.where("NOT star").drop("other", "star"), components_of(first)), "open")
-    linked = first.union(join.verified(join.chains(entries)))
-    rest = join.verified(join.remaining(entries.drop("component", "rows"), components_of(linked)))
+    now = components_of(first)
+    entries = written(join.open_lists(postings.where("NOT star").drop("other", "star"), now), "open")
+    linked = first.union(join.verified(join.met(entries, now, nearest=True)))
+    rest = join.verified(join.remaining(entries, components_of(linked)))
     final = components_of(linked.union(rest))
     sizes = sets.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id").select(
         "doc_id", "n_shingles", F.col("component").alias("component_id")

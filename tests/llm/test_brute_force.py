@@ -499,3 +499,42 @@ def test_jaccard_stars_of_many_near_copies():
     assert len(pairs) < 6 * n
     assert set(pairs["a"]) | set(pairs["b"]) == set(live["node"])
     assert pd.concat([pairs["a"], pairs["b"]]).value_counts().max() < 3 * jaccard.FAN
+
+
+def test_jaccard_marks_keep_similar_sets_and_leave_out_most_others():
+    rng = np.random.default_rng(5)
+    for size in (3, 40, 700, 3000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64)
+        for changed in sorted({0, size // 8, size // 7, size}):
+            other = np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed, dtype=np.int64).astype(np.uint64)])
+            sets = [np.unique(base), np.unique(other)]
+            row, h = np.repeat([0, 1], [len(s) for s in sets]), np.concatenate(sets)
+            n = np.array([len(s) for s in sets])
+            similar = 100 * len(np.intersect1d(*sets)) >= 75 * len(np.union1d(*sets))
+            short, whole = jaccard.parity_marks(row, h, n)
+            assert [jaccard.folded(w, len(s)) for w, s in zip(whole, short)] == short
+            odd = np.array([(int.from_bytes(whole[0]) ^ int.from_bytes(whole[1])).bit_count()])
+            near = jaccard.near_marks(odd, n[:1], n[1:], 75)[0]
+            assert near if similar else changed < size or not near
+
+
+def test_jaccard_rows_without_a_partner_do_not_travel():
+    # Two lists of two: sizes too far apart, and sizes alike.
+    live = pd.DataFrame({"token": [1, 1, 2, 2], "node": [1, 2, 3, 4], "size": [10, 100, 50, 52], "place": 0, "level": 1, "salts": 1, "entries": 2})
+    assert jaccard.with_partner(live, 75).tolist() == [False, False, True, True]
+    assert jaccard.with_partner(live.assign(salts=2), 75).all()
+
+
+def test_jaccard_large_group_of_near_copies_makes_few_pairs():
+    # 300 entries of one list, each a component of its own: one nearest pair each at most, not all 44,850.
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[4:], rng.integers(0, 1 << 63, 4, dtype=np.int64).astype(np.uint64)])) for _ in range(300)]
+    n = np.array([len(s) for s in sets])
+    mark, _ = jaccard.parity_marks(np.repeat(np.arange(300), n), np.concatenate(sets), n)
+    rows = pd.DataFrame({
+        "token": 1, "lo": 0, "hi": 0, "node": np.arange(300), "size": n, "place": 0, "level": 1, "component": np.arange(300), "side": 2, "mark": mark,
+    })
+    assert len(pd.concat(jaccard.close_pairs(rows, 75))) == 300 * 299 // 2
+    pairs = pd.concat(jaccard.close_pairs(rows, 75, nearest=True))
+    assert len(pairs) <= 300 and set(pairs["a"]) | set(pairs["b"]) == set(range(300))
