@@ -16,8 +16,8 @@ from postmill.llm.common import bound_batches, ship, written
 
 SPAN = 50
 GRAM = 12
-BLOCK_BYTES = 2_000_000
-SORT_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+SORT_BYTES = 500_000
 QUEUE_TUPLES = 8_000_000
 HOT_SPANS = 2_000_000
 NO_ID = np.iinfo(np.int64).max

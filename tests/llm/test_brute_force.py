@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -538,3 +539,13 @@ def test_jaccard_large_group_of_near_copies_makes_few_pairs():
     assert len(pd.concat(jaccard.close_pairs(rows, 75))) == 300 * 299 // 2
     pairs = pd.concat(jaccard.close_pairs(rows, 75, nearest=True))
     assert len(pairs) <= 300 and set(pairs["a"]) | set(pairs["b"]) == set(range(300))
+
+
+def test_passages_of_one_block_need_little_memory():
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.integers(97, 123, 2000, dtype=np.uint8)) for _ in range(suffixes.BLOCK_BYTES // 2000)]
+    tracemalloc.start()
+    rows = sum(len(f) for f in suffixes.block_pieces(list(range(len(texts))), texts, 51, 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 51 and peak < 60_000_000
