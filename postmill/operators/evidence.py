@@ -87,7 +87,8 @@ def keyword_snippets(
     candidates = words.join(phrases, "word").select("k", *order, "n_chars").distinct().join(body, order)
     per_term = per_term.unionByName(candidates.where(F.contains(F.lower("t"), "k")).drop("t"))
     per_term = _first_chars(per_term, ["k"], order, max_chars)
-    per_key = per_term.join(wanted, "k").select(key, *order, "n_chars").distinct()
+    # Dealt by key alone, they are told apart and ranked where they lie.
+    per_key = per_term.join(wanted, "k").select(key, *order, "n_chars").repartition(key).distinct()
     chosen = _first_chars(per_key, [key], order, max_chars).join(body, order)
     joined = chosen.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "t"))), lambda x: x["t"]), "\n").alias("all")

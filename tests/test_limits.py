@@ -1,6 +1,7 @@
 """Results that once depended on a cap."""
 
 import os
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -74,3 +75,10 @@ print("rows", QUERIES[{name!r}](spark, "/root/testdata/sf0.001").count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "rows " in out.stdout, out.stderr[-2000:]
+
+
+def test_messages_of_an_article_move_once_before_they_are_ranked(spark):
+    keywords = spark.createDataFrame([("a", "open"), ("b", "axe")], "id string, keyword string")
+    messages = spark.createDataFrame([("c", 0, "open axe"), ("c", 1, "axe")], "channel string, ordinal int, block string")
+    plan = evidence.keyword_snippets(keywords, messages)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(id#\w+, channel#", plan)
