@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bound_batches, ship, written
@@ -122,19 +122,9 @@ def folded(mark: bytes, size: int) -> bytes:
     return np.bitwise_xor.reduce(np.frombuffer(mark, np.uint8).reshape(-1, size), axis=0).tobytes()
 
 
-def id_slots(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
-
-
-def set_bits(bits: np.ndarray, ids: np.ndarray) -> None:
-    """Set the bit of each slot that an id falls on."""
-    slots = id_slots(ids)
-    np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
-
-
-def may_be_in(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slots = id_slots(ids)
-    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+def id_slot(ids: str) -> Column:
+    """Where an id falls in a map of ids, from 1."""
+    return F.shiftrightunsigned(F.xxhash64(ids), 64 - ID_BITS) + 1
 
 
 def near_marks(odd: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
@@ -415,28 +405,12 @@ class Join:
 
     def among(self, nodes: DataFrame) -> DataFrame:
         """The documents of ``nodes`` and a few more: a map of their ids keeps most other texts from any shuffle."""
-
-        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bits = np.zeros(1 << ID_BITS - 3, dtype=np.uint8)
-            for b in batches:
-                set_bits(bits, b["node"].to_numpy())
-            if bits.any():
-                yield pd.DataFrame({"part": range(16), "data": [zstandard.compress(p.tobytes(), 1) for p in np.split(bits, 16)]})
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            all_bits = np.bitwise_or.reduce([np.frombuffer(zstandard.decompress(d), np.uint8) for d in pdf["data"]], axis=0)
-            return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [zstandard.compress(all_bits.tobytes(), 1)]})
-
-        wanted = np.zeros((16, 1 << ID_BITS - 7), dtype=np.uint8)
-        for r in nodes.mapInPandas(mark, "part int, data binary").groupBy("part").applyInPandas(merge, "part int, data binary").collect():
-            wanted[r["part"]] = np.frombuffer(zstandard.decompress(r["data"]), np.uint8)
-        held = self.spark.sparkContext.broadcast(wanted.ravel())
-
-        @F.pandas_udf("boolean")
-        def is_wanted(ids: pd.Series) -> pd.Series:
-            return pd.Series(may_be_in(ids.to_numpy(), held.value))
-
-        return self.docs.where(is_wanted("doc"))
+        node, doc = id_slot("node"), id_slot("doc")
+        marked = nodes.groupBy(F.bitmap_bucket_number(node).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(node)).alias("bits"))
+        at = F.bitmap_bit_position(doc)
+        byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_wanted = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+        return self.docs.join(F.broadcast(marked), (F.bitmap_bucket_number(doc) == F.col("bucket")) & is_wanted, "left_semi")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``) whose whole sets are similar enough. Only texts of pairs that their marks leave move, compressed."""
