@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, groupby
 
 import numpy as np
@@ -20,6 +21,7 @@ BLOCK_BYTES = 1_000_000
 SORT_BYTES = 500_000
 QUEUE_TUPLES = 8_000_000
 HOT_SPANS = 2_000_000
+TURNS = 2
 NO_ID = np.iinfo(np.int64).max
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -301,13 +303,19 @@ def span_frame(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pd.Dat
     return pd.DataFrame({"shard": -1, "doc": d, "start": s, "end": e, "data": None})
 
 
-def block_pieces(docs: list[int], texts: list[bytes], shards: int, span: int) -> Iterator[pd.DataFrame]:
-    """Of one block of documents: spans already known to repeat, and the distinct pieces by shard, compressed."""
+def block_pieces(docs: list[int], texts: list[bytes], shards: int, span: int, turn: int = 0, turns: int = 1) -> Iterator[pd.DataFrame]:
+    """Of one block of documents: spans already known to repeat, and the distinct pieces by shard, compressed.
+
+    Each of the ``turns`` has ``shards`` of its own; only the pieces of ``turn`` are returned.
+    """
     if not docs:
         return
     text = np.frombuffer(b"".join(texts) + bytes(16), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts, lengths, least = cut_pieces(text, ends, span)
+    shard = (least >> np.uint64(20)) % np.uint64(shards * turns)
+    mine = shard // np.uint64(shards) == turn
+    starts, lengths, shard = starts[mine], lengths[mine], (shard[mine] % np.uint64(shards)).astype(int)
     if not len(starts):
         return
     row = np.searchsorted(ends, starts, side="right")
@@ -315,10 +323,8 @@ def block_pieces(docs: list[int], texts: list[bytes], shards: int, span: int) ->
     _, later = same_pieces(piece_keys(text, starts, lengths), doc)
     yield span_frame(doc[later], place[later], (place + lengths)[later])
     keep = np.flatnonzero(~later)
-    shard = (least[keep] >> np.uint64(20)) % np.uint64(shards)
-    keep = keep[np.lexsort((place[keep], doc[keep], shard))]
-    shard = ((least[keep] >> np.uint64(20)) % np.uint64(shards)).astype(int)
-    cuts = np.flatnonzero(np.diff(shard)) + 1
+    keep = keep[np.lexsort((place[keep], doc[keep], shard[keep]))]
+    cuts = np.flatnonzero(np.diff(shard[keep])) + 1
     packer = zstandard.ZstdCompressor(level=3)
     rows = []
     for part in np.split(keep, cuts):
@@ -326,7 +332,7 @@ def block_pieces(docs: list[int], texts: list[bytes], shards: int, span: int) ->
             data, _ = gather(text, starts[part], lengths[part])
             head = [np.diff(a, prepend=0).astype("<i8") for a in (doc[part], place[part])] + [lengths[part].astype("<i8")]
             planes = b"".join(np.frombuffer(a.tobytes(), np.uint8).reshape(-1, 8).T.tobytes() for a in head)
-            rows.append((int((least[part[0]] >> np.uint64(20)) % np.uint64(shards)), len(part).to_bytes(8, "little") + packer.compress(planes + data.tobytes())))
+            rows.append((int(shard[part[0]]), len(part).to_bytes(8, "little") + packer.compress(planes + data.tobytes())))
     out = pd.DataFrame(rows, columns=["shard", "data"])
     yield pd.DataFrame({"shard": out["shard"], "doc": 0, "start": 0, "end": 0, "data": out["data"]})
 
@@ -488,7 +494,15 @@ SPAN_SCHEMA = "shard int, doc bigint, start bigint, end bigint, data binary"
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text: str = "text", limit: int = QUEUE_TUPLES) -> DataFrame:
-    """``doc, start, end``: byte spans of each document covered by ``span``-byte strings that start in one with a smaller id."""
+    """``doc, start, end``: byte spans of each document covered by ``span``-byte strings that start in one with a smaller id.
+
+    Strings are dealt by hash to ``TURNS`` turns, so that at any time only one turn's pieces lie in shuffle files.
+    """
+    found = [written(_spans_of_turn(docs, span, key, text, limit, turn), "spans", release=True) for turn in range(TURNS)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _spans_of_turn(docs: DataFrame, span: int, key: str, text: str, limit: int, turn: int) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -503,9 +517,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
                     texts.append(data)
                     held += len(data)
                 if held >= BLOCK_BYTES:
-                    yield from block_pieces(ids, texts, shards, span)
+                    yield from block_pieces(ids, texts, shards, span, turn, TURNS)
                     ids, texts, held = [], [], 0
-        yield from block_pieces(ids, texts, shards, span)
+        yield from block_pieces(ids, texts, shards, span, turn, TURNS)
 
     lean = docs.select(F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(int(NO_ID))).alias("doc"), F.col(f"`{text}`").alias("text"))
     pieces = lean.mapInPandas(cut, SPAN_SCHEMA)
@@ -541,9 +555,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, key: str = "doc_id", text:
     other and should be equal; rows without id come after all others. Other columns pass through.
     """
     spans = repeated_spans(docs, span, key, text, limit)
-    by_doc = written(
-        spans.groupBy(F.col("doc").alias("__d")).agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans"
-    )
+    by_doc = spans.groupBy(F.col("doc").alias("__d")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
 
     shape = "string" if as_text else "binary"
 
